@@ -17,6 +17,8 @@ DEFAULTS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture on every Column call costs more than planning does for wide expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -38,6 +40,7 @@ def local_session(cores: int | str = 8, app: str = "tracefold-local") -> SparkSe
             "spark.sql.shuffle.partitions": str(cores),
             "spark.driver.memory": os.environ.get("TRACEFOLD_DRIVER_MEMORY", "12g"),
             "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
         },
     )
 
