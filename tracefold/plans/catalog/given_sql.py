@@ -77,7 +77,7 @@ res AS (
 
 ART = """
 art AS (
-  SELECT 'a' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, CAST(o_orderdate AS DATE) AS local_date,
+  SELECT 'a' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS local_date,
     o_orderdate + to_minutes(CAST(o_orderkey % 1440 AS INT)) AS occurred_at, 'p' || (o_custkey % 10) AS project_key,
     'Project ' || (o_custkey % 10) AS project_label,
     CASE WHEN o_orderkey % 5 = 0 THEN 'task:' || (o_custkey % 50) END AS task_key,

@@ -11,6 +11,7 @@ from tracefold import fixed_values as fv
 from tracefold.functions import ids
 from tracefold.functions.dates import is_calendar_date, local_date, local_day, parse_iso
 from tracefold.functions.text import redact, trim_ws
+from tracefold.operators.common import evaluate_once
 from tracefold.operators.sequence import ordinal_block, previous_value, running_total
 from tracefold.schemas import CAPTURE_OPTIONAL, CAPTURE_REQUIRED
 
@@ -51,8 +52,8 @@ def parse_capture_lines(lines: DataFrame, tz: str = "UTC") -> tuple[DataFrame, D
     """Typed records and rejected lines, from rows (value, source_path, source_line)."""
     rows = lines.where(trim_ws(F.col("value")) != "").withColumn("v", F.try_parse_json("value"))
     v = F.col("v")
-    typed = rows.select(
-        "value", "source_path", "source_line", is_object(v).alias("_object"),
+    typed = evaluate_once(
+        rows, ["source_path", "source_line"], is_object(v).alias("_object"),
         *[json_string(v, f"$.{n}").alias(n) for n in [*CAPTURE_REQUIRED, *CAPTURE_OPTIONAL, "source", "date", "cwd", "activity_kind"]],
         json_number(v, "$.schema_version").cast("int").alias("schema_version"),
         F.coalesce(F.try_variant_get(v, "$.untrusted_source", "boolean"), F.lit(False)).alias("untrusted_source"),
@@ -62,7 +63,7 @@ def parse_capture_lines(lines: DataFrame, tz: str = "UTC") -> tuple[DataFrame, D
     for name in CAPTURE_REQUIRED:
         reason = reason.when(F.col(name).isNull(), f"missing-{name}")
     reason = reason.when(parse_iso(F.col("captured_at")).isNull(), "bad-captured_at")
-    judged = typed.withColumn("reason", reason)
+    judged = typed.withColumn("reason", reason)  # cheap null tests over columns evaluated once
     rejects = judged.where(F.col("reason").isNotNull()).select("source_path", "source_line", "reason")
     # A web capture carries a conversation instead of a session; callers that accept it fill session_id first.
     good = judged.where(F.col("reason").isNull())

@@ -172,11 +172,11 @@ def orders_as_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artifact headers: one per order, in (day, customer group) buckets."""
+    """Artifact headers: one per order, in (month, customer group) buckets."""
     key = F.col("o_orderkey")
     titles = F.concat(F.lit("fix: "), F.lower(F.substring("o_orderpriority", 3, 20)), F.lit(" item "), (key % 40).cast("string"))
     return read(spark, sf_dir, "orders").select(
-        F.format_string("a%012d", key).alias("id"), F.to_date("o_orderdate").alias("local_date"),
+        F.format_string("a%012d", key).alias("id"), F.to_date(F.date_trunc("month", "o_orderdate")).alias("local_date"),
         F.timestamp_micros(F.unix_micros("o_orderdate") + (key % 1440) * 60_000_000).alias("occurred_at"),
         F.concat(F.lit("p"), (F.col("o_custkey") % 10).cast("string")).alias("project_key"),
         F.concat(F.lit("Project "), (F.col("o_custkey") % 10).cast("string")).alias("project_label"),
