@@ -74,8 +74,11 @@ def _chat_anchor() -> Column:
     return F.concat(F.lit("chatgpt:"), F.coalesce(blank_to_null(F.col("conversation_id")), F.col("session_id")))
 
 
-def explicit_anchor() -> Column:
-    """Anchor that a pair names itself, over the columns of a pair row; null when it names none."""
+def explicit_anchor(kind: Column) -> Column:
+    """Anchor that a pair names itself, over the columns of a pair row; null when it names none.
+
+    ``kind`` is the pair's ``substantive_automation``, computed once by the caller.
+    """
     prompt, stop = F.col("prompt_content"), F.col("stop_content")
     project = normalized_project(F.col("cwd"))
     text = _text(prompt, stop)
@@ -83,7 +86,6 @@ def explicit_anchor() -> Column:
     by_issue = F.when(issue.isNotNull(), F.concat(F.lit("codex:"), project, F.lit(":issue:"), issue))
     folder = F.lower(extract(F.regexp_replace(text, r"\\", "/"), fv.AGENT_TASK_FOLDER))
     by_folder = F.when(folder.isNotNull(), F.concat(F.lit("codex:"), project, F.lit(":agent-task:"), folder))
-    kind = substantive_automation(prompt, stop)
     durable = F.when(kind == "平台反馈", durable_automation_id(prompt, stop))
     automation = F.concat(F.lit("automation:"), normalize_text(kind), F.lit(":"), F.coalesce(durable, F.col("date").cast("string")))
     return (
@@ -149,12 +151,13 @@ def prompt_title(prompt: Column) -> Column:
     return let(F.get(stated, F.lit(0)), lambda l: head_chars(humanize_title(l), 72))
 
 
-def new_goal(prompt: Column) -> Column:
-    return blank_to_null(head_chars(trim_ws(F.regexp_extract(F.coalesce(prompt_title(prompt), F.lit("")), fv.NEW_GOAL, 1)), 72))
+def new_goal(stated: Column) -> Column:
+    """Goal announced by a prompt's stated line (``prompt_title``)."""
+    return blank_to_null(head_chars(trim_ws(F.regexp_extract(F.coalesce(stated, F.lit("")), fv.NEW_GOAL, 1)), 72))
 
 
-def is_short_continuation(prompt: Column) -> Column:
-    text = F.regexp_replace(normalize_text(prompt_title(prompt)), "[，,。.!！]", " ")
+def is_short_continuation(stated: Column) -> Column:
+    text = F.regexp_replace(normalize_text(stated), "[，,。.!！]", " ")
     return (text != "") & (F.length(text) <= 24) & text.rlike(fv.SHORT_CONTINUATION)
 
 
@@ -166,10 +169,9 @@ def _titled(title: Column, source: str) -> Column:
     return F.when(title.isNotNull(), F.struct(title.alias("title"), F.lit(source).alias("source")))
 
 
-def topic_title(index_title: Column) -> Column:
+def topic_title(index_title: Column, kind: Column) -> Column:
     """Struct (title, source) for a pair row without segment context."""
     prompt, stop, own = F.col("prompt_content"), F.col("stop_content"), blank_to_null(F.col("title"))
-    kind = substantive_automation(prompt, stop)
     inbox = extract(F.coalesce(stop, F.lit("")), fv.INBOX_ITEM_TITLE)
     automation = F.coalesce(
         _titled(inbox, "automation-result"), _titled(F.concat(kind, F.lit(" · "), F.col("date").cast("string")), "automation")
@@ -191,17 +193,15 @@ def topic_title(index_title: Column) -> Column:
     )
 
 
-def segment_title(index_title: Column, restored_title: Column, goal: Column) -> Column:
+def segment_title(index_title: Column, restored_title: Column, goal: Column, stated: Column, short: Column, kind: Column) -> Column:
     """Struct (title, source) for the row that opens a segment."""
-    prompt = F.col("prompt_content")
-    derived = F.col("source").isin("chatgpt_web", "feishu") | substantive_automation(prompt, F.col("stop_content")).isNotNull()
-    stated = prompt_title(prompt)
+    derived = F.col("source").isin("chatgpt_web", "feishu") | kind.isNotNull()
     restored = F.when(~restored_title.rlike("(?i)^恢复任务"), head_chars(humanize_title(restored_title), 72))
-    return F.when(derived, topic_title(index_title)).otherwise(
+    return F.when(derived, topic_title(index_title, kind)).otherwise(
         F.coalesce(
             _titled(restored, "restored-session-index"),
             _titled(goal, "segment-prompt"),
-            _titled(F.when(~is_short_continuation(prompt), stated), "prompt"),
+            _titled(F.when(~short, stated), "prompt"),
             _titled(index_title, "session-index"),
             _titled(stated, "prompt"),
             _titled(F.lit("Codex 任务"), "fallback"),
