@@ -83,7 +83,7 @@ def main():
     queries, oracles = load()
     names = [n for n in queries if not args or any(a == n or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     spark = local_session()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     con = connect(sf_dir)
     bad = 0
     for name in names:

@@ -68,9 +68,9 @@ def merge_commit_artifacts(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     A commit may be cloned without limit, so nothing gathers all copies: heads are grouped minima, files
     are distinct rows of which the first eight are shown, events stay a bridge.
     """
-    at = F.struct("occurred_at", F.element_at("source_event_ids", 1))
-    head_cols = [c for c in ARTIFACT_COLUMNS if c not in ("id", "source_event_ids", "source_refs", "result")]
-    heads = artifacts.groupBy("id").agg(F.min_by(F.struct(*head_cols), at).alias("h")).select("id", "h.*")
+    at = F.struct("occurred_at", F.element_at("source_event_ids", 1), "title")
+    head_cols = [c for c in ARTIFACT_COLUMNS if c not in ("id", "source_event_ids", "source_refs")]
+    heads = artifacts.groupBy("id").agg(F.min_by(F.struct(*head_cols), at).alias("h"), F.count(F.lit(1)).alias("clones")).select("id", "clones", "h.*")
     events = artifacts.select("id", F.explode("source_event_ids").alias("event_id")).distinct()
     files = artifacts.select("id", at.alias("at"), F.posexplode(refs_of("file")).alias("pos", "ref")).select(
         "id", "at", "pos", F.col("ref.label").alias("file"), F.lower("ref.label").alias("file_key")
@@ -82,7 +82,8 @@ def merge_commit_artifacts(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     merged = heads.join(counts, "id", "left").join(shown, "id", "left")
     names = F.transform("shown", lambda x: x["file"])
-    return merged.withColumn("result", _commit_result(F.col("title"), F.coalesce("files", F.lit(0)), names)).drop("shown"), events
+    retold = _commit_result(F.col("title"), F.coalesce("files", F.lit(0)), names)
+    return merged.withColumn("result", F.when(F.col("clones") > 1, retold).otherwise(F.col("result"))).drop("shown"), events
 
 
 def wiki_artifacts(events: DataFrame, docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tracefold import fixed_values as fv
 from tracefold.functions.dates import parse_iso
 from tracefold.functions.notes import file_title
 from tracefold.functions.text import blank_to_null, extract, trim_ws
-from tracefold.operators.sequence import first_rows
+from tracefold.operators.common import evaluate_once
 from tracefold.schemas import QUEUE_COUNTERS, RUN_COUNTERS
 from tracefold.sources.captures import is_object, json_number, json_string, variant_at
 
@@ -79,8 +79,8 @@ def parse_settlement_rows(rows: DataFrame, text: str = "value", key: str = "ledg
 
 def _settlements(items: DataFrame, key: str, broken: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     o = F.col("o")
-    rows = items.select(
-        key, "index", is_object(o).alias("object"), text_at(o, "$.id").alias("id"), text_at(o, "$.status").alias("status"),
+    rows = evaluate_once(
+        items, [key, "index"], is_object(o).alias("object"), text_at(o, "$.id").alias("id"), text_at(o, "$.status").alias("status"),
         strings_at(o, "$.source_event_ids").alias("source_event_ids"), strings_at(o, "$.wiki_paths").alias("wiki_paths"),
         changes_at(o, "$.knowledge_changes").alias("knowledge_changes"), text_at(o, "$.updated_at").alias("updated_text"),
         text_at(o, "$.last_error").alias("last_error"), text_at(o, "$.reason").alias("reason_text"),
@@ -222,5 +222,5 @@ def newest(files: DataFrame, n: int, order: str = "modified_at") -> DataFrame:
 
 __all__ = [
     "parse_settlement_ledger", "parse_settlement_rows", "parse_run_history", "parse_legacy_run_log", "parse_current_status",
-    "newest", "first_rows", "text_at", "strings_at", "digest_at", "changes_at", "topic_results_at", "count_at",
+    "newest", "text_at", "strings_at", "digest_at", "changes_at", "topic_results_at", "count_at",
 ]

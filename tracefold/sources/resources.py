@@ -15,6 +15,7 @@ from tracefold.functions import collab, ids
 from tracefold.functions.dates import local_day, parse_epoch_or_iso
 from tracefold.functions.notes import safe_id, safe_url
 from tracefold.functions.text import blank_to_null, head_chars, redact, trim_ws
+from tracefold.operators.common import evaluate_once
 from tracefold.sources.captures import json_string, variant_at
 
 
@@ -152,24 +153,29 @@ def normalize_resources(
     a creation into an update. Content is flattened by the JSON helper; all else stays in the JVM.
     """
     now = F.current_timestamp() if captured_at is None else captured_at
-    rows = payloads.withColumn("v", F.try_parse_json(text))
-    v, mod = F.col("v"), F.col(module)
-    own_id = F.coalesce(*[blank_to_null(trim_ws(json_string(v, f"$.{n}"))) for n in fv.RESOURCE_ID_FIELDS])
-    rows = rows.withColumn("resource_id", safe_id(F.concat_ws(":", mod, own_id))).where(own_id.isNotNull())
-    content_json = F.to_json(F.struct(*[variant_at(v, f"$.{n}").alias(n) for n in fv.RESOURCE_CONTENT_FIELDS]))
-    title = F.coalesce(_first_text(v, fv.RESOURCE_TITLE_FIELDS), F.concat(collab.module_label(mod), F.lit("记录")))
-    status = F.coalesce(_first_text(v, fv.RESOURCE_STATUS_FIELDS), F.lit(fv.COLLAB_RECORDED))
-    updated = F.coalesce(parse_epoch_or_iso(_first_text(v, fv.RESOURCE_UPDATED_FIELDS)), now)
-    occurred = F.coalesce(parse_epoch_or_iso(_first_text(v, fv.RESOURCE_OCCURRED_FIELDS)), updated)
-    rows = rows.select(
-        "resource_id", mod.alias("resource_type"), _label(title).alias("title"), _label(status).alias("resource_status"),
-        updated.alias("updated_at"), occurred.alias("occurred_at"),
-        head_chars(trim_ws(redact(flatten_human_values(content_json), collab_ids=True)), fv.CONTENT_CHARS).alias("content"),
-        _first_text(v, fv.RESOURCE_VERSION_FIELDS).alias("stated_version"),
-        _label(F.coalesce(_first_text(v, fv.RESOURCE_PROJECT_FIELDS), F.lit(fv.COLLAB_DEFAULT_LABEL))).alias("project_hint"),
-        F.when(_flag(v, "deleted", "is_deleted"), "deleted").when(_flag(v, "permission_denied", "inaccessible"), "revoked")
-        .otherwise("available").alias("access_status"),
-        safe_url(_first_text(v, fv.RESOURCE_LINK_FIELDS)).alias("resource_url"),
+    parsed = payloads.select(F.col(module).alias("resource_type"), F.try_parse_json(text).alias("v"))
+    v, mod = F.col("v"), F.col("resource_type")
+    # Fields are looked up once; everything below works on plain columns.
+    raw = evaluate_once(
+        parsed, ["resource_type"],
+        F.coalesce(*[blank_to_null(trim_ws(json_string(v, f"$.{n}"))) for n in fv.RESOURCE_ID_FIELDS]).alias("own_id"),
+        _first_text(v, fv.RESOURCE_TITLE_FIELDS).alias("title"), _first_text(v, fv.RESOURCE_STATUS_FIELDS).alias("status"),
+        _first_text(v, fv.RESOURCE_UPDATED_FIELDS).alias("updated"), _first_text(v, fv.RESOURCE_OCCURRED_FIELDS).alias("occurred"),
+        _first_text(v, fv.RESOURCE_VERSION_FIELDS).alias("stated_version"), _first_text(v, fv.RESOURCE_PROJECT_FIELDS).alias("project"),
+        _first_text(v, fv.RESOURCE_LINK_FIELDS).alias("link"), _flag(v, "deleted", "is_deleted").alias("deleted"),
+        _flag(v, "permission_denied", "inaccessible").alias("denied"),
+        F.to_json(F.struct(*[variant_at(v, f"$.{n}").alias(n) for n in fv.RESOURCE_CONTENT_FIELDS])).alias("content_json"),
+    ).where(F.col("own_id").isNotNull())
+    updated = F.coalesce(parse_epoch_or_iso(F.col("updated")), now)
+    rows = raw.select(
+        safe_id(F.concat_ws(":", mod, "own_id")).alias("resource_id"), "resource_type",
+        _label(F.coalesce("title", F.concat(collab.module_label(mod), F.lit("记录")))).alias("title"),
+        _label(F.coalesce("status", F.lit(fv.COLLAB_RECORDED))).alias("resource_status"), updated.alias("updated_at"),
+        F.coalesce(parse_epoch_or_iso(F.col("occurred")), updated).alias("occurred_at"),
+        head_chars(trim_ws(redact(flatten_human_values(F.col("content_json")), collab_ids=True)), fv.CONTENT_CHARS).alias("content"),
+        "stated_version", _label(F.coalesce("project", F.lit(fv.COLLAB_DEFAULT_LABEL))).alias("project_hint"),
+        F.when(F.col("deleted"), "deleted").when(F.col("denied"), "revoked").otherwise("available").alias("access_status"),
+        safe_url(F.col("link")).alias("resource_url"),
     )
     rows = rows.withColumn(
         "resource_version",
