@@ -10,6 +10,7 @@ because Java's ``\\b`` treats CJK letters as word characters.
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
+WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 LINE_BREAK = r"\r?\n"
 SENTENCE_BREAK = r"\r?\n|(?<=[。！？])\s*"
 LIST_MARK = rf"^{WS}*(?:#{{1,6}}|[-*]|\d+\.){WS}*"
@@ -127,15 +128,13 @@ PROMPT_METADATA_LINE = (
 )
 RESTORED_TASK = r"(?i)恢复任务\s*([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"
 AGENT_TASK_FOLDER = r"(?i)(?:^|/)\.agent/tasks/([a-z0-9][a-z0-9._-]*)"
-TOPIC_ISSUE = r"(?i)(?<![A-Za-z0-9_])(?:issue|议题|问题单)\s*#?(\d{1,8})(?![A-Za-z0-9_])"
+TOPIC_ISSUE = rf"(?i){WORD_EDGE}(?:issue|议题|问题单)\s*#?(\d{{1,8}}){WORD_EDGE}"
 LINKED_ISSUE = r"(?i)(?:/issues/|(?<![A-Za-z0-9_])Issue\s*#?)(\d{1,8})(?![A-Za-z0-9_])"
 WORK_ISSUE = r"(?i)(?:(?<![A-Za-z0-9_])issue\s*#?|/issues/)(\d{1,8})(?![A-Za-z0-9_])"
 WORK_TASK = (
-    r"(?i)(?:(?<![A-Za-z0-9_])(?:task|任务|工单)\s*(?:id)?\s*[:：#]?|/tasks/)([a-z0-9][a-z0-9._-]{3,80})(?![A-Za-z0-9_])"
-)
-FEEDBACK_ID = (
-    r"(?i)(?<![A-Za-z0-9_])(?:feedback[_ -]?id|工单\s*ID|反馈\s*ID)\s*[:：#]?\s*([a-z0-9_-]{4,64})"
+    rf"(?i)(?:{WORD_EDGE}(?:task|任务|工单)\s*(?:id)?\s*[:：#]?|/tasks/)([a-z0-9][a-z0-9._-]{{3,80}}){WORD_EDGE}"
 )
+FEEDBACK_ID = rf"(?i){WORD_EDGE}(?:feedback[_ -]?id|工单\s*ID|反馈\s*ID)\s*[:：#]?\s*([a-z0-9_-]{{4,64}})"
 ISSUE_HEADLINE = r"(?i)(?<![A-Za-z0-9_])Issue\s*#?\d+[^「」]*「([^」]+)」"
 AUTOMATION_KINDS = [
     (r"(?i)AI\s*HOT|每日早报|早报已送达", "AI 日报"),

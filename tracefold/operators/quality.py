@@ -119,15 +119,17 @@ def scan_sensitive(docs: DataFrame, key: str = "doc_id", text: str = "text", den
     One pass per row, all rules as one array: the text is read once and nothing is shuffled.
     """
     body = F.col(text)
-    hits = [
-        F.transform(extract_all(body, f"({pattern})" if not pattern.startswith("(?i)") else f"(?i)({pattern[4:]})"),
-                    lambda f, r=rule: F.struct(F.lit(r).alias("rule"), f.alias("found")))
-        for rule, pattern in fv.SCAN_SECRETS
-    ]
-    mails = F.filter(extract_all(body, f"(?i)({fv.EMAIL[4:]})"), lambda m: ~F.lower(m).endswith(fv.EMAIL_RESERVED_SUFFIX))
-    hosts = F.filter(extract_all(body, f"({fv.IPV4})"), lambda a: a != fv.IPV4_LOOPBACK)
-    hits.append(F.transform(mails, lambda f: F.struct(F.lit("email").alias("rule"), f.alias("found"))))
-    hits.append(F.transform(hosts, lambda f: F.struct(F.lit("ipv4").alias("rule"), f.alias("found"))))
+
+    def grouped(pattern: str) -> str:
+        return f"(?i)({pattern[4:]})" if pattern.startswith("(?i)") else f"({pattern})"
+
+    def found_by(rule: str, values: Column) -> Column:
+        return F.transform(values, lambda f: F.struct(F.lit(rule).alias("rule"), f.alias("found")))
+
+    hits = [found_by(rule, extract_all(body, grouped(pattern))) for rule, pattern in fv.SCAN_SECRETS]
+    mails = F.filter(extract_all(body, grouped(fv.EMAIL)), lambda m: ~F.lower(m).endswith(fv.EMAIL_RESERVED_SUFFIX))
+    hosts = F.filter(extract_all(body, grouped(fv.IPV4)), lambda a: a != fv.IPV4_LOOPBACK)
+    hits += [found_by("email", mails), found_by("ipv4", hosts)]
     for literal in denied or []:
         found = F.when(F.contains(body, F.lit(literal)), F.array(F.struct(F.lit("denied").alias("rule"), F.lit(literal).alias("found"))))
         hits.append(F.coalesce(found, F.array().cast("array<struct<rule:string,found:string>>")))
