@@ -280,14 +280,16 @@ def _read_session_index(spark, sf):
 PRODUCER = """
 log AS (
   SELECT user_id, event_id AS line, ts, event_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 't' || (event_id % 6) END AS turn FROM events
+), meta AS (
+  SELECT *, last_value(CASE WHEN event_type = 'signup' THEN line END IGNORE NULLS) OVER w AS meta_line FROM log
+  WINDOW w AS (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), ctx AS (
-  SELECT *, last_value(CASE WHEN event_type = 'signup' THEN line END IGNORE NULLS) OVER w AS meta_line,
-    last_value(CASE WHEN event_type = 'view' AND turn IS NOT NULL THEN line END IGNORE NULLS) OVER w AS begun_line
-  FROM log WINDOW w AS (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  SELECT *, last_value(CASE WHEN event_type = 'view' AND turn IS NOT NULL AND meta_line % 5 <> 2 THEN line END IGNORE NULLS) OVER w AS begun_line
+  FROM meta WINDOW w AS (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), named AS (
   SELECT ctx.*, CASE WHEN begun_line IS NOT NULL THEN 't' || (begun_line % 6) END AS begun FROM ctx
 ), closed AS (
-  SELECT *, last_value(CASE WHEN event_type IN ('purchase', 'error') AND (turn IS NULL OR turn = begun) THEN line END IGNORE NULLS)
+  SELECT *, last_value(CASE WHEN event_type IN ('purchase', 'error') AND meta_line % 5 <> 2 AND (turn IS NULL OR turn = begun) THEN line END IGNORE NULLS)
     OVER (PARTITION BY user_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed_line FROM named
 ), active AS (
   SELECT *, CASE WHEN closed_line IS NULL OR closed_line < begun_line THEN begun END AS active_turn FROM closed

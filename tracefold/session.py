@@ -31,6 +31,12 @@ def build_session(app: str = "tracefold", master: str | None = None, **extra: st
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """Runtime settings the results depend on, for a session somebody else built."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.python.sql.dataFrameDebugging.enabled"):
+        spark.conf.set(key, DEFAULTS[key])
+
+
 def local_session(cores: int | str = 8, app: str = "tracefold-local") -> SparkSession:
     """Session for tests and the local benchmark."""
     return build_session(

@@ -157,21 +157,22 @@ def resolve_producer_rows(records: DataFrame, originator: str = "Codex Desktop")
     keys, order, block = ["file"], ["line"], ordinal_block(F.col("line"))
     is_meta, is_msg = F.col("type") == "session_meta", F.col("type") == "event_msg"
     meta = F.when(is_meta, F.struct("meta_id", "originator", "producer_version", "subagent"))
-    folder = F.when(is_meta, F.struct(F.col("cwd").alias("cwd"))).when(
-        (F.col("type") == "turn_context") & F.col("turn_id").isNotNull() & F.col("cwd").isNotNull(), F.struct(F.col("cwd").alias("cwd"))
-    )
-    starts = (is_msg & (F.col("event_type") == "task_started")) | ((F.col("type") == "turn_context") & F.col("turn_id").isNotNull())
+    rows = previous_value(records, keys, order, block, meta, "meta")
+    known = (F.col("meta.originator") == originator) & supported_version(F.col("meta.producer_version")) & ~F.col("meta.subagent")
+    rows = rows.withColumn("known", F.coalesce(known, F.lit(False)))
+    # Rows under an unsupported session change nothing: neither the folder nor the active turn.
+    in_turn = F.col("known") & F.col("turn_id").isNotNull()
+    context = in_turn & (F.col("type") == "turn_context")
+    folder = F.when(is_meta | (context & F.col("cwd").isNotNull()), F.struct(F.col("cwd").alias("cwd")))
+    starts = context | (F.col("known") & is_msg & (F.col("event_type") == "task_started"))
     begun = F.when(starts, F.struct(F.col("turn_id").alias("turn"), F.col("line").alias("at")))
-    carried = F.struct(meta.alias("meta"), folder.alias("folder"), begun.alias("begun"))
-    rows = records.withColumn("_c", carried)
-    for name in ("meta", "folder", "begun"):
-        rows = previous_value(rows, keys, order, block, F.col(f"_c.{name}"), name)
+    rows = previous_value(rows, keys, order, block, folder, "folder")
+    rows = previous_value(rows, keys, order, block, begun, "begun")
     ends = is_msg & F.col("event_type").isin("task_complete", "turn_aborted")
-    closing = ends & (F.col("turn_id").isNull() | (F.col("turn_id") == F.col("begun.turn")))
+    closing = F.col("known") & ends & (F.col("turn_id").isNull() | (F.col("turn_id") == F.col("begun.turn")))
     rows = previous_value(rows, keys, order, block, F.when(closing, F.col("line")), "closed_at")
     open_ = F.col("closed_at").isNull() | (F.col("closed_at") < F.col("begun.at"))
     rows = rows.withColumn("active_turn", F.when(open_, F.col("begun.turn")))
-    known = (F.col("meta.originator") == originator) & supported_version(F.col("meta.producer_version")) & ~F.col("meta.subagent")
     prompt, at = is_msg & (F.col("event_type") == "user_message"), F.coalesce("timestamp", "completed_at")
     turn = F.when(prompt, F.col("active_turn")).otherwise(F.coalesce("turn_id", "active_turn"))
     error = (
@@ -180,7 +181,7 @@ def resolve_producer_rows(records: DataFrame, originator: str = "Codex Desktop")
         .when(ends & turn.isNull(), "完成事件缺少 turn_id")
     )
     text = F.when(prompt, F.col("message")).when(F.col("event_type") == "turn_aborted", fv.ABORTED_TEXT).otherwise(F.col("answer"))
-    return rows.where(F.coalesce(known, F.lit(False)) & (prompt | ends) & at.isNotNull()).select(
+    return rows.where(F.col("known") & (prompt | ends) & at.isNotNull()).select(
         "file", "line", F.when(prompt, "UserPromptSubmit").otherwise("Stop").alias("event"), at.alias("captured_at"),
         F.col("meta.meta_id").alias("session_id"), turn.alias("turn_id"), F.col("folder.cwd").alias("cwd"),
         F.col("meta.producer_version").alias("producer_version"), trim_ws(redact(F.coalesce(text, F.lit("")))).alias("content"),

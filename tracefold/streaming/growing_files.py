@@ -1,0 +1,95 @@
+"""A stream over log files that grow in place.
+
+Spark's file source reads a file once. Producers that append to one file per session need a cursor per
+file: this source remembers how far each file was read, takes whole lines only, and starts a file again
+when it shrank. Long ranges are cut into chunks that different tasks read.
+"""
+
+from __future__ import annotations
+
+import glob
+import json
+import os
+
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+
+
+class LineRange(InputPartition):
+    def __init__(self, path: str, first: int, start: int, end: int):
+        self.path, self.first, self.start, self.end = path, first, start, end
+
+
+def complete_size(path: str) -> int:
+    """Bytes up to and including the last line break."""
+    with open(path, "rb") as handle:
+        handle.seek(0, os.SEEK_END)
+        end = handle.tell()
+        while end > 0:
+            begin = max(0, end - 65536)
+            handle.seek(begin)
+            at = handle.read(end - begin).rfind(b"\n")
+            if at >= 0:
+                return begin + at + 1
+            end = begin
+    return 0
+
+
+def cut(path: str, start: int, end: int, chunk: int) -> list[LineRange]:
+    edges = list(range(start, end, chunk)) + [end]
+    return [LineRange(path, start, a, b) for a, b in zip(edges, edges[1:])]
+
+
+def lines_in(part: LineRange):
+    """Lines that begin inside the range, with their byte offset."""
+    with open(part.path, "rb") as handle:
+        at = part.start
+        if part.start > part.first:
+            handle.seek(part.start - 1)
+            at = part.start - 1 + len(handle.readline())
+        else:
+            handle.seek(part.start)
+        while at < part.end:
+            line = handle.readline()
+            if not line.endswith(b"\n"):
+                return
+            yield line.rstrip(b"\r\n").decode("utf-8", "replace"), part.path, at
+            at += len(line)
+
+
+class GrowingLinesReader(DataSourceStreamReader):
+    def __init__(self, options):
+        self.pattern = options.get("path", "")
+        self.chunk = int(options.get("chunkBytes", 64 * 1024 * 1024))
+
+    def _sizes(self) -> dict[str, int]:
+        pattern = self.pattern if any(c in self.pattern for c in "*?[") else os.path.join(self.pattern, "**", "*.jsonl")
+        return {path: complete_size(path) for path in sorted(glob.glob(pattern, recursive=True))}
+
+    def initialOffset(self) -> dict:
+        return {"files": "{}"}
+
+    def latestOffset(self) -> dict:
+        return {"files": json.dumps(self._sizes(), sort_keys=True)}
+
+    def partitions(self, start: dict, end: dict) -> list[LineRange]:
+        before, after = json.loads(start["files"]), json.loads(end["files"])
+        parts: list[LineRange] = []
+        for path, size in after.items():
+            done = before.get(path, 0)
+            parts += cut(path, 0 if size < done else done, size, self.chunk)
+        return parts
+
+    def read(self, partition: LineRange):
+        yield from lines_in(partition)
+
+
+class GrowingLines(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "growing_lines"
+
+    def schema(self) -> str:
+        return "value string, source_path string, byte_offset long"
+
+    def streamReader(self, schema) -> GrowingLinesReader:
+        return GrowingLinesReader(self.options)
