@@ -8,6 +8,7 @@ because Java's ``\\b`` treats CJK letters as word characters.
 
 # --- fixed values: character classes -------------------------------------------------------------
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
 WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -198,6 +199,12 @@ REDACTIONS = [
      r"(?i)(?<![A-Za-z0-9_])(postgres(?:ql)?|mysql|mongodb(?:\+srv)?)://[^\s/@:]+:[^\s/@]+@",
      "$1://[已隐藏]@"),
 ]
+# Lower-case literals of which a text must hold one for the rule to be able to match.
+REDACTION_HINTS = {
+    "private_key": ["-----begin"], "api_key": ["sk-", "rk-", "pk-"],
+    "vcs_token": ["ghp_", "github_pat_", "gho_", "ghu_", "ghs_", "ghr_"], "cloud_key": ["akia"], "jwt": ["eyj"],
+    "key_value": ["authorization", "api", "access", "passw", "secret"], "database_url": ["://"],
+}
 COLLAB_ID = r"(?<![A-Za-z0-9_])(?:ou|on|oc|cli|app|tenant)_[A-Za-z0-9_-]{6,}(?![A-Za-z0-9_])(?<=[A-Za-z0-9_])"
 COLLAB_ID_MASK = "[飞书标识]"
 SCAN_SECRETS = [
@@ -211,6 +218,11 @@ SCAN_SECRETS = [
     ("collab_id", r"(?<![A-Za-z0-9_])(?:ou|oc|bas|bascn|tbl|viw|rec)_[A-Za-z0-9]{16,}(?![A-Za-z0-9_])"),
     ("app_secret", r"(?i)(?<![A-Za-z0-9_])(?:app[_ -]?secret|tenant[_ -]?key)\s*[:=]\s*[\"']?[A-Za-z0-9_-]{12,}"),
 ]
+SCAN_HINTS = {
+    "vcs_token": ["ghp_"], "vcs_pat": ["github_pat_"], "api_key": ["sk-"], "private_key": ["-----begin"], "cloud_key": ["akia"],
+    "receiver_token": ["receiver_token"], "cli_id": ["cli_"], "collab_id": ["ou_", "oc_", "bas_", "bascn_", "tbl_", "viw_", "rec_"],
+    "app_secret": ["app", "tenant"], "email": ["@"], "ipv4": ["."],
+}
 EMAIL = r"(?i)(?<![A-Za-z0-9_])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}(?![A-Za-z0-9_])"
 EMAIL_RESERVED_SUFFIX = "@example.invalid"
 IPV4 = r"(?<![A-Za-z0-9_])(?:\d{1,3}\.){3}\d{1,3}(?![A-Za-z0-9_])"

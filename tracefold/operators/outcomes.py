@@ -11,6 +11,7 @@ from tracefold.functions.projects import normalized_project_key
 from tracefold.functions.text import blank_to_null, choose, extract, head_chars, lines_of, normalized_title, rank_of, title_tokens
 from tracefold.operators.components import component_of, star_edges
 from tracefold.operators.sequence import first_rows
+from tracefold.session import cut_lineage
 
 BUCKET = ["local_date", "project_key"]
 
@@ -50,6 +51,7 @@ def same_outcome_edges(artifacts: DataFrame, files: DataFrame, events: DataFrame
         "id", *BUCKET, "task_key", strongest_anchor(F.col("task_key"), _searchable(artifacts)).alias("anchor"),
         normalized_title(F.col("title")).alias("norm"), title_tokens(F.col("title")).alias("tokens"),
     )
+    heads = cut_lineage(heads)  # seven rules read these slim rows; titles are normalised once
     where = heads.select("id", *BUCKET)
     keyed = lambda rule, rows, value: rows.select("id", *BUCKET, F.lit(rule).alias("rule"), value.alias("key"))
     rules = [

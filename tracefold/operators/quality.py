@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold import fixed_values as fv
 from tracefold.functions.notes import event_ids_in, front_matter, front_matter_list, has_section, heading_title, links_to, section
-from tracefold.functions.text import collapse_ws, extract_all, lines_of, redact, trim_ws
+from tracefold.functions.text import collapse_ws, extract_all, holds_any, lines_of, redact, trim_ws
 
 
 def violations(df: DataFrame, key: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
@@ -126,19 +126,32 @@ def scan_sensitive(docs: DataFrame, key: str = "doc_id", text: str = "text", den
     def found_by(rule: str, values: Column) -> Column:
         return F.transform(values, lambda f: F.struct(F.lit(rule).alias("rule"), f.alias("found")))
 
-    hits = [found_by(rule, extract_all(body, grouped(pattern))) for rule, pattern in fv.SCAN_SECRETS]
-    mails = F.filter(extract_all(body, grouped(fv.EMAIL)), lambda m: ~F.lower(m).endswith(fv.EMAIL_RESERVED_SUFFIX))
-    hosts = F.filter(extract_all(body, grouped(fv.IPV4)), lambda a: a != fv.IPV4_LOOPBACK)
+    rows = docs.select(key, text, F.lower(body).alias("_lower"))
+    none = F.array().cast("array<string>")
+
+    def matches(rule: str, pattern: str) -> Column:
+        return F.when(holds_any(F.col("_lower"), fv.SCAN_HINTS[rule]), extract_all(body, grouped(pattern))).otherwise(none)
+
+    hits = [found_by(rule, matches(rule, pattern)) for rule, pattern in fv.SCAN_SECRETS]
+    mails = F.filter(matches("email", fv.EMAIL), lambda m: ~F.lower(m).endswith(fv.EMAIL_RESERVED_SUFFIX))
+    hosts = F.filter(matches("ipv4", fv.IPV4), lambda a: a != fv.IPV4_LOOPBACK)
     hits += [found_by("email", mails), found_by("ipv4", hosts)]
     for literal in denied or []:
         found = F.when(F.contains(body, F.lit(literal)), F.array(F.struct(F.lit("denied").alias("rule"), F.lit(literal).alias("found"))))
         hits.append(F.coalesce(found, F.array().cast("array<struct<rule:string,found:string>>")))
-    return docs.select(key, F.posexplode(F.concat(*hits)).alias("position", "hit")).select(key, "position", "hit.rule", "hit.found")
+    return rows.select(key, F.posexplode(F.concat(*hits)).alias("position", "hit")).select(key, "position", "hit.rule", "hit.found")
 
 
 def redaction_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts that redaction changes: hits per rule and lengths before and after."""
     body = F.col(text)
-    counts = [F.regexp_count(body, F.lit(pattern)).alias(rule) for rule, pattern, _ in fv.REDACTIONS]
-    rows = docs.select(key, F.length(body).alias("chars_before"), F.length(redact(body)).alias("chars_after"), (redact(body) != body).alias("_changed"), *counts)
-    return rows.where("_changed").drop("_changed")
+    lowered = F.lower(body)
+    counts = [
+        F.when(holds_any(lowered, fv.REDACTION_HINTS[rule]), F.regexp_count(body, F.lit(pattern))).otherwise(0).alias(rule)
+        for rule, pattern, _ in fv.REDACTIONS
+    ]
+    rows = docs.select(key, body.alias("_body"), redact(body).alias("_clean"), *counts)
+    changed = rows.where(F.col("_clean") != F.col("_body"))
+    return changed.select(
+        key, F.length("_body").alias("chars_before"), F.length("_clean").alias("chars_after"), *[rule for rule, _, _ in fv.REDACTIONS]
+    )

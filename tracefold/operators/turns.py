@@ -166,7 +166,8 @@ def turn_events(turns: DataFrame) -> DataFrame:
         "project_key", "project_label", F.when(~chat, F.col("task_key")).alias("task_key"),
         F.lit(None).cast("string").alias("object_key"), F.col("activity_session").alias("session_id"), "turn_id",
         F.when(paired, "observed").otherwise("inferred").alias("confidence"),
-        F.when(paired, "已捕获完整问答").otherwise("仅捕获到指令，未发现回答").alias("evidence"), "source_refs",
+        F.when(chat, F.when(paired, "已捕获完整 ChatGPT 问答").otherwise("仅捕获到用户消息"))
+        .otherwise(F.when(paired, "已捕获完整 Codex turn").otherwise("仅捕获到任务指令，未发现 Stop 事件")).alias("evidence"), "source_refs",
     )
 
 
@@ -182,7 +183,7 @@ def completion_events(turns: DataFrame) -> DataFrame:
         F.col("display_title").alias("title"), F.col("stop.stop_summary").alias("summary"), "project_key",
         "project_label", "task_key", F.lit(None).cast("string").alias("object_key"),
         F.col("activity_session").alias("session_id"), "turn_id", F.lit("reported").alias("confidence"),
-        F.when(blocked, "最终回答报告任务受阻").otherwise("最终回答报告完成并包含验证描述").alias("evidence"), "source_refs",
+        F.when(blocked, "Codex 最终回答报告任务受阻").otherwise("最终回答报告完成并包含验证描述，尚未与独立产出绑定").alias("evidence"), "source_refs",
     )
 
 

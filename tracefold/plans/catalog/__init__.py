@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["activity", "conversations", "outcomes", "queue", "records", "documents", "streams"]
+MODULES = ["activity", "conversations", "outcomes", "queue", "records", "documents", "streams", "whole"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -15,6 +15,7 @@ from tracefold.operators import turns as u
 from tracefold.plans.catalog import query, with_ctes
 from tracefold.plans.catalog.conversations import PAIRS
 from tracefold.plans.catalog.given_sql import ACT, ART, LEDGER, REC, RES, TITLES
+from tracefold.session import cut_lineage
 from tracefold.sources import commits as cm
 from tracefold.sources import given_tables as g
 from tracefold.sources import ledger_files as lf
@@ -178,7 +179,7 @@ named AS (SELECT *, least('修复 ' || repo || CASE WHEN n = 0 THEN ' 功能并
 SELECT 'artifact:git:' || left(sha256(CAST(o_orderkey AS VARCHAR)), 40) AS id, n + 1 AS files, 1 AS events,
   title || chr(10) || 'Git 提交记录列出 ' || (n + 1) || ' 个相关文件：' || array_to_string(list_concat(coalesce(files, []), ['extra.md'])[1:8], '、') || CASE WHEN n + 1 > 8 THEN '等' ELSE '' END || '。' AS result FROM named"""))
 def _merge_commit_artifacts(spark, sf):
-    heads, events = a.merge_commit_artifacts(a.commit_artifacts(cm.parse_commit_log(commit_lines(spark, sf, clones=2))))
+    heads, events = a.merge_commit_artifacts(cut_lineage(a.commit_artifacts(cm.parse_commit_log(commit_lines(spark, sf, clones=2)))))
     counted = events.groupBy("id").agg(F.count(F.lit(1)).alias("events"))
     return heads.join(counted, "id").select("id", "files", "events", "result")
 

@@ -33,7 +33,7 @@ def build_session(app: str = "tracefold", master: str | None = None, **extra: st
 
 def prepare(spark: SparkSession) -> None:
     """Runtime settings the results depend on, for a session somebody else built."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.python.sql.dataFrameDebugging.enabled"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.adaptive.forceOptimizeSkewedJoin"):
         spark.conf.set(key, DEFAULTS[key])
 
 
