@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracefold.operators import artifacts as a
 from tracefold.operators import metrics, outcomes, wiki
 from tracefold.operators import turns as u
-from tracefold.operators.identity import reconcile_identities
+from tracefold.operators.identity import merge_explicit_identities, merge_numbered_copies
 from tracefold.schemas import ACTIVITY_COLUMNS
 from tracefold.session import cut_lineage
 
@@ -33,10 +33,12 @@ class Sources:
 
 def build_events(sources: Sources) -> DataFrame:
     """All activity events, identities and project labels reconciled. Write the result: four outputs read it."""
-    turns = reconcile_identities(u.build_turns(sources.records, sources.titles))
+    # Each merge reads its input several times over; the turns are derived once and written between steps.
+    turns = cut_lineage(merge_numbered_copies(cut_lineage(u.build_turns(sources.records, sources.titles))))
+    turns = merge_explicit_identities(turns)
     notes = wiki.wiki_activity(sources.docs, wiki.wiki_contributions(sources.docs, sources.records))
     reuse = wiki.reuse_edges(sources.links, sources.docs)
-    return metrics.reconcile_project_labels(unify_events(turns, notes, reuse, sources.commits))
+    return metrics.reconcile_project_labels(cut_lineage(unify_events(turns, notes, reuse, sources.commits)))
 
 
 def build_artifacts(events: DataFrame, sources: Sources, inventory: DataFrame) -> DataFrame:
