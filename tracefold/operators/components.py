@@ -15,7 +15,9 @@ def star_edges(members: DataFrame, key: list[str], node: str = "id", center: Dat
     rows yields that many edges, not their square. The minimum is partially aggregated before the shuffle.
     """
     if center is None:
-        center = members.groupBy(*key).agg(F.min(node).alias("_center"))
+        # Most keys have one member; leaving them out keeps the join's inner side small.
+        low, high = F.min(node).alias("_center"), F.max(node).alias("_last")
+        center = members.groupBy(*key).agg(low, high).where(F.col("_center") != F.col("_last")).drop("_last")
     joined = members.join(center, key)
     return joined.where(F.col(node) != F.col("_center")).select(F.col(node).alias("src"), F.col("_center").alias("dst"))
 

@@ -72,7 +72,7 @@ def same_outcome_edges(artifacts: DataFrame, files: DataFrame, events: DataFrame
     stars = rules[0]
     for more in rules[1:]:
         stars = stars.unionByName(more)
-    edges = star_edges(stars.distinct(), [*BUCKET, "rule", "key"])
+    edges = star_edges(stars, [*BUCKET, "rule", "key"])
     single = tokened.select("id", *BUCKET, "token", F.explode("files").alias("file"), (F.size("files") == 1).alias("alone"))
     key = [*BUCKET, "token", "file"]
     centers = single.where("alone").groupBy(*key).agg(F.min("id").alias("_center"))
