@@ -30,23 +30,33 @@ def first_rows(df: DataFrame, keys: list, order: list, n: int = 1, rank: str | N
     return kept if rank else kept.drop(name)
 
 
-def _with_carry(df: DataFrame, keys: list[str], summary: DataFrame, carry: Column) -> DataFrame:
+def _with_carry(df: DataFrame, keys: list[str], summary: DataFrame, carries: dict[str, Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.withColumn(_CARRY, carry.over(w)).select(*keys, _BLOCK, _CARRY)
+    carried = summary.select(*keys, _BLOCK, *[carry.over(w).alias(name) for name, carry in carries.items()])
     return df.join(carried, [*keys, _BLOCK], "left")
 
 
+def previous_values(df: DataFrame, keys: list[str], order: list[str], block: Column, values: dict[str, Column]) -> DataFrame:
+    """Last non-null value of the group strictly before each row, for several values in one pass.
+
+    The input is read twice, for the rows and for the block summaries. Callers that chain passes write the
+    rows between them (``session.cut_lineage``), or the readings multiply.
+    """
+    rows = df.withColumn(_BLOCK, block).withColumns({f"_v_{n}": v for n, v in values.items()})
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tails = [F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_t_{n}") for n in values]
+    summary = rows.groupBy(*keys, _BLOCK).agg(*tails)
+    local = rows.withColumns({f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
+    joined = _with_carry(local, keys, summary, {f"_c_{n}": F.last(f"_t_{n}", ignorenulls=True) for n in values})
+    done = joined.withColumns({n: F.coalesce(f"_l_{n}", f"_c_{n}") for n in values})
+    return done.drop(_BLOCK, *[f"_{kind}_{n}" for n in values for kind in "vlc"])
+
+
 def previous_value(
     df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str
 ) -> DataFrame:
-    """Last non-null ``value`` of the group strictly before each row."""
-    rows = df.withColumn(_BLOCK, block).withColumn("_value", value)
-    inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.when(F.col("_value").isNotNull(), F.struct(*order))
-    summary = rows.groupBy(*keys, _BLOCK).agg(F.max_by("_value", at).alias(_TAIL))
-    local = rows.withColumn(_LOCAL, F.last("_value", ignorenulls=True).over(inside))
-    joined = _with_carry(local, keys, summary, F.last(_TAIL, ignorenulls=True))
-    return joined.withColumn(out, F.coalesce(_LOCAL, _CARRY)).drop(_BLOCK, _LOCAL, _CARRY, "_value")
+    """``previous_values`` for one value."""
+    return previous_values(df, keys, order, block, {out: value})
 
 
 def running_total(
@@ -58,6 +68,6 @@ def running_total(
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     summary = rows.groupBy(*keys, _BLOCK).agg(F.sum("_value").alias(_TAIL))
     local = rows.withColumn(_LOCAL, F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = _with_carry(local, keys, summary, F.sum(_TAIL))
+    joined = _with_carry(local, keys, summary, {_CARRY: F.sum(_TAIL)})
     total = F.col(_LOCAL) + F.coalesce(F.col(_CARRY), F.lit(0))
     return joined.withColumn(out, total).drop(_BLOCK, _LOCAL, _CARRY, "_value")

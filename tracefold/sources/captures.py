@@ -12,7 +12,8 @@ from tracefold.functions import ids
 from tracefold.functions.dates import is_calendar_date, local_date, local_day, parse_iso
 from tracefold.functions.text import redact, trim_ws
 from tracefold.operators.common import evaluate_once
-from tracefold.operators.sequence import ordinal_block, previous_value, running_total
+from tracefold.operators.sequence import ordinal_block, previous_value, previous_values, running_total
+from tracefold.session import cut_lineage
 from tracefold.schemas import CAPTURE_OPTIONAL, CAPTURE_REQUIRED
 
 
@@ -153,21 +154,21 @@ def resolve_producer_rows(records: DataFrame, originator: str = "Codex Desktop")
     """Carry session context and the active turn forward through each file.
 
     A turn stays active from the row that starts it to the first completion naming it (or naming none).
+    The passes run over slim rows, written between passes; texts join the few rows that become captures.
     """
     keys, order, block = ["file"], ["line"], ordinal_block(F.col("line"))
     is_meta, is_msg = F.col("type") == "session_meta", F.col("type") == "event_msg"
     meta = F.when(is_meta, F.struct("meta_id", "originator", "producer_version", "subagent"))
-    rows = previous_value(records, keys, order, block, meta, "meta")
+    rows = previous_value(records.drop("message", "answer"), keys, order, block, meta, "meta")
     known = (F.col("meta.originator") == originator) & supported_version(F.col("meta.producer_version")) & ~F.col("meta.subagent")
-    rows = rows.withColumn("known", F.coalesce(known, F.lit(False)))
+    rows = cut_lineage(rows.withColumn("known", F.coalesce(known, F.lit(False))))
     # Rows under an unsupported session change nothing: neither the folder nor the active turn.
     in_turn = F.col("known") & F.col("turn_id").isNotNull()
     context = in_turn & (F.col("type") == "turn_context")
     folder = F.when(is_meta | (context & F.col("cwd").isNotNull()), F.struct(F.col("cwd").alias("cwd")))
     starts = context | (F.col("known") & is_msg & (F.col("event_type") == "task_started"))
     begun = F.when(starts, F.struct(F.col("turn_id").alias("turn"), F.col("line").alias("at")))
-    rows = previous_value(rows, keys, order, block, folder, "folder")
-    rows = previous_value(rows, keys, order, block, begun, "begun")
+    rows = cut_lineage(previous_values(rows, keys, order, block, {"folder": folder, "begun": begun}))
     ends = is_msg & F.col("event_type").isin("task_complete", "turn_aborted")
     closing = F.col("known") & ends & (F.col("turn_id").isNull() | (F.col("turn_id") == F.col("begun.turn")))
     rows = previous_value(rows, keys, order, block, F.when(closing, F.col("line")), "closed_at")
@@ -181,7 +182,8 @@ def resolve_producer_rows(records: DataFrame, originator: str = "Codex Desktop")
         .when(ends & turn.isNull(), "完成事件缺少 turn_id")
     )
     text = F.when(prompt, F.col("message")).when(F.col("event_type") == "turn_aborted", fv.ABORTED_TEXT).otherwise(F.col("answer"))
-    return rows.where(F.col("known") & (prompt | ends) & at.isNotNull()).select(
+    kept = rows.where(F.col("known") & (prompt | ends) & at.isNotNull())
+    return kept.join(records.select("file", "line", "message", "answer"), ["file", "line"]).select(
         "file", "line", F.when(prompt, "UserPromptSubmit").otherwise("Stop").alias("event"), at.alias("captured_at"),
         F.col("meta.meta_id").alias("session_id"), turn.alias("turn_id"), F.col("folder.cwd").alias("cwd"),
         F.col("meta.producer_version").alias("producer_version"), trim_ws(redact(F.coalesce(text, F.lit("")))).alias("content"),
