@@ -9,6 +9,7 @@ from tracefold import fixed_values as fv
 from tracefold.functions.collab import is_noise, is_safe_message, is_substantive
 from tracefold.functions.dates import is_stale
 from tracefold.operators.sequence import ordinal_block, previous_value
+from tracefold.session import cut_lineage
 
 
 def capture_message(user: str, text: Column) -> Column:
@@ -27,14 +28,19 @@ def select_messages(messages: DataFrame, user: str, keys: tuple[str, ...] = ("ch
     kept = capture_message(user, text)
     mentioned = F.coalesce(F.exists("mentions", lambda m: m.isin(user, "all-current-user")), F.lit(False))
     safe = is_safe_message(F.col("chat_type"), F.col("sender_type"), F.col("msg_type"), text)
-    rows = messages.select("*", F.coalesce(kept, F.lit(False)).alias("kept"), F.coalesce(kept & mentioned, F.lit(False)).alias("pulls"), safe.alias("safe"))
+    place = [*keys, *order]
+    flags = messages.select(
+        *place, F.coalesce(kept, F.lit(False)).alias("kept"), F.coalesce(kept & mentioned, F.lit(False)).alias("pulls"), safe.alias("safe")
+    )
+    # Two ordered passes over flags alone; the texts are joined to the chosen places.
+    rows = cut_lineage(flags)
     at = F.col(order[0])
     rows = previous_value(rows, list(keys), list(order), ordinal_block(at), F.struct("pulls"), "before")
     flipped = rows.withColumn("_back", -at)
-    rows = previous_value(flipped, list(keys), ["_back"], ordinal_block(F.col("_back")), F.struct("pulls"), "after").drop("_back")
+    rows = previous_value(flipped, list(keys), ["_back"], ordinal_block(F.col("_back")), F.struct("pulls"), "after")
     near = F.coalesce(F.col("before.pulls"), F.lit(False)) | F.coalesce(F.col("after.pulls"), F.lit(False))
-    chosen = rows.where(F.col("kept") | (F.col("safe") & near))
-    return chosen.withColumn("context_only", ~F.col("kept")).drop("kept", "pulls", "safe", "before", "after")
+    chosen = rows.where(F.col("kept") | (F.col("safe") & near)).select(*place, (~F.col("kept")).alias("context_only"))
+    return messages.join(chosen, place)
 
 
 def source_health(records: DataFrame, config: DataFrame, now: Column, hours: float = fv.STALE_HOURS) -> DataFrame:

@@ -126,7 +126,8 @@ def segment_sessions(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     own = F.coalesce(
         "explicit", F.when(first, F.coalesce("family_anchor", "base_anchor")), F.when(F.col("asks_anew"), F.col("goal_anchor"))
     )
-    rows = rows.withColumn("first", first).withColumn("own", own)
+    # Read twice by the ordered pass and again by what follows: the texts are read once, the slim rows kept.
+    rows = cut_lineage(rows.withColumn("first", first).withColumn("own", own))
     rows = previous_value(rows, ["session_key"], ["captured_at", "id"], hour_block(F.col("captured_at")), F.col("own"), "before")
     opens = F.col("first") | F.coalesce(F.col("explicit") != F.col("before"), F.lit(False)) | F.col("asks_anew")
     return rows.select(

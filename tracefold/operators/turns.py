@@ -16,6 +16,7 @@ from tracefold.functions.text import (
     meaningful_prompt, trim_ws,
 )
 from tracefold.operators.sequence import first_rows, ordinal_block, running_total
+from tracefold.session import cut_lineage
 
 TURN = ["source", "session_id", "turn_id"]
 PROMPT, STOP = "UserPromptSubmit", "Stop"
@@ -121,7 +122,8 @@ def source_ref(kind: Column, label: str, path=None, url=None, line=None, excerpt
 
 def described_turns(records: DataFrame, titles: DataFrame, seq: str = "ingest_seq") -> DataFrame:
     """Turns that count as activity, with project, task, title and references."""
-    turns = turn_groups(records, seq).where(~F.col("automated") & (F.col("requests") > 0))
+    # Slim rows, read four times from here on: twice to find first turns, for turn and for completion events.
+    turns = cut_lineage(turn_groups(records, seq).where(~F.col("automated") & (F.col("requests") > 0)))
     turns = title_lookup(turns, titles)
     chat = F.col("source") == "chatgpt_web"
     kind = F.when(chat, "chatgpt").otherwise("codex")
