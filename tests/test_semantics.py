@@ -358,3 +358,23 @@ def test_growing_files_stream(spark, tmp_path):
     with (logs / "a.jsonl").open("a") as handle:
         handle.write(line % "e3")
     assert run() == ["e1", "e2", "e3"]
+
+
+def test_silence_raises_an_alarm(spark, tmp_path):
+    import time
+
+    src, seen = str(tmp_path / "in"), []
+    rows = spark.createDataFrame([("a", DAY)], "source string, captured_at timestamp")
+    rows.write.parquet(src)
+    stream = sc.stream_staleness(spark.readStream.schema(rows.schema).parquet(src), seconds=1)
+    q = (
+        stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect()))
+        .option("checkpointLocation", str(tmp_path / "cursor")).trigger(processingTime="1 second").start()
+    )
+    try:
+        until = time.time() + 60
+        while not seen and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [(r.source, r.last_event_at, r.stale) for r in seen[:1]] == [("a", DAY, True)]

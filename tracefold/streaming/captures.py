@@ -212,7 +212,9 @@ class SilenceAlarm(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait)
-        yield pd.DataFrame({"source": [], "last_event_at": [], "stale": []})
+        yield pd.DataFrame({
+            "source": pd.Series(dtype="object"), "last_event_at": pd.Series(dtype="datetime64[ns]"), "stale": pd.Series(dtype="bool"),
+        })
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"source": [key[0]], "last_event_at": [self.last.get()[0]], "stale": [True]})
