@@ -20,7 +20,7 @@ import regex
 
 NONE = np.int64(1 << 40)
 LONG_WORD = 200  # bytes; longer pre-tokens go to the heap
-CACHED = 1_000_000  # chunks that a worker remembers
+CACHED = 250_000  # chunks that a worker remembers, and as many that it is about to forget
 LONG_CHUNK = 60  # characters; longer chunks are not remembered
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -36,7 +36,6 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.by_bytes = {t: i for i, t in tokens.items()}
         rows = np.array(list(pairs), np.int64).reshape(-1, 4)
-        self.pairs = {(int(a), int(b)): (int(r), int(m)) for a, b, r, m in rows}
         # Open addressing: a look-up is one or two array reads.
         self.bits = max(4, int(len(rows) * 4).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -77,7 +76,17 @@ class Vocabulary:
         """One word of any length: a heap of pairs over a linked list."""
         ids = [int(self.byte_ids[b]) for b in word]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        pair = lambda i: self.pairs.get((ids[i], ids[after[i]])) if after[i] < len(ids) else None
+        known: dict[tuple[int, int], tuple[int, int] | None] = {}
+
+        def pair(i: int) -> tuple[int, int] | None:
+            if after[i] >= len(ids):
+                return None
+            key = ids[i], ids[after[i]]
+            if key not in known:
+                found = int(self.look_up(np.array(key[:1], np.int64), np.array(key[1:], np.int64))[0])
+                known[key] = (found >> 20, found & ((1 << 20) - 1)) if found < NONE << 20 else None
+            return known[key]
+
         heap = [(p[0], i, p[1]) for i in range(len(ids)) if (p := pair(i))]
         heapq.heapify(heap)
         while heap:
@@ -169,6 +178,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, whole_tokens: bool) -> None:
         self.vocabulary, self.whole_tokens = vocabulary, whole_tokens
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of single pre-tokens."""
@@ -208,9 +218,11 @@ class Encoder:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
         if len(self.cache) > CACHED:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         fresh = set().union(*(p[1:] for p in parts)) - self.cache.keys()
-        self.learn(fresh)
+        again = fresh & self.old.keys()
+        self.cache.update((c, self.old[c]) for c in again)
+        self.learn(fresh - again)
         heads = list({p[0] for p in parts})
         first = dict(zip(heads, self.encode_chunks(heads), strict=True))
         take = self.cache.__getitem__

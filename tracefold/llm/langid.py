@@ -145,24 +145,56 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int =
     return profiles
 
 
+def predict(texts: list[str | None], names: list[str], profiles: np.ndarray, dimensions: int) -> tuple[list[str], list[float]]:
+    """(language, cosine) of each text, from unit profiles in the order of names."""
+    vectors, counts = bundles([t or "" for t in texts], dimensions)
+    langs, scores = [], []
+    lengths = np.sqrt((vectors * vectors).sum(1))
+    cosines = vectors @ profiles.T / np.maximum(lengths, 1e-9)[:, None] if len(names) else np.zeros((len(vectors), 0))
+    for count, row in zip(counts, cosines, strict=True):
+        best = int(row.argmax()) if len(row) else -1
+        langs.append(names[best] if count and best >= 0 else UNDETERMINED)
+        scores.append(float(min(1.0, max(0.0, row[best]))) if count and best >= 0 else 0.0)
+    return langs, scores
+
+
 def _predict(names: list[str], profiles: np.ndarray, dimensions: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            vectors, counts = bundles([t or "" for t in batch.column(2).to_pylist()], dimensions)
-            langs, scores = [], []
-            lengths = np.sqrt((vectors * vectors).sum(1))
-            cosines = vectors @ profiles.T / np.maximum(lengths, 1e-9)[:, None] if len(names) else np.zeros((len(vectors), 0))
-            for count, row in zip(counts, cosines, strict=True):
-                best = int(row.argmax()) if len(row) else -1
-                langs.append(names[best] if count and best >= 0 else UNDETERMINED)
-                scores.append(float(min(1.0, max(0.0, row[best]))) if count and best >= 0 else 0.0)
+            langs, scores = predict(batch.column(2).to_pylist(), names, profiles, dimensions)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return run
 
 
+def _keep(names: list[str], profiles: np.ndarray, dimensions: int, text: str, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            langs, scores = predict(texts, names, profiles, dimensions)
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return run
+
+
+def unit_profiles(docs: DataFrame, dimensions: int, sample: int) -> tuple[list[str], np.ndarray]:
+    """Names in order, and their profiles at length 1, learned from the rows of (doc_id, text, lang) not held out."""
+    profiles = learn_profiles(docs.where(~held_out(F.col("doc_id"))), dimensions, sample)
+    names = sorted(n for n, p in profiles.items() if p.any())
+    return names, np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names]) if names else np.zeros((0, dimensions))
+
+
+def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, dimensions: int = DIMENSIONS, sample: int = SAMPLE) -> DataFrame:
+    """Rows whose text is of some learned language, with all columns: not ``und`` and a cosine of ``least`` or more.
+
+    Rows do not move. Where nothing can be learned every text is ``und`` and goes.
+    """
+    names, table = unit_profiles(docs.select("doc_id", "text", "lang"), dimensions, sample)
+    return docs.mapInArrow(_keep(names, table, dimensions, "text", least), docs.schema)
+
+
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred and score (cosine, 0 to 1) of every row of (doc_id, text, lang).
 
@@ -173,9 +205,7 @@ def identify(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int = SAMPLE
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     ).withColumn("held_out", held_out(F.col("doc_id")))
-    profiles = learn_profiles(slim.where(~F.col("held_out")), dimensions, sample)
-    names = sorted(n for n, p in profiles.items() if p.any())
-    table = np.stack([profiles[n] / np.linalg.norm(profiles[n]) for n in names]) if names else np.zeros((0, dimensions))
+    names, table = unit_profiles(slim, dimensions, sample)
     return slim.select("doc_id", "held_out", "text").mapInArrow(
         _predict(names, table, dimensions), "doc_id long, held_out boolean, lang_pred string, score double"
     )

@@ -427,3 +427,13 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     linked = rows.where("n > 0").join(named, "ent").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """Rows with all their columns, of each component only those with its smallest doc_id.
+
+    A row stays when its id names its component, is null, or has no words. Ids tell rows apart here, so rows that
+    share an id stay or go by what any of them is linked to.
+    """
+    gone = ngram_components(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
