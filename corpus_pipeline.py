@@ -6,9 +6,15 @@ stage's documents. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import common, exact_dedup
+from tracefold.llm import common, exact_dedup, langid, ngram_join, packing
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the profiles know."""
+    return langid.keep_identified(docs)
 
 
 def keep_exact_owners(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +22,24 @@ def keep_exact_owners(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.kept_documents(docs)
 
 
+def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by their shingles, the one with the smallest id; documents without words are no one's copy."""
+    return ngram_join.kept_documents(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("language_id", keep_languages),
     ("exact_dedup", keep_exact_owners),
+    ("ngram_join", keep_one_of_similar),
+    ("packing", pack_tokens),
 ]
 
-#: Language profiles and tokens are not SQL's; tests hold the stages against brute force.
+#: SQL has no language profiles and no tokens; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
