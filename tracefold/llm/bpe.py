@@ -195,23 +195,23 @@ class Encoder:
         known = dict(zip(pieces, self.merge_words([p.encode("utf-8", "replace") for p in pieces]), strict=True))
         return [b"".join(map(known.__getitem__, ps)) for ps in split]
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         """Remember what ``chunks`` become behind a space.
 
         Letters alone are one pre-token. Letters and one other sign are two, so they share what the letters become.
         """
         cache = self.cache
-        words = {c for c in chunks if c.isalpha()}
-        rest = chunks - words
-        ended = {c for c in rest if c[:-1].isalpha()}
-        words |= {c[:-1] for c in ended} - cache.keys()
-        order = list(words)
+        words, rest, ended, others = [], [], [], []
+        for c in chunks:
+            (words if c.isalpha() else rest).append(c)
+        for c in rest:
+            (ended if c[:-1].isalpha() else others).append(c)
+        order = list({*words, *(w for c in ended if (w := c[:-1]) not in cache)})
         cache.update(zip(order, self.merge_words([(" " + w).encode("utf-8", "replace") for w in order]), strict=True))
         signs = list({c[-1] for c in ended})
         tails = dict(zip(signs, self.encode_chunks(signs), strict=True))
         for c in ended:
             cache[c] = cache[c[:-1]] + tails[c[-1]]
-        others = list(rest - ended)
         cache.update(zip(others, self.encode_chunks([" " + c for c in others]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -219,10 +219,12 @@ class Encoder:
         parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
         if len(self.cache) > CACHED:
             self.old, self.cache = self.cache, {}
-        fresh = set().union(*(p[1:] for p in parts)) - self.cache.keys()
-        again = fresh & self.old.keys()
-        self.cache.update((c, self.old[c]) for c in again)
-        self.learn(fresh - again)
+        cache, old = self.cache, self.old
+        fresh = [c for c in set().union(*(p[1:] for p in parts)) if c not in cache]
+        again = [c for c in fresh if c in old]
+        cache.update(zip(again, map(old.__getitem__, again), strict=True))
+        fresh = [c for c in fresh if c not in cache]
+        self.learn(fresh)
         heads = list({p[0] for p in parts})
         first = dict(zip(heads, self.encode_chunks(heads), strict=True))
         take = self.cache.__getitem__

@@ -94,7 +94,7 @@ def _encode_pieces(path: str, pattern: str, chunk: int):
             ready.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             for uid, doc_id, k, text, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if place is None or (uid, begin) != (place[0], place[2]):
                     close()
@@ -153,7 +153,7 @@ def _as_digest(path: str, pattern: str):
 
 def _encode_whole(path: str, pattern: str, finish):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             yield finish(batch.column(0).to_pylist(), bpe.encoder(path, pattern).encode([t or "" for t in batch.column(1).to_pylist()]))
 
     return run
