@@ -23,8 +23,10 @@ GRAM = 3
 SAMPLE = 4000  # training texts a language, expected
 BLOCK = 8192  # n-grams whose vectors are held at once
 UNDETERMINED = "und"
-#: A text is rejected below this cosine: letters in no order of any learned language stay near 0.
+#: A text with so many n-grams is rejected below this cosine: letters in no order of any learned language stay near 0.
+#: With fewer n-grams a low cosine says little, so such a text stays.
 LEAST_SCORE = 0.1
+EVIDENCE = 64
 
 
 @functools.cache
@@ -145,8 +147,8 @@ def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, sample: int =
     return profiles
 
 
-def predict(texts: list[str | None], names: list[str], profiles: np.ndarray, dimensions: int) -> tuple[list[str], list[float]]:
-    """(language, cosine) of each text, from unit profiles in the order of names."""
+def predict(texts: list[str | None], names: list[str], profiles: np.ndarray, dimensions: int) -> tuple[list[str], list[float], np.ndarray]:
+    """(language, cosine, number of n-grams) of each text, from unit profiles in the order of names."""
     vectors, counts = bundles([t or "" for t in texts], dimensions)
     langs, scores = [], []
     lengths = np.sqrt((vectors * vectors).sum(1))
@@ -155,7 +157,7 @@ def predict(texts: list[str | None], names: list[str], profiles: np.ndarray, dim
         best = int(row.argmax()) if len(row) else -1
         langs.append(names[best] if count and best >= 0 else UNDETERMINED)
         scores.append(float(min(1.0, max(0.0, row[best]))) if count and best >= 0 else 0.0)
-    return langs, scores
+    return langs, scores, counts
 
 
 def _predict(names: list[str], profiles: np.ndarray, dimensions: int):
@@ -163,7 +165,7 @@ def _predict(names: list[str], profiles: np.ndarray, dimensions: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            langs, scores = predict(batch.column(2).to_pylist(), names, profiles, dimensions)
+            langs, scores, _ = predict(batch.column(2).to_pylist(), names, profiles, dimensions)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return run
@@ -173,8 +175,9 @@ def _keep(names: list[str], profiles: np.ndarray, dimensions: int, text: str, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            langs, scores = predict(texts, names, profiles, dimensions)
-            yield batch.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, scores, counts = predict(texts, names, profiles, dimensions)
+            stays = [lang != UNDETERMINED and (score >= least or n < EVIDENCE) for lang, score, n in zip(langs, scores, counts, strict=True)]
+            yield batch.filter(pa.array(stays, pa.bool_()))
 
     return run
 
@@ -187,7 +190,8 @@ def unit_profiles(docs: DataFrame, dimensions: int, sample: int) -> tuple[list[s
 
 
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE, dimensions: int = DIMENSIONS, sample: int = SAMPLE) -> DataFrame:
-    """Rows whose text is of some learned language, with all columns: not ``und`` and a cosine of ``least`` or more.
+    """Rows whose text is of some learned language, with all columns: not ``und``, and a cosine of ``least`` or more
+    wherever there are ``EVIDENCE`` n-grams to tell.
 
     Rows do not move. Where nothing can be learned every text is ``und`` and goes.
     """
