@@ -94,6 +94,9 @@ class PatriciaTrie:
     def spill(self, bound: bytes | None) -> Iterator[tuple[bytes, list]]:
         """Give up every subtree whose keys all precede ``bound`` (all, if None)."""
         node, path = self.root, b""
+        if node[2] is not None and bound != b"":
+            yield b"", node[2]
+            node[2] = None
         while True:
             follow = None
             for first in sorted(node[1]):
