@@ -26,9 +26,9 @@ from tracefold.llm.common import staged
 
 BLOCK_ROWS = 4096
 CHUNK = 256  # queries that travel together
-LEVELS = 24
+LEVELS = 12
 ROUND = 32  # segments between two looks at the bar
-FEW = 128  # rows that are cheaper to score than to rule out
+FEW = 512  # rows that are cheaper to score than to rule out
 HIT_SCHEMA = "query_id long, vec_id long, score long"
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -93,20 +93,18 @@ class ImpactIndex:
         impact = np.where(w > 0, w * (self.top - self.low[self.component]), w * (self.bottom - self.high[self.component]))
         order = np.argsort(-impact, kind="stable")
         slack = 1e-9 * float(np.abs(weight).sum() * max(1.0, np.abs(self.values).max()) + 1)
-        bound = np.full(n, base + slack)
-        todo = np.full(n, self.width)
+        met = np.zeros(n, np.complex128)  # of each row the impacts so far, and in the imaginary part how many they are
+        steps = impact + 1j
         excluded = np.searchsorted(self.ids, own) if own is not None else n
         excluded = excluded if excluded < n and self.ids[excluded] == own else -1
         done, candidates = 0, None
         while True:
             for s in order[done : done + ROUND]:
-                rows = self.segments[s]
-                bound[rows] += impact[s]
-                todo[rows] -= 1
+                met[self.segments[s]] += steps[s]
             done = min(done + ROUND, len(order))
             rest = impact[order[done]] if done < len(order) else 0.0
             # What a row may still gain: at most the next impact, for each component not met.
-            reach = bound + todo * rest
+            reach = met.real + (self.width - met.imag) * rest + (base + slack)
             if excluded >= 0:
                 reach[excluded] = -np.inf
             if n > k:
