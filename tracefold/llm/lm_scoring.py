@@ -199,7 +199,7 @@ def cross_entropy_difference(
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     layout = Layout(learn_vocabulary(slim, vocabulary), classes)
-    flagged = slim.join(target.select("doc_id", "is_target"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    flagged = slim.join(target.select("doc_id", "is_target").hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     counts = count_cells(spark, flagged, layout)
     sizes = counts[:, classes * classes :].sum(1)
     scale = float(sizes[0]) / float(sizes[1]) if sizes[0] else 0.0
