@@ -33,7 +33,9 @@ def test_search_is_exact(seed, n, width, size):
         assert [(-int(s), int(i)) for s, i in zip(scores[top], found[top])] == full
 
 
-def test_stops_on_proof():
+def test_stops_on_proof(monkeypatch):
+    monkeypatch.setattr("tracefold.llm.topk.ROUND", 2)
+    monkeypatch.setattr("tracefold.llm.topk.FEW", 100)
     rng = np.random.default_rng(1)
     values = (rng.standard_t(2, (3000, 6)) * 100).astype(np.int64)
     _, _, done = (index := ImpactIndex(np.arange(3000), values)).search(np.array([9, 1, 1, 1, 0, 0]), None, 10)
