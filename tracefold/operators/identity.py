@@ -22,12 +22,17 @@ def _task_rows(events: DataFrame) -> DataFrame:
     return events.where(F.col("task_key").isNotNull() & F.col("kind").isin(*fv.TASK_KINDS))
 
 
-def _rename(events: DataFrame, replacement: DataFrame) -> DataFrame:
-    """Apply (task_key -> new_key, new_title, first_start) to task events; later starts become progress."""
-    joined = events.join(replacement, "task_key", "left")
-    merged = F.col("new_key").isNotNull() & F.col("kind").isin(*fv.TASK_KINDS)
+def _rename(events: DataFrame, replacement: DataFrame, task_kinds_only: bool) -> DataFrame:
+    """Apply (task_key -> new_key, new_title, first_start); later starts become progress.
+
+    Events without a task, which may be most of them, are not joined: they would meet in one partition.
+    """
+    joined = events.where(F.col("task_key").isNotNull()).join(replacement, "task_key", "left")
+    merged = F.col("new_key").isNotNull()
+    if task_kinds_only:
+        merged = merged & F.col("kind").isin(*fv.TASK_KINDS)
     demoted = merged & (F.col("kind") == "task_started") & ~F.col("id").eqNullSafe(F.col("first_start"))
-    return joined.select(
+    renamed = joined.select(
         *[
             F.when(merged, F.col("new_key")).otherwise(F.col("task_key")).alias("task_key") if c == "task_key"
             else F.when(merged, F.col("new_title")).otherwise(F.col("title")).alias("title") if c == "title"
@@ -36,6 +41,7 @@ def _rename(events: DataFrame, replacement: DataFrame) -> DataFrame:
             for c in events.columns
         ]
     )
+    return renamed.unionByName(events.where(F.col("task_key").isNull()))
 
 
 def numbered_copies(events: DataFrame, gap_days: int = fv.TASK_COPY_GAP_DAYS) -> DataFrame:
@@ -86,7 +92,7 @@ def numbered_copies(events: DataFrame, gap_days: int = fv.TASK_COPY_GAP_DAYS) ->
 
 
 def merge_numbered_copies(events: DataFrame, gap_days: int = fv.TASK_COPY_GAP_DAYS) -> DataFrame:
-    return _rename(events, numbered_copies(events, gap_days))
+    return _rename(events, numbered_copies(events, gap_days), task_kinds_only=True)
 
 
 def explicit_identities(events: DataFrame) -> DataFrame:
@@ -117,7 +123,8 @@ def explicit_identities(events: DataFrame) -> DataFrame:
 
 
 def merge_explicit_identities(events: DataFrame) -> DataFrame:
-    return _rename(events, explicit_identities(events))
+    """Every event of a task goes with its task, whatever its kind."""
+    return _rename(events, explicit_identities(events), task_kinds_only=False)
 
 
 def reconcile_identities(events: DataFrame) -> DataFrame:

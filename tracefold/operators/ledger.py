@@ -45,7 +45,7 @@ def validate_receipts(
         .when(repeated, "duplicate-topic")
         .when(faults > 0, "run-rejected")
         .when(F.col("copies").isNull(), "missing-topic")
-        .when(~F.coalesce("same", F.lit(False)), "source-events-differ")
+        .when(~F.coalesce("same", F.lit(True)), "source-events-differ")
         .when(~F.coalesce(status.isin("succeeded", "pending", "not-applicable"), F.lit(False)), "not-successful")
         .when(status.isin("pending", "not-applicable") & (F.trim(reason) == ""), "reason-required")
     )
@@ -109,8 +109,8 @@ def advance_processed(processed: DataFrame, receipts: DataFrame, receipt_events:
     return processed.select("event_id").unionByName(added).distinct().join(back, "event_id", "left_anti")
 
 
-def run_rollup(results: DataFrame, run: str = "run_id", first_failures: int = 8) -> DataFrame:
-    """Run status from topic results (run, id, status, title, error) and system pairs; the first failures listed."""
+def run_rollup(results: DataFrame, run: str = "run_id", first_failures: int | None = None) -> DataFrame:
+    """Run status from topic results (run, id, status, title, error) and system pairs; failures listed, all or the first so many."""
     is_ = lambda s: F.count_if(F.col("status") == s)
     counts = results.groupBy(run).agg(
         is_("succeeded").alias("committed"), is_("not-applicable").alias("skipped"), is_("pending").alias("pending"),
@@ -123,8 +123,10 @@ def run_rollup(results: DataFrame, run: str = "run_id", first_failures: int = 8)
         .when(F.col("pending") > 0, "partial")
         .otherwise("succeeded")
     )
-    failed = first_rows(results.where(F.col("status") == "failed"), [run], ["id"], first_failures, rank="n")
-    listed = failed.groupBy(run).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]), "|").alias("failures"))
+    failed = results.where(F.col("status") == "failed")
+    if first_failures is not None:
+        failed = first_rows(failed, [run], ["id"], first_failures, rank="n")
+    listed = failed.groupBy(run).agg(F.array_join(F.array_sort(F.collect_list("id")), "|").alias("failures"))
     return counts.withColumn("final_status", final).join(listed, run, "left").withColumn("failures", F.coalesce("failures", F.lit("")))
 
 
@@ -160,12 +162,12 @@ def _run_time() -> Column:
 
 
 def merge_runs(
-    structured: DataFrame, legacy: DataFrame, current: DataFrame | None = None, limit: int | None = fv.RUNS_SHOWN, seconds: int = 300,
+    structured: DataFrame, legacy: DataFrame, current: DataFrame | None = None, limit: int | None = None, seconds: int = 300,
     owner: list[str] | None = None,
 ) -> DataFrame:
     """Structured runs, legacy runs they do not cover, and the current one unless it repeats a recent structured run.
 
-    The newest ``limit`` runs are a feature of the report; ``None`` keeps all. With ``owner`` the report
+    A report may ask for the newest ``limit`` runs; by default all are kept. With ``owner`` the report
     is per owner.
     """
     keys = owner or []
@@ -187,19 +189,20 @@ def merge_runs(
 
 
 def legacy_before(
-    structured: DataFrame, legacy: DataFrame, kept: int = fv.RUNS_KEPT, limit: int = fv.LEGACY_RUNS_KEPT, owner: list[str] | None = None
+    structured: DataFrame, legacy: DataFrame, limit: int | None = None, owner: list[str] | None = None
 ) -> DataFrame:
-    """Legacy logs older than every structured run, and only where no structured run was dropped by the cap."""
+    """Legacy logs older than every structured run: all, or the newest ``limit`` (of each owner).
+
+    Structured runs are never dropped here, so their number does not matter.
+    """
+    newest = [F.col("started_at").desc(), F.col("id").desc()]
     if owner:
-        edge = structured.groupBy(*owner).agg(F.min("started_at").alias("_edge"), F.count(F.lit(1)).alias("_n"))
-        rows = legacy.join(edge, owner, "left").where(
-            (F.coalesce("_n", F.lit(0)) <= kept) & (F.col("_edge").isNull() | (F.col("started_at") < F.col("_edge")))
-        )
-        return first_rows(rows.drop("_edge", "_n"), owner, [F.col("started_at").desc(), F.col("id").desc()], limit)
+        edge = structured.groupBy(*owner).agg(F.min("started_at").alias("_edge"))
+        rows = legacy.join(edge, owner, "left").where(F.col("_edge").isNull() | (F.col("started_at") < F.col("_edge"))).drop("_edge")
+        return rows if limit is None else first_rows(rows, owner, newest, limit)
     edge = structured.agg(F.min("started_at")).scalar()
-    count = structured.agg(F.count(F.lit(1))).scalar()
-    rows = legacy.where((count <= kept) & (edge.isNull() | (F.col("started_at") < edge)))
-    return rows.orderBy(F.col("started_at").desc(), F.col("id").desc()).limit(limit)
+    rows = legacy.where(edge.isNull() | (F.col("started_at") < edge))
+    return rows if limit is None else rows.orderBy(*newest).limit(limit)
 
 
 def path_claims(claims: DataFrame, existing: DataFrame | None = None) -> DataFrame:

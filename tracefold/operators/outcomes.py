@@ -130,13 +130,17 @@ def select_latest_settlement(matches: DataFrame, ledger: DataFrame, item: str) -
 
 
 def settlement_events(ledger_events: DataFrame, events: DataFrame) -> DataFrame:
-    """(settlement_id, event id): by id, and by the older ``session:turn:…`` form of source ids."""
+    """(settlement_id, event id): by id, and by the older ``session:turn:…`` form of source ids.
+
+    Sessions may hold colons themselves, so every prefix of a source id that ends before a colon is looked up.
+    """
     ids_ = events.select(F.col("id").alias("event_id"), "session_id", "turn_id")
     direct = ledger_events.select("settlement_id", "event_id").join(ids_.select("event_id"), "event_id")
-    sourced = F.concat_ws(":", F.col("source_id_parts")[0], F.col("source_id_parts")[1])
-    older = ledger_events.select("settlement_id", F.split("event_id", ":").alias("source_id_parts")).where(
-        F.size("source_id_parts") >= 3
-    ).select("settlement_id", sourced.alias("turn"))
+    parts = F.split("event_id", ":")
+    prefixes = F.transform(F.sequence(F.lit(2), F.size("parts") - 1), lambda n: F.array_join(F.slice("parts", 1, n), ":"))
+    older = ledger_events.select("settlement_id", parts.alias("parts")).where(F.size("parts") >= 3).select(
+        "settlement_id", F.explode(prefixes).alias("turn")
+    )
     turns = ids_.where(F.col("session_id").isNotNull() & F.col("turn_id").isNotNull()).select(
         "event_id", F.concat_ws(":", "session_id", "turn_id").alias("turn")
     )

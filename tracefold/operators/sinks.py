@@ -45,13 +45,14 @@ def append_new(batch: DataFrame, path: str, key: str = "event_id", seq: str = "i
 
     The plan is written, not recomputed: counts are read from a reliable checkpoint taken before the append.
     """
-    from tracefold.session import cut_lineage
+    from tracefold.session import cut_lineage, stored_table
 
     spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(path).select(key)
-    except Exception:  # noqa: BLE001 - the first append finds no table
+    stored = stored_table(spark, path)
+    if stored is None:
         known = batch.select(key).where(F.lit(False))
+    else:  # an id belongs to one date, so only the batch's dates are read
+        known = stored.join(batch.select("date").distinct(), "date", "left_semi").select(key)
     plan = cut_lineage(append_plan(batch, known, key, seq))
     plan.where("verdict = 'accepted'").drop("verdict").write.partitionBy("date").mode("append").parquet(path)
     return append_counts(plan)
@@ -95,11 +96,11 @@ def daily_source_pages(pairs: DataFrame, written: DataFrame | None = None) -> Da
     lit = F.lit
     as_record = body(
         F.concat(lit("## "), _heading(F.coalesce(blank_to_null(F.col("title")), lit("未命名飞书记录")))), F.col("marker"), lit(""),
-        F.concat(lit("- 来源：飞书 · "), module_label(F.col("resource_type"))), lit(""), _quote(F.substring("stop_content", 1, 4000)), lit(""),
+        F.concat(lit("- 来源：飞书 · "), module_label(F.col("resource_type"))), lit(""), _quote(F.col("stop_content")), lit(""),
     )
     as_automation = body(
         F.concat(lit("## 自动化记录："), automation_display_name(F.col("prompt_content"), F.col("stop_content"))), F.col("marker"), lit(""),
-        lit("### 结果"), _quote(F.substring("stop_content", 1, 2000)), lit(""),
+        lit("### 结果"), _quote(F.col("stop_content")), lit(""),
     )
     as_pair = body(
         F.concat(lit("## "), _heading(title)), F.col("marker"), lit(""), lit("### 问题"), _quote(F.col("prompt_content")), lit(""),
@@ -122,9 +123,10 @@ def daily_source_pages(pairs: DataFrame, written: DataFrame | None = None) -> Da
 def write_pages(blocks: DataFrame, path: str, page: str = "daily_path", order: tuple[str, ...] = ("captured_at", "id"), text: str = "block") -> None:
     """Write ordered blocks as text, one folder per page; a page reads as its files in name order.
 
-    Range partitioning keeps the order across files and splits a page that outgrows a task.
+    Range partitioning keeps the order across files and splits a page that outgrows a task. Pages that are given are
+    replaced, others stay, so writing twice doubles nothing.
     """
     ordered = blocks.repartitionByRange(page, *[F.col(c).asc_nulls_first() for c in order]).sortWithinPartitions(
         page, *[F.col(c).asc_nulls_first() for c in order]
     )
-    ordered.select(page, F.col(text).alias("value")).write.partitionBy(page).mode("append").text(path)
+    ordered.select(page, F.col(text).alias("value")).write.partitionBy(page).mode("overwrite").option("partitionOverwriteMode", "dynamic").text(path)

@@ -96,13 +96,13 @@ art AS (
 LEDGER = """
 ledger AS (
   SELECT CASE WHEN o_orderkey % 21 = 0 THEN 'outcome:backfill:' ELSE 'outcome:' END || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id,
-    CASE o_orderkey % 12 WHEN 0 THEN 'failed' WHEN 3 THEN 'pending' WHEN 6 THEN 'succeeded' ELSE 'not-applicable' END AS status,
+    CASE o_orderkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' WHEN 2 THEN 'succeeded' ELSE 'not-applicable' END AS status,
     o_orderdate + to_days(1) AS updated_at, CASE WHEN o_orderkey % 2 = 0 THEN 'durable-output' ELSE 'knowledge-topic' END AS category,
     'Settled ' || o_orderkey AS title, o_orderkey AS k
-  FROM orders WHERE o_orderkey % 3 = 0
+  FROM orders
 ), ledger_events AS (
-  SELECT id AS settlement_id, 'x' || ((k + d) * 10 + n) AS event_id
-  FROM ledger, (VALUES (0), (1)) o(d), (VALUES (1), (2), (3), (4)) l(n) WHERE d = 0 OR k % 4 = 0
+  SELECT DISTINCT id AS settlement_id, 'x' || (l_orderkey * 10 + l_linenumber) AS event_id
+  FROM ledger JOIN lineitem ON l_orderkey = k OR (k % 4 = 0 AND l_orderkey = k + 1)
 )"""
 
 NOTES = """

@@ -51,8 +51,9 @@ grouped AS (
   SELECT identity, (min((occurred_at, id)) FILTER (kind = 'task_started'))[2] AS first_start, arg_min(title, (NOT codex_ref, occurred_at, id)) AS new_title, min((occurred_at, id)) AS first_seen
   FROM said GROUP BY identity HAVING count(DISTINCT task_key) >= 2 AND count(DISTINCT ref_type) >= 2
 ), replaced AS (
-  SELECT task_key, 'work:' || arg_max(identity, (first_seen, identity)) AS new_key, arg_max(new_title, (first_seen, identity)) AS new_title, arg_max(first_start, (first_seen, identity)) AS first_start
-  FROM (SELECT DISTINCT identity, task_key FROM said) JOIN grouped USING (identity) GROUP BY task_key
+  SELECT task_key, 'work:' || m.identity AS new_key, m.new_title AS new_title, m.first_start AS first_start
+  FROM (SELECT task_key, arg_max({{'identity': identity, 'new_title': new_title, 'first_start': first_start}}, (first_seen, identity)) AS m
+    FROM (SELECT DISTINCT identity, task_key FROM said) JOIN grouped USING (identity) GROUP BY task_key)
 )""", RENAMED))
 def _merge_explicit_identities(spark, sf):
     return i.merge_explicit_identities(g.events_as_activity(spark, sf)).select("id", "kind", "task_key", "title")

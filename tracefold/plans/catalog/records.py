@@ -333,32 +333,30 @@ def _runs(spark, sf):
         F.concat(F.lit("r"), s(F.floor(F.col("event_id") / per))).alias("run_id"), (F.when(F.col("event_id") % 2 == 0, "partial").otherwise("failed")).alias("status"),
         F.col("ts").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(origin).alias("origin"),
     )
-    return (run(e.where(F.col("event_type") == t), n, 50) for t, n in (("click", "structured"), ("view", "legacy"), ("error", "current-status")))
+    return (run(e.where(kind), n, 50) for kind, n in ((~F.col("event_type").isin("view", "error"), "structured"), (F.col("event_type") == "view", "legacy"), (F.col("event_type") == "error", "current-status")))
 
 
 RUNS = """
-runs AS (SELECT 'u' || user_id AS owner, CASE event_type WHEN 'click' THEN 'structured' WHEN 'view' THEN 'legacy' ELSE 'current-status' END AS origin, event_id, 'r' || (event_id // 50) AS run_id,
-  CASE WHEN event_id % 2 = 0 THEN 'partial' ELSE 'failed' END AS status, ts FROM events WHERE event_type IN ('click', 'view', 'error')),
+runs AS (SELECT 'u' || user_id AS owner, CASE event_type WHEN 'error' THEN 'current-status' WHEN 'view' THEN 'legacy' ELSE 'structured' END AS origin, event_id, 'r' || (event_id // 50) AS run_id,
+  CASE WHEN event_id % 2 = 0 THEN 'partial' ELSE 'failed' END AS status, ts FROM events),
 st AS (SELECT * FROM runs WHERE origin = 'structured'), lg AS (SELECT * FROM runs WHERE origin = 'legacy'), cu AS (SELECT * FROM runs WHERE origin = 'current-status')"""
 
 
 @query("merge_runs", with_ctes(RUNS, """
 merged AS (SELECT * FROM st UNION ALL SELECT * FROM lg WHERE (owner, run_id) NOT IN (SELECT (owner, run_id) FROM st)
   UNION ALL SELECT * FROM cu WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.owner = cu.owner AND st.run_id = cu.run_id AND st.status = cu.status AND abs(epoch_us(st.ts) - epoch_us(cu.ts)) < 300000000))""", """
-SELECT owner, origin || '-' || event_id AS id FROM merged QUALIFY row_number() OVER (PARTITION BY owner ORDER BY ts DESC, origin || '-' || event_id DESC) <= 80"""))
+SELECT owner, origin || '-' || event_id AS id FROM merged"""))
 def _merge_runs(spark, sf):
     structured, legacy, current = _runs(spark, sf)
     return ld.merge_runs(structured, legacy, current, owner=["owner"]).select("owner", "id")
 
 
 @query("legacy_before", with_ctes(RUNS, """
-edge AS (SELECT owner, min(ts) AS edge, count(*) AS n FROM st WHERE event_id % 3 = 0 AND epoch(ts) > epoch(TIMESTAMP '2024-01-10') GROUP BY owner)""", """
-SELECT lg.owner, 'legacy-' || event_id AS id FROM lg LEFT JOIN edge USING (owner) WHERE coalesce(n, 0) <= 120 AND (edge IS NULL OR ts < edge)
-QUALIFY row_number() OVER (PARTITION BY lg.owner ORDER BY ts DESC, 'legacy-' || event_id DESC) <= 30"""))
+edge AS (SELECT owner, min(ts) AS edge FROM st GROUP BY owner)""", """
+SELECT lg.owner, 'legacy-' || event_id AS id FROM lg LEFT JOIN edge USING (owner) WHERE edge IS NULL OR ts < edge"""))
 def _legacy_before(spark, sf):
     structured, legacy, _ = _runs(spark, sf)
-    kept = structured.where((F.substring_index("id", "-", -1).cast("long") % 3 == 0) & (F.col("started_at") > F.lit("2024-01-10").cast("timestamp")))
-    return ld.legacy_before(kept, legacy, owner=["owner"]).select("owner", "id")
+    return ld.legacy_before(structured, legacy, owner=["owner"]).select("owner", "id")
 
 
 def _results(spark, sf):
@@ -370,7 +368,7 @@ ROLLUP = """
 results AS (SELECT o_custkey AS run_id, 't' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS id, CASE WHEN o_orderkey % 9 = 0 THEN 'system' WHEN o_orderstatus = 'F' THEN 'succeeded'
   WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderkey % 4 = 0 THEN 'failed' ELSE 'not-applicable' END ELSE 'pending' END AS status FROM orders),
 c AS (SELECT run_id, count(*) FILTER (status = 'succeeded') AS committed, count(*) FILTER (status = 'not-applicable') AS skipped, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed,
-  count(*) FILTER (status = 'system') AS system_pairs, coalesce(array_to_string((list(id ORDER BY id) FILTER (status = 'failed'))[1:8], '|'), '') AS failures FROM results GROUP BY run_id),
+  count(*) FILTER (status = 'system') AS system_pairs, coalesce(array_to_string(list(id ORDER BY id) FILTER (status = 'failed'), '|'), '') AS failures FROM results GROUP BY run_id),
 rollup_ AS (SELECT *, CASE WHEN failed > 0 THEN CASE WHEN committed + skipped + system_pairs > 0 THEN 'partial' ELSE 'failed' END WHEN pending > 0 THEN 'partial' ELSE 'succeeded' END AS final_status FROM c)"""
 
 
@@ -422,7 +420,7 @@ def _receipts(spark, sf):
 
 @query("validate_receipts", with_ctes(LEDGER, RECEIPTS, """
 topics AS (SELECT id, k FROM ledger WHERE k % 2 = 0 OR k % 9 = 0)""", """
-SELECT topics.id, status, CASE WHEN status IS NULL THEN 'missing-topic' WHEN topics.k % 14 = 0 THEN 'source-events-differ' WHEN status = 'failed' THEN 'not-successful' WHEN status IN ('pending', 'not-applicable') AND reason = '' THEN 'reason-required' END AS error FROM topics LEFT JOIN rc USING (id)"""))
+SELECT topics.id, status, CASE WHEN status IS NULL THEN 'missing-topic' WHEN (SELECT count(*) FROM rev WHERE rev.id = topics.id) <> (SELECT count(*) FROM ledger_events WHERE settlement_id = topics.id) THEN 'source-events-differ' WHEN status = 'failed' THEN 'not-successful' WHEN status IN ('pending', 'not-applicable') AND reason = '' THEN 'reason-required' END AS error FROM topics LEFT JOIN rc USING (id)"""))
 def _validate_receipts(spark, sf):
     ledger, events, receipts, rev = _receipts(spark, sf)
     topics = ledger.where((F.col("k") % 2 == 0) | (F.col("k") % 9 == 0)).select("id")

@@ -62,11 +62,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     target = named or tempfile.mkdtemp(prefix="tracefold-checkpoint-")
     sc.setCheckpointDir(target)
     return target
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing is stored yet; any other fault is raised."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target) or not any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(target)):
+        return None
+    return spark.read.parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's state in reliable storage, so a lost executor costs one round."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -205,11 +205,11 @@ def line_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settlement headers: one per third order."""
+    """Settlement headers: one per order."""
     key = F.col("o_orderkey")
-    return read(spark, sf_dir, "orders").where(key % 3 == 0).select(
+    return read(spark, sf_dir, "orders").select(
         F.when(key % 21 == 0, F.format_string("outcome:backfill:%012d", key)).otherwise(F.format_string("outcome:%012d", key)).alias("id"),
-        F.when(key % 12 == 0, "failed").when(key % 12 == 3, "pending").when(key % 12 == 6, "succeeded").otherwise("not-applicable").alias("status"),
+        F.when(key % 4 == 0, "failed").when(key % 4 == 1, "pending").when(key % 4 == 2, "succeeded").otherwise("not-applicable").alias("status"),
         F.timestamp_micros(F.unix_micros("o_orderdate") + 86_400_000_000).alias("updated_at"),
         F.when(key % 2 == 0, "durable-output").otherwise("knowledge-topic").alias("category"),
         F.concat(F.lit("Settled "), key.cast("string")).alias("title"), key.alias("k"),
@@ -217,14 +217,14 @@ def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bridge (settlement id, source event id): the first four lines of the settlement's order, and of the next one."""
+    """Bridge (settlement id, source event id): the lines of the settlement's order, and of every fourth one's next."""
     ledger = order_ledger(spark, sf_dir).select(F.col("id").alias("settlement_id"), "k")
-    own = F.explode(F.sequence(F.lit(1), F.lit(4)))
-    spans = ledger.select("settlement_id", "k", own.alias("n"))
-    nxt = F.when(F.col("k") % 4 == 0, F.array("k", F.col("k") + 1)).otherwise(F.array("k"))
-    return spans.select("settlement_id", F.explode(nxt).alias("order"), "n").select(
-        "settlement_id", F.concat(F.lit("x"), (F.col("order") * 10 + F.col("n")).cast("string")).alias("event_id")
-    )
+    orders = F.when(F.col("k") % 4 == 0, F.array("k", F.col("k") + 1)).otherwise(F.array("k"))
+    spans = ledger.select("settlement_id", F.explode(orders).alias("l_orderkey"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return spans.join(lines, "l_orderkey").select(
+        "settlement_id", F.concat(F.lit("x"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string")).alias("event_id")
+    ).distinct()
 
 
 def documents_as_notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tracefold import fixed_values as fv
 from tracefold.functions.ids import stable_id
 from tracefold.functions.text import redact, trim_ws
 from tracefold.sources.captures import parse_capture_lines
+from tracefold.session import stored_table
 from tracefold.streaming.growing_files import GrowingLines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -53,14 +54,11 @@ def append_batch(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select("event_id", "date")
-        except Exception:  # noqa: BLE001 - the first batch finds no table
-            known = None
+        known = stored_table(spark, path)
         fresh = batch.dropDuplicates(["event_id"])
         if known is not None:
             days = batch.select("date").distinct()
-            fresh = fresh.join(known.join(days, "date", "left_semi").select("event_id"), "event_id", "left_anti")
+            fresh = fresh.join(known.select("event_id", "date").join(days, "date", "left_semi").select("event_id"), "event_id", "left_anti")
         fresh.write.partitionBy("date").mode("append").parquet(path)
 
     return write
@@ -112,16 +110,12 @@ def refresh_partitions(path: str, events_path: str, build: Callable[[DataFrame],
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         keep = batch.dropDuplicates(["id"])
-        try:
-            stored = spark.read.parquet(events_path)
-            keep = keep.join(stored.select("id"), "id", "left_anti")
-        except Exception:  # noqa: BLE001 - the first batch finds no table
-            pass
+        stored, touched = stored_table(spark, events_path), batch.select(*keys).distinct()
+        if stored is not None:  # an id belongs to one partition, so only those of the batch are read
+            keep = keep.join(stored.select("id", *keys).join(touched, list(keys), "left_semi").select("id"), "id", "left_anti")
         keep.write.partitionBy(*keys).mode("append").parquet(events_path)
-        touched = batch.select(*keys).distinct()
         scoped = spark.read.parquet(events_path).join(touched, list(keys), "left_semi")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        build(scoped).write.partitionBy(*keys).mode("overwrite").parquet(path)
+        build(scoped).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return write
 
