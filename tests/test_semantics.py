@@ -291,6 +291,26 @@ def test_selection_equals_the_loop_even_when_heads_run_out(spark):
         assert [(r.id, r.pairs, r.chars) for r in got.orderBy("place").collect()] == reference_selection(topics, sizes, 9, 14, 1500, offset)
 
 
+def test_selection_ends_with_its_budget(spark, monkeypatch):
+    """Long lanes and spent pairs: one pass, and no head grows to its lane."""
+    passes = []
+    once = queue.select_candidates
+    monkeypatch.setattr(queue, "select_candidates", lambda *a: passes.append(a[-1]) or once(*a))
+    topics = spark.range(30_000).selectExpr(
+        "concat('t', id) id", "concat('t', id) topic_id", "element_at(array('retry', 'backlog', 'recent'), cast(id % 3 + 1 as int)) lane", "concat('p', id % 5) project",
+        "cast(null as timestamp) last_attempt_at", "id % 9 priority", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) first_seen", "true eligible", "10L pending_pair_count",
+    )
+    pairs = spark.range(300_000).selectExpr(
+        "concat('t', id % 30000) topic_id", "cast(id as string) id", "timestamp'2024-01-01' captured_at", "true pending", "100L chars"
+    )
+    got = queue.select_topics(topics, pairs, 6, 40, 120_000).collect()
+    assert sum(r.pairs for r in got) == 40 and passes == [200]
+    # Topics that never fit keep their turn but are not looked for again and again.
+    passes.clear()
+    assert queue.select_topics(topics, pairs.selectExpr("topic_id", "id", "captured_at", "pending", "99999L chars"), 6, 40, 120_000).count() == 0
+    assert passes == [200]
+
+
 # --- artifacts, ledgers --------------------------------------------------------------------------
 def test_ambiguous_commit_prefix_is_not_merged(spark):
     commits = spark.createDataFrame([("c1", "abcdef1" + "0" * 33), ("c2", "abcdef1" + "1" * 33), ("c3", "9999999" + "2" * 33)], "commit_id string, hash string")

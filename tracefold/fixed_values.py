@@ -43,7 +43,6 @@ RECENT_HOURS = 48
 RETRY_BACKOFF_HOURS = 12
 RETRY_BACKOFF_CAP_HOURS = 72
 SELECTION_TOPICS, SELECTION_PAIRS, SELECTION_CHARS = 6, 40, 120_000
-SELECTION_TOPICS_MAX, SELECTION_PAIRS_MAX, SELECTION_CHARS_MAX = 24, 240, 2_000_000
 RUNS_SHOWN, RUNS_KEPT, LEGACY_RUNS_KEPT = 80, 120, 30
 RESOURCE_VERSIONS_KEPT = 20_000
 OPT_OUTS_KEPT = 500

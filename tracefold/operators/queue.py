@@ -267,7 +267,7 @@ def fit_slice(pairs: DataFrame, max_pairs: int, max_chars: int, topic: str = "to
 
 # --- selection -----------------------------------------------------------------------------------
 def _lane_heads(topics: DataFrame, candidates: int) -> DataFrame:
-    """The first ``candidates`` topics of every lane in project round-robin order, with their lane size."""
+    """The first ``candidates`` topics of every lane in project round-robin order."""
     order = topic_order()
     key = F.struct(
         F.coalesce(F.unix_micros("last_attempt_at"), F.lit(-(2**62))).alias("a"), (-F.col("priority")).alias("p"),
@@ -276,13 +276,15 @@ def _lane_heads(topics: DataFrame, candidates: int) -> DataFrame:
     rows = topics.where("eligible").withColumn("sort_key", key)
     projects = rows.groupBy("lane", "project").agg(F.min("sort_key").alias("project_key"))
     ranked = round_robin(rows, "project", order, within=["lane"], depth=candidates).join(projects, ["lane", "project"])
-    head = first_rows(ranked, ["lane"], ["turn", "project_key"], candidates, rank="lane_place")
-    sizes = rows.groupBy("lane").agg(F.count(F.lit(1)).alias("lane_size"))
-    return head.join(sizes, "lane")
+    return first_rows(ranked, ["lane"], ["turn", "project_key"], candidates, rank="lane_place")
 
 
-def _greedy(max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, candidates: int):
-    """Selection over a bounded candidate list: at most ``candidates`` topics a lane, ``max_pairs`` sizes each."""
+def _greedy(max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, share: int):
+    """Selection over a bounded candidate list of topics that can fit, with ``max_pairs`` sizes each.
+
+    A spent budget ends the selection: nothing that waits could fit. ``short`` tells that a lane's list ended while
+    there was room and the lane had more.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         start = lane_offset % len(LANES)
@@ -291,7 +293,7 @@ def _greedy(max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, c
             lane: list(rows.sort_values("lane_place").to_dict("records")) for lane, rows in pdf.groupby("lane", sort=False)
         }
         size = {lane: int(rows["lane_size"].iloc[0]) for lane, rows in pdf.groupby("lane", sort=False)}
-        share = max(1, min(max_topics, len(queues)))
+        held = {lane: len(rows) for lane, rows in queues.items()}
         pair_cap, char_cap = max(1, max_pairs // share), max(1, max_chars // share)
         waiting = {lane: iter(queues.get(lane, [])) for lane in LANES}
         taken, used_pairs, used_chars = [], 0, 0
@@ -309,15 +311,18 @@ def _greedy(max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, c
                     return topic, count, chars
             return None
 
+        def spent():
+            return len(taken) >= max_topics or used_pairs >= max_pairs or used_chars >= max_chars
+
         moved = True
-        while moved and len(taken) < max_topics:
+        while moved and not spent():
             moved = False
             for lane in rotation:
-                if len(taken) >= max_topics:
+                if spent():
                     break
                 fit = next_fit(lane)
                 if fit is None:
-                    short = short or size.get(lane, 0) > candidates
+                    short = short or size.get(lane, 0) > held.get(lane, 0)
                     continue
                 topic, count, chars = fit
                 used_pairs, used_chars, moved = used_pairs + count, used_chars + chars, True
@@ -334,14 +339,21 @@ _SELECTED = "id string, topic_id string, lane string, place int, pairs int, char
 def select_candidates(
     topics: DataFrame, pairs: DataFrame, max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, candidates: int
 ) -> DataFrame:
-    heads = _lane_heads(topics, candidates)
+    lanes = topics.where("eligible").select("lane").distinct().count()
+    share = max(1, min(max_topics, lanes))
     order = ["captured_at", "id"]
+    # A topic whose first pending pair outgrows its lane's characters never fits: it keeps its turn, but is not fetched,
+    # and a lane that has only such topics left has no more to offer.
+    first = pairs.where(F.col("pending")).groupBy("topic_id").agg(F.min_by("chars", F.struct(*order)).alias("_chars"))
+    able = first.where(F.col("_chars") <= max(1, max_chars // share)).select("topic_id")
+    sizes = topics.where("eligible").join(able, "topic_id", "left_semi").groupBy("lane").agg(F.count(F.lit(1)).alias("lane_size"))
+    heads = _lane_heads(topics, candidates).join(able, "topic_id", "left_semi").join(sizes, "lane")
     wanted = pairs.where(F.col("pending")).join(heads.select("topic_id"), "topic_id", "left_semi")
     sizes = first_rows(wanted, ["topic_id"], order, max_pairs, rank="n").groupBy("topic_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "chars"))), lambda x: x["chars"]).alias("sizes")
     )
     rows = heads.join(sizes, "topic_id").select("id", "topic_id", "lane", "lane_place", "lane_size", "pending_pair_count", "sizes")
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_greedy(max_topics, max_pairs, max_chars, lane_offset, candidates), _SELECTED)
+    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_greedy(max_topics, max_pairs, max_chars, lane_offset, share), _SELECTED)
 
 
 def select_topics(
@@ -352,12 +364,10 @@ def select_topics(
 
     Lanes rotate by batch, projects take turns within a lane, each lane has its share of the budget, and a
     topic may enter in part. Ranking is distributed; the greedy fit, which depends on what was taken
-    before, runs over the heads of three lanes. If a lane's head ran out while the lane had more, the
-    head doubles and the fit is repeated, so the outcome is that of the unbounded list.
+    before, runs over the heads of three lanes. Topics that cannot fit are left out before ranking and a spent budget
+    ends the fit, so a head runs out only where what room is left suits no topic in it; it then doubles.
     """
-    max_topics = min(fv.SELECTION_TOPICS_MAX, max(0, max_topics))
-    max_pairs = min(fv.SELECTION_PAIRS_MAX, max(1, max_pairs))
-    max_chars = min(fv.SELECTION_CHARS_MAX, max(1, max_chars))
+    max_topics, max_pairs, max_chars = max(0, max_topics), max(1, max_pairs), max(1, max_chars)
     while True:
         chosen = cut_lineage(select_candidates(topics, pairs, max_topics, max_pairs, max_chars, lane_offset, candidates))
         if not chosen.where("short").limit(1).count():

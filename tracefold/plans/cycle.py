@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold import fixed_values as fv
 from tracefold.operators import ledger as ld
 from tracefold.operators import queue as q
 from tracefold.operators.turns import build_pairs
@@ -34,7 +35,7 @@ def prepare_contract(
     rows = cut_lineage(q.with_topics(q.segment_sessions(kept, titles)))
     topics = cut_lineage(q.build_topics(rows, ledger, ledger_events, now))
     chosen = q.select_topics(topics, rows, lane_offset=(batch_index - 1) % 3, **limits)
-    taken = q.fit_slice(rows.join(chosen.select("topic_id"), "topic_id", "left_semi"), 240, 2_000_000)
+    taken = q.fit_slice(rows.join(chosen.select("topic_id"), "topic_id", "left_semi"), limits.get("max_pairs", fv.SELECTION_PAIRS), limits.get("max_chars", fv.SELECTION_CHARS))
     taken = taken.join(chosen.select("topic_id", F.col("id").alias("contract_id"), F.col("pairs").alias("_taken")), "topic_id").where(F.col("place") <= F.col("_taken"))
     events = taken.select(F.col("contract_id").alias("id"), F.explode("source_event_ids").alias("event_id")).distinct()
     system, system_events = q.system_outcomes(sorted_pairs)
