@@ -38,7 +38,7 @@ def test_stops_on_proof(monkeypatch):
     monkeypatch.setattr("tracefold.llm.topk.FEW", 100)
     rng = np.random.default_rng(1)
     values = (rng.standard_t(2, (3000, 6)) * 100).astype(np.int64)
-    _, _, done = (index := ImpactIndex(np.arange(3000), values)).search(np.array([9, 1, 1, 1, 0, 0]), None, 10)
+    _, _, done = (index := ImpactIndex(np.arange(3000), values, 300)).search(np.array([9, 1, 1, 1, 0, 0]), None, 10)
     assert done < len(index.segments)
 
 
