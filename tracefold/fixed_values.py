@@ -35,7 +35,6 @@ CAPTURE_REF_TYPES = ["codex", "chatgpt", "feishu"]
 # --- fixed values: limits ------------------------------------------------------------------------
 TASK_COPY_GAP_DAYS = 14
 FOCUS_GAP_MINUTES = 90
-COMMIT_FILE_REFS = 24
 COMMIT_FILES_SHOWN = 8
 STALE_HOURS = 36
 QUIET_HOURS = 2
@@ -43,15 +42,9 @@ RECENT_HOURS = 48
 RETRY_BACKOFF_HOURS = 12
 RETRY_BACKOFF_CAP_HOURS = 72
 SELECTION_TOPICS, SELECTION_PAIRS, SELECTION_CHARS = 6, 40, 120_000
-RUNS_SHOWN, RUNS_KEPT, LEGACY_RUNS_KEPT = 80, 120, 30
-RESOURCE_VERSIONS_KEPT = 20_000
-OPT_OUTS_KEPT = 500
-SYNC_PAGES, SYNC_ROWS = 40, 2000
 SYNC_OVERLAP_MINUTES, SYNC_FIRST_DAYS, SYNC_AHEAD_DAYS = 60, 30, 30
 QUEUE_EVENTS, QUEUE_CHARS = 2000, 4_000_000
 SCAN_CANDIDATES, SCAN_ATTEMPTS, SCAN_CHILDREN, SCAN_REPOSITORIES = 32, 64, 16, 12
-CONTENT_CHARS = 12_000
-BACKLOG_FILES = 45
 VERIFIED_PRODUCER_MAJOR, VERIFIED_PRODUCER_MINORS = 0, [144, 147]
 AUTOMATIC_WINDOW = ("23:25", "23:35")
 

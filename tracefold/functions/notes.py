@@ -170,7 +170,7 @@ def extract_urls(content: Column) -> Column:
 
 
 def safe_id(value: Column) -> Column:
-    return head_chars(F.regexp_replace(trim_ws(F.coalesce(value, F.lit(""))), "[^A-Za-z0-9._:-]", ""), 300)
+    return F.regexp_replace(trim_ws(F.coalesce(value, F.lit(""))), "[^A-Za-z0-9._:-]", "")
 
 
 def safe_url(value: Column) -> Column:

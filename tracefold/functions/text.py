@@ -146,7 +146,7 @@ def _unbold(line: Column) -> Column:
 
 
 def status_units(content: Column) -> Column:
-    text = F.regexp_replace(head_chars(content, 4000), "<[^>]*>", " ")
+    text = F.regexp_replace(content, "<[^>]*>", " ")
     return non_empty(
         F.transform(
             F.split(text, fv.SENTENCE_BREAK), lambda l: _unbold(trim_ws(F.regexp_replace(l, fv.UNIT_MARK, "")))
@@ -221,7 +221,7 @@ def sanitize_text(content: Column, managed_marker: str = "tracefold") -> Column:
     rules = _SANITIZE + [(rf"(?im)^.*{managed_marker}-(?:generated|user).*$", "")]
     stripped = reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), rules, content)
     kept = non_empty(F.transform(lines_of(stripped), lambda l: trim_ws(F.regexp_replace(l, fv.UNIT_MARK, ""))))
-    return trim_ws(head_chars(F.array_join(kept, "\n"), fv.CONTENT_CHARS))
+    return trim_ws(F.array_join(kept, "\n"))
 
 
 def normalize_whitespace(content: Column) -> Column:
@@ -253,7 +253,7 @@ def redact(content: Column, collab_ids: bool = False) -> Column:
 
 # --- completion reports --------------------------------------------------------------------------
 def report_units(content: Column) -> Column:
-    clean = sanitize_text(head_chars(content, 4000))
+    clean = sanitize_text(content)
     return non_empty(F.transform(F.split(clean, fv.SENTENCE_BREAK), lambda l: _unbold(trim_ws(l))))
 
 

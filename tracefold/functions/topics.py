@@ -152,8 +152,8 @@ def prompt_title(prompt: Column) -> Column:
 
 
 def new_goal(stated: Column) -> Column:
-    """Goal announced by a prompt's stated line (``prompt_title``)."""
-    return blank_to_null(head_chars(trim_ws(F.regexp_extract(F.coalesce(stated, F.lit("")), fv.NEW_GOAL, 1)), 72))
+    """Goal announced by a prompt's stated line, whole: it becomes part of the topic's anchor."""
+    return blank_to_null(trim_ws(F.regexp_extract(F.coalesce(stated, F.lit("")), fv.NEW_GOAL, 1)))
 
 
 def is_short_continuation(stated: Column) -> Column:

@@ -22,8 +22,11 @@ def capture_message(user: str, text: Column) -> Column:
 def select_messages(messages: DataFrame, user: str, keys: tuple[str, ...] = ("chat_id",), order: tuple[str, ...] = ("position",)) -> DataFrame:
     """Kept messages, and the safe message just before and after each kept mention, marked ``context_only``.
 
-    Neighbours are found with blocked windows over (chat, position); a busy chat is cut into blocks.
+    Neighbours are found with blocked windows over (chat, position); a busy chat is cut into blocks. Where messages
+    have a column ``selected_group``, those of a group that was not selected are refused before anything else.
     """
+    if "selected_group" in messages.columns:
+        messages = messages.where((F.col("chat_type") != "group") | F.coalesce("selected_group", F.lit(False)))
     text = F.coalesce(F.col("text"), F.lit(""))
     kept = capture_message(user, text)
     mentioned = F.coalesce(F.exists("mentions", lambda m: m.isin(user, "all-current-user")), F.lit(False))
@@ -66,8 +69,9 @@ def missing_scopes(required: DataFrame, granted: DataFrame) -> DataFrame:
     return required.select("owner", "scope").exceptAll(granted.select("owner", "scope").distinct()).distinct()
 
 
-def pending_backlog(records: DataFrame, processed: DataFrame, files: int = fv.BACKLOG_FILES) -> DataFrame:
-    """Unprocessed records in the newest day files. The day list is bounded by ``files`` and prunes partitions."""
-    days = records.select("date").distinct().orderBy(F.col("date").desc()).limit(files)
-    recent = records.join(days, "date", "left_semi")
+def pending_backlog(records: DataFrame, processed: DataFrame, files: int | None = None) -> DataFrame:
+    """Unprocessed records of all days, or of the newest ``files``, whose list then prunes partitions."""
+    recent = records
+    if files is not None:
+        recent = records.join(records.select("date").distinct().orderBy(F.col("date").desc()).limit(files), "date", "left_semi")
     return recent.join(processed.select("event_id").distinct(), "event_id", "left_anti").agg(F.count(F.lit(1)).alias("pending"))

@@ -31,7 +31,7 @@ def s(col):
 @query("sanitize_text", f"""
 WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<!--[\\s\\S]*?-->', '', 'g'), '<[^>]*>', '', 'g'), '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]+)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s*---\\s*$', '', 'g') AS t FROM documents),
 b AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '\\r?\\n'), lambda l: regexp_replace(regexp_replace(l, '^{SPACE}*(?:#{{1,6}}|[-*+]{SPACE}+|\\d+\\.{SPACE}+)', ''), '^{SPACE}+|{SPACE}+$', '', 'g')), lambda l: l <> '') AS l FROM a)
-SELECT doc_id, regexp_replace(substr(array_to_string(l, chr(10)), 1, 12000), '^{SPACE}+|{SPACE}+$', '', 'g') AS clean FROM b""")
+SELECT doc_id, regexp_replace(array_to_string(l, chr(10)), '^{SPACE}+|{SPACE}+$', '', 'g') AS clean FROM b""")
 def _sanitize_text(spark, sf):
     return docs(spark, sf).select("doc_id", x.sanitize_text(F.col("text")).alias("clean"))
 

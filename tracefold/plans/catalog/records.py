@@ -560,7 +560,7 @@ def _check_write_intent(spark, sf):
 
 
 @query("pending_backlog", with_ctes(RES, """
-SELECT count(*) AS pending FROM res WHERE date IN (SELECT DISTINCT date FROM res ORDER BY date DESC LIMIT 45) AND o_orderkey % 4 <> 0"""))
+SELECT count(*) AS pending FROM res WHERE o_orderkey % 4 <> 0"""))
 def _pending_backlog(spark, sf):
     rows = g.orders_as_resources(spark, sf)
     return ms.pending_backlog(rows, rows.where(F.col("ingest_seq") % 4 == 0))
@@ -569,7 +569,7 @@ def _pending_backlog(spark, sf):
 # --- messages, health, dates ---------------------------------------------------------------------
 @query("select_messages", """
 WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN '好的' WHEN role = 'assistant' AND conv_id % 2 = 0 THEN text || ' issue' ELSE replace(replace(replace(replace(text, 'issue', ''), 'todo', ''), 'commit', ''), 'blocked', '') END AS t,
-    CASE WHEN conv_id % 9 = 0 THEN 'p2p' ELSE 'group' END AS chat, CASE WHEN role = 'system' THEN 'bot' ELSE 'user' END AS sender, conv_id % 3 = 0 AND turn = 2 AS mention FROM conversations),
+    CASE WHEN conv_id % 9 = 0 THEN 'p2p' ELSE 'group' END AS chat, CASE WHEN role = 'system' THEN 'bot' ELSE 'user' END AS sender, conv_id % 3 = 0 AND turn = 2 AS mention FROM conversations WHERE conv_id % 9 = 0 OR conv_id % 5 <> 4),
 s AS (SELECT *, chat <> 'p2p' AND sender <> 'bot' AND trim(t) <> '' AS safe, t = '好的' AS noise, regexp_matches(t, 'commit|issue|todo|blocked', 'i') AS subst FROM m),
 k AS (SELECT *, safe AND NOT noise AND (mention OR subst) AS kept FROM s),
 n AS (SELECT *, lag(kept AND mention) OVER w AS b, lead(kept AND mention) OVER w AS a FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -582,7 +582,7 @@ def _select_messages(spark, sf):
     rows = g.read(spark, sf, "conversations").select(
         "conv_id", "turn", F.when(turn % 5 == 3, "好的").when((F.col("role") == "assistant") & (conv % 2 == 0), F.concat(text, F.lit(" issue"))).otherwise(bare).alias("text"),
         F.when(conv % 9 == 0, "p2p").otherwise("group").alias("chat_type"), F.when(F.col("role") == "system", "bot").otherwise("user").alias("sender_type"), F.lit("text").alias("msg_type"),
-        F.when((conv % 3 == 0) & (turn == 2), F.array(F.lit("me"))).otherwise(F.array().cast("array<string>")).alias("mentions"),
+        F.when((conv % 3 == 0) & (turn == 2), F.array(F.lit("me"))).otherwise(F.array().cast("array<string>")).alias("mentions"), (conv % 5 != 4).alias("selected_group"),
     )
     return ms.select_messages(rows, "me", keys=("conv_id",), order=("turn",)).select("conv_id", "turn", "context_only")
 

@@ -64,9 +64,9 @@ def flatten_human_values(payload: Column) -> Column:
 
 
 def discover_references(
-    payload: Column, key_pattern: str = fv.MINUTE_TOKEN_KEY, value_pattern: str = fv.MINUTE_TOKEN_VALUE, limit: int = 50
+    payload: Column, key_pattern: str = fv.MINUTE_TOKEN_KEY, value_pattern: str = fv.MINUTE_TOKEN_VALUE, limit: int | None = None
 ) -> Column:
-    """Distinct values under keys that match a pattern, to depth five; the first ``limit`` of one payload."""
+    """Distinct values under keys that match a pattern, to depth five; all, or the first ``limit`` of one payload."""
     keys, shape = re.compile(key_pattern), re.compile(value_pattern)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -172,14 +172,14 @@ def normalize_resources(
         _label(F.coalesce("title", F.concat(collab.module_label(mod), F.lit("记录")))).alias("title"),
         _label(F.coalesce("status", F.lit(fv.COLLAB_RECORDED))).alias("resource_status"), updated.alias("updated_at"),
         F.coalesce(parse_epoch_or_iso(F.col("occurred")), updated).alias("occurred_at"),
-        head_chars(trim_ws(redact(flatten_human_values(F.col("content_json")), collab_ids=True)), fv.CONTENT_CHARS).alias("content"),
+        trim_ws(redact(flatten_human_values(F.col("content_json")), collab_ids=True)).alias("content"),
         "stated_version", _label(F.coalesce("project", F.lit(fv.COLLAB_DEFAULT_LABEL))).alias("project_hint"),
         F.when(F.col("deleted"), "deleted").when(F.col("denied"), "revoked").otherwise("available").alias("access_status"),
         safe_url(F.col("link")).alias("resource_url"),
     )
     rows = rows.withColumn(
         "resource_version",
-        head_chars(F.coalesce("stated_version", ids.digest(F.col("title"), F.col("resource_status"), F.col("content"))), 200),
+        F.coalesce("stated_version", ids.digest(F.col("title"), F.col("resource_status"), F.col("content"))),
     )
     if seen is None:
         rows = rows.withColumn("_seen", F.lit(False))
@@ -220,12 +220,14 @@ def next_versions(state: DataFrame, accepted: DataFrame) -> DataFrame:
     return kept.unionByName(fresh.select(*key, "version", "updated_at"))
 
 
-def project_fields(resources: DataFrame, fields: list[str], selections: int = 100, per_selection: int = 40) -> DataFrame:
-    """The fields a user selected, at most 40, each named once."""
-    wanted = list(dict.fromkeys(fields))[:per_selection]
+def project_fields(resources: DataFrame, fields: list[str], limit: int | None = None) -> DataFrame:
+    """The fields a user selected, each named once; more than ``limit``, where given, are an error."""
+    wanted = list(dict.fromkeys(fields))
+    if limit is not None and len(wanted) > limit:
+        raise ValueError(f"{len(wanted)} fields selected; at most {limit} are allowed")
     return resources.select(*[F.col(name) for name in wanted if name in resources.columns])
 
 
-def retain_latest(df: DataFrame, n: int = fv.RESOURCE_VERSIONS_KEPT, order: str = "updated_at", tie: str = "resource_id") -> DataFrame:
+def retain_latest(df: DataFrame, n: int, order: str = "updated_at", tie: str = "resource_id") -> DataFrame:
     """The newest ``n`` rows: a top-k, never a full sort."""
     return df.orderBy(F.col(order).desc(), F.col(tie)).limit(n)
