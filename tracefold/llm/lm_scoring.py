@@ -145,7 +145,7 @@ def count_cells(spark: SparkSession, flagged: DataFrame, layout: Layout) -> np.n
     schema = "block long, cells binary, target binary, background binary"
     runs = flagged.mapInArrow(_count_cells(plan), schema).repartition("block").sortWithinPartitions("block").mapInArrow(_add_up, schema)
     counts = np.zeros((2, layout.cells), np.int64)
-    for row in runs.toLocalIterator():
+    for row in runs.collect():
         at = np.frombuffer(row["cells"], "<i8")
         counts[0][at], counts[1][at] = np.frombuffer(row["target"], "<i8"), np.frombuffer(row["background"], "<i8")
     return counts
