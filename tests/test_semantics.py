@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracefold.functions import text as x
@@ -14,7 +15,6 @@ from tracefold.operators.components import connected_components, star_edges
 from tracefold.operators.sequence import ordinal_block, previous_value, running_total
 from tracefold.sources import ledger_files as lf
 from tracefold.streaming import captures as sc
-from tracefold.streaming.growing_files import GrowingLinesReader
 
 DAY = dt.datetime(2026, 7, 16, 8, 0)
 ACT = (
@@ -345,39 +345,59 @@ def test_legacy_log_takes_time_from_its_name(spark):
 
 
 # --- streams -------------------------------------------------------------------------------------
-def test_growing_files_are_read_once_by_whole_lines(tmp_path):
-    log = tmp_path / "a.jsonl"
-    reader = GrowingLinesReader({"path": str(tmp_path), "chunkBytes": "7"})
+def test_landed_files_in_many_batches_out_of_order(spark, tmp_path):
+    """Repeats across batches are appended once, whatever their order, and replays append nothing."""
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    logs.mkdir()
+    line = '{"event_id": "%s", "captured_at": "2026-07-%02dT08:00:00Z", "session_id": "s", "turn_id": "t", "event": "Stop", "content": "c"}\n'
+    (logs / "a.jsonl").write_text(line % ("e1", 16) + line % ("e2", 17) + "{bad\n")
+    (logs / "b.jsonl").write_text(line % ("e2", 17) + line % ("e0", 15))
+    (logs / "c.jsonl").write_text(line % ("e1", 16) + line % ("e9", 1) + line % ("e9", 1))
+
+    def run(cursor):
+        q = (
+            sc.stream_captures(spark, str(logs), files_per_batch=1).select("event_id", "date").writeStream.foreachBatch(sc.append_batch(out))
+            .option("checkpointLocation", str(tmp_path / cursor)).trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        return sorted(r.event_id for r in spark.read.parquet(out).collect())
 
-    def step(start):
-        end = reader.latestOffset()
-        return [line for part in reader.partitions(start, end) for line, _, _ in reader.read(part)], end
+    assert run("cursor") == ["e0", "e1", "e2", "e9"]
+    (logs / "d.jsonl").write_text(line % ("e3", 16) + line % ("e0", 15))
+    assert run("cursor") == ["e0", "e1", "e2", "e3", "e9"]
+    assert run("from the start") == ["e0", "e1", "e2", "e3", "e9"]
 
-    log.write_text("one\ntwo two two\npart")
-    first, at = step(reader.initialOffset())
-    log.write_text("one\ntwo two two\npartial\nthree\n")
-    second, at = step(at)
-    log.write_text("new\n")  # shrank: read again from the start
-    third, at = step(at)
-    assert (first, second, third, step(at)[0]) == (["one", "two two two"], ["partial", "three"], ["new"], [])
 
+def test_partitions_refresh_in_many_batches(spark, tmp_path):
+    src, events, days = (str(tmp_path / n) for n in ("in", "events", "days"))
+    schema = "id string, local_date date, project_key string"
+    at = lambda d: dt.date(2026, 1, d)
+    for batch in ([("a", at(2), "p"), ("b", at(2), "q")], [("c", at(1), "p"), ("a", at(2), "p")], [("d", at(2), "p"), ("d", at(2), "p")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    sink = sc.refresh_partitions(days, events, lambda df: df.groupBy("local_date", "project_key").agg(F.count(F.lit(1)).alias("n")))
+    q = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).writeStream.foreachBatch(sink)
+        .option("checkpointLocation", str(tmp_path / "cursor")).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    table = spark.read.parquet(days)
+    got = {(r.local_date, r.project_key): r.n for r in table.collect()}
+    assert got == {(at(2), "p"): 2, (at(2), "q"): 1, (at(1), "p"): 1}
 
-def test_growing_files_stream(spark, tmp_path):
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    line = '{"event_id": "%s", "captured_at": "2026-07-16T08:00:00Z", "session_id": "s", "turn_id": "t", "event": "Stop", "content": "c"}\n'
-    (logs / "a.jsonl").write_text(line % "e1" + line % "e2" + "{bad\n")
 
-    def run():
-        stream = sc.stream_captures(spark, str(logs)).select("event_id")
-        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cursor")).trigger(availableNow=True).start(str(tmp_path / "out"))
-        q.awaitTermination()
-        return sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+def test_a_broken_store_is_not_an_empty_table(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "part-0.parquet").write_text("no parquet")
+    rows = spark.createDataFrame([("e", dt.date(2026, 1, 1))], "event_id string, date date")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        sc.append_batch(str(tmp_path / "out"))(rows, 0)
+
 
-    assert run() == ["e1", "e2"]
-    with (logs / "a.jsonl").open("a") as handle:
-        handle.write(line % "e3")
-    assert run() == ["e1", "e2", "e3"]
+def test_settlements_of_sessions_with_colons(spark):
+    events = spark.createDataFrame([("x1", "feishu:tasks:r1", "t9"), ("x2", "s", "t")], "id string, session_id string, turn_id string")
+    ledger = spark.createDataFrame([("l1", "feishu:tasks:r1:t9:prompt"), ("l2", "s:t:stop"), ("l3", "s:t"), ("l4", "x2")], "settlement_id string, event_id string")
+    got = {(r.settlement_id, r.event_id) for r in outcomes.settlement_events(ledger, events).collect()}
+    assert got == {("l1", "x1"), ("l2", "x2"), ("l4", "x2")}
 
 
 def test_silence_raises_an_alarm(spark, tmp_path):

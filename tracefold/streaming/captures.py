@@ -14,7 +14,6 @@ from tracefold.functions.ids import stable_id
 from tracefold.functions.text import redact, trim_ws
 from tracefold.sources.captures import parse_capture_lines
 from tracefold.session import stored_table
-from tracefold.streaming.growing_files import GrowingLines
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,16 +25,12 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB)
 
 
-def stream_captures(spark: SparkSession, path: str, growing: bool = True) -> DataFrame:
-    """Capture records of log files: growing in place, or landed once as immutable files (the wider path)."""
-    if growing:
-        spark.dataSource.register(GrowingLines)
-        lines = spark.readStream.format("growing_lines").option("path", path).load()
-        lines = lines.withColumn("source_line", F.lit(None).cast("int"))
-    else:
-        lines = spark.readStream.text(path).select(
-            "value", F.col("_metadata.file_path").alias("source_path"), F.lit(None).cast("int").alias("source_line")
-        )
+def stream_captures(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Capture records of log files that have landed; a writer rotates its log, and whole files are moved here."""
+    source = spark.readStream if files_per_batch is None else spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+    lines = source.text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_path"), F.lit(None).cast("int").alias("source_line")
+    )
     records, _ = parse_capture_lines(lines)
     return records
 
