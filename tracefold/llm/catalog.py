@@ -66,7 +66,27 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op4_ngram_join")
+@query("op4_ngram_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w
+), occ AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM occ a JOIN occ b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM s UNION SELECT reach.doc_id, ways.y FROM reach JOIN ways ON ways.x = reach.other
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = s.doc_id
+""")
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -102,7 +122,59 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
-@query("op9_url_filter")
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(url, '') AS u, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, url, u, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+    list_concat([0, 0], list_transform(list_filter(string_split(translate(u, '{upper}', '{lower}'), ''), lambda c: c <> ''), lambda c: instr('{signs}', c))) AS s
+  FROM h
+), codes AS (
+  SELECT page_id, rule IN ('org/', 'com/fr/') AS acc, rule IS NOT NULL AS decided, right(sha1(url), 1) IN ('0', '1', '2') AS held,
+    unnest(list_transform(range(3, len(s) + 1), lambda i: (s[i - 2] * 64 + s[i - 1]) * 64 + s[i])) AS code
+  FROM ruled
+), counts AS (
+  SELECT code, CAST(count(*) FILTER (acc) AS DOUBLE) AS a3, CAST(count(*) FILTER (NOT acc) AS DOUBLE) AS r3 FROM codes WHERE decided AND NOT held GROUP BY code
+), grid AS (
+  SELECT g.code, coalesce(a3, 0) AS a3, coalesce(r3, 0) AS r3, g.code & 4095 AS c2, g.code & 63 AS c1, g.code >> 6 AS x2 FROM range(262144) g(code) LEFT JOIN counts ON counts.code = g.code
+), pairs AS (
+  SELECT c2, c2 & 63 AS c1, c2 >> 6 AS x1, sum(a3) AS a2, sum(r3) AS r2 FROM grid GROUP BY c2
+), singles AS (SELECT c1, sum(a3) AS a1, sum(r3) AS r1 FROM grid GROUP BY c1),
+heads AS (SELECT x1, sum(a2) AS ha1, sum(r2) AS hr1 FROM pairs GROUP BY x1),
+ends AS (SELECT x2, sum(a3) AS ha2, sum(r3) AS hr2 FROM grid GROUP BY x2),
+one AS (
+  SELECT c1, (a1 + 4e0 * (1e0 / 64)) / (sum(a1) OVER () + 4e0) AS pa1, (r1 + 4e0 * (1e0 / 64)) / (sum(r1) OVER () + 4e0) AS pr1 FROM singles
+), two AS (
+  SELECT c2, (a2 + 4e0 * pa1) / (ha1 + 4e0) AS pa2, (r2 + 4e0 * pr1) / (hr1 + 4e0) AS pr2 FROM pairs JOIN one USING (c1) JOIN heads USING (x1)
+), three AS (
+  SELECT code, ln((a3 + 4e0 * pa2) / (ha2 + 4e0)) - ln((r3 + 4e0 * pr2) / (hr2 + 4e0)) AS v FROM grid JOIN two USING (c2) JOIN ends USING (x2)
+), scored AS (
+  SELECT page_id, sum(v) / count(*) AS score FROM codes JOIN three USING (code) GROUP BY page_id
+), rows_ AS (
+  SELECT ruled.page_id, url, host, path, rule, coalesce(score, 0e0) AS score FROM ruled LEFT JOIN scored ON scored.page_id = ruled.page_id
+), tests AS (
+  SELECT rule IN ('org/', 'com/fr/') AS acc, CAST(least(greatest(floor((score + 4e0) * 50), 0), 399) AS INT) AS bin FROM rows_ WHERE rule IS NOT NULL AND right(sha1(url), 1) IN ('0', '1', '2')
+), bins AS (
+  SELECT b.bin, count(*) FILTER (acc) AS a, count(*) FILTER (NOT acc) AS r FROM range(400) b(bin) LEFT JOIN tests ON tests.bin = b.bin GROUP BY b.bin
+), sums AS (
+  SELECT bin, bin / 50e0 - 4 AS edge, sum(a) OVER () AS ta, sum(r) OVER () AS tr, sum(a) OVER w - a AS before_a, sum(r) OVER w - r AS before_r FROM bins WINDOW w AS (ORDER BY bin)
+), bar AS (
+  SELECT edge AS bar FROM sums ORDER BY round((ta - before_a) / greatest(ta, 1e0) + before_r / greatest(tr, 1e0), 11) DESC, abs(edge), bin LIMIT 1
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN score >= (SELECT bar FROM bar) THEN 'allow' ELSE 'block' END AS verdict,
+  round(score, 9) AS score
+FROM rows_
+""".replace("{upper}", url_filter.UPPER).replace("{lower}", url_filter.LOWER).replace("{signs}", url_filter.ALPHABET.replace("'", "''"))
+
+
+@query("op9_url_filter", URL_SQL)
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
