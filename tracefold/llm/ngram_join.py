@@ -10,8 +10,11 @@ Which sets meet is decided by prefixes. All shingles have one global order, thos
 share a shingle within their first quarter (and one more) in that order, so the lists of those prefixes hold every
 link. Equal sets count once throughout. Sets are first searched in small blocks by the least hash of their shared
 prefix shingles, which joins groups of copies without looking at all their pairs; then every pair that is still
-apart, shares a prefix shingle and can reach its overlap by the places of what it shares is searched too. So
-components are exact, while the links within a component are not all listed.
+apart, shares a prefix shingle and can reach its overlap is searched too. So components are exact, while the links
+within a component are not all listed.
+
+Sets themselves move only when they may link. Each has a map of its shingles' parities, a thirtieth of its size: two
+sets differ in at least as many shingles as their maps do in bits, which rules out most pairs that share a passage.
 """
 
 from __future__ import annotations
@@ -60,8 +63,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     split = [(t or "").encode().lower().split() for t in texts]
     if len(_words) > WORDS_HELD:
         _words.clear()
-    for word in set().union(*split) - _words.keys():
-        _words[word] = xxhash.xxh3_64_intdigest(word)
+    for word in set().union(*split):
+        if word not in _words:
+            _words[word] = xxhash.xxh3_64_intdigest(word)
     lengths = [len(s) for s in split]
     codes = np.fromiter((c for s in split for c in map(_words.__getitem__, s)), np.uint64, sum(lengths))
     rolled = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
@@ -88,6 +92,42 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles)) - (1 << 63)
 
 
+def parity_map(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of shingles end in i; twice as many bits as shingles, as a power of two."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    places = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(parities: np.ndarray, words: int) -> np.ndarray:
+    """Maps (rows of 64-bit words) with fewer bits: parities of places that become one add up."""
+    while parities.shape[1] > words:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] ^ parities[:, half:]
+    return parities
+
+
+def may_link(sizes: np.ndarray, maps: list[bytes]) -> np.ndarray:
+    """Which sets of a block have a partner there that sizes and maps allow."""
+    found = np.zeros(len(maps), bool)
+    words = np.array([len(m) // 8 for m in maps])
+    for level in np.unique(words):
+        mine = np.flatnonzero(words == level)
+        near = np.flatnonzero((words == level) | (words == 2 * level))
+        table = np.concatenate([
+            folded(np.frombuffer(b"".join(maps[i] for i in near if words[i] == w), np.uint64).reshape(-1, w), level) for w in (level, 2 * level) if (words[near] == w).any()
+        ])
+        near = np.concatenate([near[words[near] == level], near[words[near] == 2 * level]])
+        for k, i in enumerate(mine):
+            apart = np.bitwise_count(table ^ table[k]).sum(1)
+            fits = sizes[i] + sizes[near] - apart.astype(np.int64) >= 2 * required(sizes[i], sizes[near])
+            fits[k] = False
+            if fits.any():
+                found[i] = True
+                found[near[fits]] = True
+    return found
+
+
 # -- search in a block -------------------------------------------------------------------------------------------------
 
 
@@ -150,14 +190,19 @@ def search_block(sets: list[np.ndarray], queries: int | None = None) -> Iterator
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's set as (doc_id, n, ent), and at the end the shingles that this task met again and again."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("ent", pa.int64()), ("shingle", pa.int64()), ("hits", pa.int64())])
+    """Each row's set as (doc_id, n, ent, map), and at the end the shingles that this task met again and again."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n", pa.int32()), ("ent", pa.int64()), ("map", pa.binary()), ("shingle", pa.int64()), ("hits", pa.int64()),
+    ])
     often: Counter[int] = Counter()
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column(1).to_pylist())
         ids = [set_id(s) if len(s) else None for s in sets]
         none = pa.nulls(len(sets), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(ids, pa.int64()), none, none], schema=schema)
+        maps = [parity_map(s) if len(s) else None for s in sets]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), none, none], schema=schema
+        )
         distinct = list({i: s for i, s in zip(ids, sets, strict=True) if len(s)}.values())
         if distinct:
             found, counts = np.unique(np.concatenate(distinct), return_counts=True)
@@ -169,7 +214,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if top:
         none = pa.nulls(len(top))
         shingle = np.array([t for t, _ in top], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(shingle), pa.array([c for _, c in top], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(shingle), pa.array([c for _, c in top], pa.int64())], schema=schema)
 
 
 def _prefixes(hot, buckets: int):
@@ -262,25 +307,53 @@ def _lists(buckets: int):
 
 
 def _sets(wanted):
-    """(ent, shingles) of the sets that pass the filter, each once a task."""
+    """(ent, shingles) of the documents whose id passes the filter."""
     schema = pa.schema([("ent", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
+        bits = wanted.value
         for batch in slices(batches, "text"):
-            rows = []
-            for shingles in shingle_sets(batch.column(0).to_pylist()):
-                if len(shingles) and (ent := set_id(shingles)) not in seen and bits[(ent % FILTER_BITS) >> 6] >> np.uint64(ent & 63) & np.uint64(1):
-                    seen.add(ent)
-                    rows.append((ent, shingles.tobytes()))
-            if len(seen) > 200_000:
-                seen = set()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            ids = batch.column(0).to_pylist()
+            asked = pa.array([i is None or bool(bits[(i % FILTER_BITS) >> 6] >> np.uint64(i & 63) & np.uint64(1)) for i in ids])
+            sets = {set_id(s): s.tobytes() for s in shingle_sets(batch.column(1).filter(asked).to_pylist()) if len(s)}
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array(list(sets.values()), pa.binary())], schema=schema)
 
     return run
 
 
+def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks, in order, to their members that may link with another."""
+    schema = pa.schema([("block", pa.int64()), ("sub", pa.int64()), ("ent", pa.int64())])
+    place, ents, sizes, maps = None, [], [], []
+
+    def close() -> pa.RecordBatch:
+        kept = [e for e, ok in zip(ents, may_link(np.array(sizes, np.int64), maps), strict=True) if ok] if len(ents) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([place[0]] * len(kept), pa.int64()), pa.array([place[1]] * len(kept), pa.int64()), pa.array(kept, pa.int64())], schema=schema)
+
+    for batch in batches:
+        for block, sub, ent, n, parities in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (block, sub) != place:
+                if ents:
+                    yield close()
+                place, ents, sizes, maps = (block, sub), [], [], []
+            ents.append(ent)
+            sizes.append(n)
+            maps.append(parities)
+    if ents:
+        yield close()
+
+
+def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their maps allow to link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        a, b, sizes_a, sizes_b, maps_a, maps_b = (c.to_pylist() for c in batch.columns)
+        kept = [bool(may_link(np.array([n, m], np.int64), [p, q]).all()) for n, m, p, q in zip(sizes_a, sizes_b, maps_a, maps_b, strict=True)]
+        keep = pa.array(kept, pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], schema=schema)
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of sets, in order, to links. Rows that are ``asked`` come first; a block without any is searched by all."""
     schema = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
@@ -331,7 +404,7 @@ def _reachable(pairs: DataFrame) -> DataFrame:
     """Pairs whose overlap can suffice: what they share in their prefixes, and all that lies behind its last place."""
     folded = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("p_a"), F.max("pos_b").alias("p_b"))
     most = F.col("c") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
-    return folded.where(7 * most >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return folded.where(7 * most >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
 
 
 def _fits() -> object:
@@ -349,11 +422,56 @@ def _search_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _links(asking.unionByName(partners.withColumn("query", F.lit(0)).select("block", "sub", "query", "ent")), sets)
 
 
+def _fetched(docs: DataFrame, home: DataFrame, ents: DataFrame) -> DataFrame:
+    """(ent, shingles) of ``ents``, from one document each; a bitmap of fixed size spares the others' shingling."""
+    spark = docs.sparkSession
+    bit = F.pmod("home", F.lit(FILTER_BITS))
+    homes = home.join(ents, "ent").where(F.col("home").isNotNull())
+    marks = homes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(home, {FILTER_BITS}) & 63 as int))")).alias("bits"))
+    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
+    for row in marks.toLocalIterator():
+        bits[row["word"]] = np.uint64(row["bits"] & (1 << 64) - 1)
+    found = docs.mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "ent long, shingles binary")
+    return staged(found.join(ents, "ent", "left_semi").dropDuplicates(["ent"]), "shingle-sets")
+
+
+def _pairs_apart(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of different components that share prefix shingles and can reach their overlap by them."""
+    apart = staged(_labelled(lists, components), "apart")
+    others = apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main"))
+    left = others.select("shingle", F.col("ent").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("c_a"), "main")
+    right = apart.select("shingle", F.col("ent").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("c_b"))
+    # A pair of two sets outside the main component is met from both ends; one end keeps it.
+    once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    pairs = left.join(right, "shingle").where((F.col("c_a") != F.col("c_b")) & once & _fits()).select("a", "b", "n_a", "n_b", "pos_a", "pos_b")
+    return _reachable(pairs.select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(
+            F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("n_a", "n_b"), ("n_b", "n_a"), ("pos_a", "pos_b"), ("pos_b", "pos_a"))
+        )
+    ))
+
+
+def _trials(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of each set with one member of the main component of a list it is in, but apart from."""
+    apart = staged(_labelled(lists, components), "apart")
+    return apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main")).select(
+        F.col("ent").alias("a"), F.col("rep.ent").alias("b"), F.col("n").alias("n_a"), F.col("rep.n").alias("n_b")
+    ).where(_fits()).distinct()
+
+
+def _allowed(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their maps allow."""
+    left = maps.select(F.col("ent").alias("a"), F.col("map").alias("map_a"))
+    right = maps.select(F.col("ent").alias("b"), F.col("map").alias("map_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+    return staged(both.mapInArrow(_viable_pairs, "a long, b long"), "pairs")
+
+
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, ent) of every row, (node, component) of every set that is linked)."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = staged(slim.mapInArrow(_describe, "doc_id long, n int, ent long, shingle long, hits long"), "shingled")
+    described = staged(slim.mapInArrow(_describe, "doc_id long, n int, ent long, map binary, shingle long, hits long"), "shingled")
     rows = described.where("hits is null").select("doc_id", "n", "ent")
     often = described.where("hits is not null").groupBy("shingle").agg(F.sum("hits").alias("hits"))
     top = often.orderBy(F.desc("hits"), "shingle").limit(HOT_SHINGLES).collect()
@@ -364,52 +482,37 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, total // 4 // POSTINGS + 1)
-    texts = slim.select("text")
-    packed = texts.mapInArrow(_prefixes(hot, buckets), "bucket long, places binary, ents binary, sizes binary")
+    packed = slim.select("text").mapInArrow(_prefixes(hot, buckets), "bucket long, places binary, ents binary, sizes binary")
     by_bucket = packed.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
     lists = staged(by_bucket.mapInArrow(_lists(buckets), "shingle long, ent long, n int, pos int"), "prefix-lists")
 
-    # A bitmap of fixed size lets through the sets that some list holds, and a few others.
-    bit = F.pmod("ent", F.lit(FILTER_BITS))
-    marks = lists.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(ent, {FILTER_BITS}) & 63 as int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    for row in marks.toLocalIterator():
-        bits[row["word"]] = np.uint64(row["bits"] & (1 << 64) - 1)
-    wanted = spark.sparkContext.broadcast(bits)
-    sets = staged(texts.mapInArrow(_sets(wanted), "ent long, shingles binary").dropDuplicates(["ent"]), "shingle-sets")
+    # What is known of each listed set: its size, its map, and a document that has it.
+    keys = lists.groupBy("ent").agg(*(F.min(F.xxhash64(F.lit(r), "shingle")).alias(f"k{r}") for r in (0, 1)))
+    known = described.where("n > 0").groupBy("ent").agg(F.min("doc_id").alias("home"), F.min("n").alias("n"), F.min("map").alias("map"))
+    listed = staged(keys.join(known, "ent"), "listed-sets")
+    maps, home = listed.select("ent", "map"), listed.select("ent", "home")
 
     # Blocks of sets that agree on the least of their shared prefix shingles, by two hashes.
-    keys = lists.groupBy("ent").agg(*(F.min(F.xxhash64(F.lit(r), "shingle")).alias(f"k{r}") for r in (0, 1)))
-    keyed = keys.select("ent", F.explode(F.array("k0", F.xxhash64(F.lit("second"), "k1"))).alias("block"))
+    keyed = listed.select("ent", "n", "map", F.explode(F.array("k0", F.xxhash64(F.lit("second"), "k1"))).alias("block"))
     sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = keyed.join(sizes, "block").select(
-        "block", F.pmod(F.xxhash64("ent", "block"), F.ceil(F.col("m") / BLOCK_SETS)).alias("sub"), F.lit(0).alias("query"), "ent"
+        "block", F.pmod(F.xxhash64("ent", "block"), F.ceil(F.col("m") / BLOCK_SETS)).alias("sub"), "ent", "n", "map"
     )
-    edges = staged(_links(members, sets), "links")
+    placed = members.repartition("block", "sub").sortWithinPartitions("block", "sub")
+    viable = staged(placed.mapInArrow(_viable, "block long, sub long, ent long"), "viable")
+    sets = _fetched(slim, home, viable.select("ent").distinct())
+    edges = staged(_links(viable.select("block", "sub", F.lit(0).alias("query"), "ent"), sets), "links")
     components = connected_components(edges)
 
     # What is apart in some list: first each set against one of the list's main component, then every pair.
-    apart = staged(_labelled(lists, components), "apart")
-    tried = apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main")).select(
-        F.col("ent").alias("a"), F.col("rep.ent").alias("b"), F.col("n").alias("n_a"), F.col("rep.n").alias("n_b")
-    ).where(_fits()).select("a", "b").distinct()
-    edges = edges.unionByName(staged(_search_pairs(tried, sets), "links"))
-    components = connected_components(edges)
-
-    apart = staged(_labelled(lists, components), "apart")
-    others = apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main"))
-    left = others.select("shingle", F.col("ent").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("c_a"), "main")
-    right = apart.select("shingle", F.col("ent").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("c_b"))
-    # A pair of two sets outside the main component is met from both ends; one end keeps it.
-    once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, "shingle").where((F.col("c_a") != F.col("c_b")) & once & _fits()).select("a", "b", "n_a", "n_b", "pos_a", "pos_b")
-    both_ways = pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(
-            F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("n_a", "n_b"), ("n_b", "n_a"), ("pos_a", "pos_b"), ("pos_b", "pos_a"))
-        )
-    )
-    edges = edges.unionByName(staged(_search_pairs(_reachable(both_ways), sets), "links"))
-    return rows, connected_components(edges)
+    for choose in (_trials, _pairs_apart):
+        pairs = _allowed(choose(lists, components), maps)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(sets.select("ent"), "ent", "left_anti")
+        more = _fetched(slim, home, wanted)
+        edges = edges.unionByName(staged(_search_pairs(pairs, sets.unionByName(more)), "links"))
+        components = connected_components(edges)
+        sets = sets.unionByName(more)
+    return rows, components
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
