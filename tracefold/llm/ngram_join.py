@@ -35,7 +35,7 @@ SHINGLE = 5
 WORDS_HELD = 400_000  # words whose hashes a worker remembers
 POSTINGS = 1_000_000  # prefix shingles that one reducer takes at a time
 BLOCK_SETS = 512  # sets that are searched against each other at once
-HOT_SHINGLES = 65_536  # shingles whose place in the order is known to be late
+HOT_SHINGLES = 262_144  # shingles whose place in the order is known to be late
 FILTER_BITS = 1 << 24
 _PLACE = np.dtype([("t", "<u8"), ("d", "<u2"), ("p", "<u4")])
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -195,6 +195,19 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ("doc_id", pa.int64()), ("n", pa.int32()), ("ent", pa.int64()), ("map", pa.binary()), ("shingle", pa.int64()), ("hits", pa.int64()),
     ])
     often: Counter[int] = Counter()
+    recent: dict[int, np.ndarray] = {}
+    held = 0
+
+    def fold() -> None:
+        nonlocal often, held
+        found, counts = np.unique(np.concatenate(list(recent.values())), return_counts=True)
+        more = counts > 1
+        often.update(dict(zip(found[more].tolist(), counts[more].tolist(), strict=True)))
+        if len(often) > 2 * HOT_SHINGLES:
+            often = Counter(dict(often.most_common(HOT_SHINGLES)))
+        recent.clear()
+        held = 0
+
     for batch in slices(batches, "text"):
         sets = shingle_sets(batch.column(1).to_pylist())
         ids = [set_id(s) if len(s) else None for s in sets]
@@ -203,13 +216,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(ids, pa.int64()), pa.array(maps, pa.binary()), none, none], schema=schema
         )
-        distinct = list({i: s for i, s in zip(ids, sets, strict=True) if len(s)}.values())
-        if distinct:
-            found, counts = np.unique(np.concatenate(distinct), return_counts=True)
-            more = counts > 1
-            often.update(dict(zip(found[more].tolist(), counts[more].tolist(), strict=True)))
-        if len(often) > 4 * HOT_SHINGLES:
-            often = Counter(dict(often.most_common(2 * HOT_SHINGLES)))
+        recent.update((i, s) for i, s in zip(ids, sets, strict=True) if len(s))
+        held += sum(map(len, sets))
+        if held > 3_000_000:
+            fold()
+    if recent:
+        fold()
     top = often.most_common(HOT_SHINGLES)
     if top:
         none = pa.nulls(len(top))
@@ -344,14 +356,67 @@ def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+def allowed_pairs(sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], queries: int) -> Iterator[tuple[int, int]]:
+    """Places (i, j), i among the first ``queries``, of different components, that sizes and maps allow to link."""
+    words = np.array([len(m) // 8 for m in maps])
+    for level in np.unique(words):
+        near = np.flatnonzero((words == level) | (words == 2 * level))
+        near = np.concatenate([near[words[near] == level], near[words[near] == 2 * level]])
+        table = np.concatenate([
+            folded(np.frombuffer(b"".join(maps[i] for i in near[words[near] == w]), np.uint64).reshape(-1, w), level) for w in (level, 2 * level) if (words[near] == w).any()
+        ])
+        # A pair is met from both sides where both are of this level, and from one side across levels: either may ask.
+        mine = np.flatnonzero(words[near] == level)
+        step = max(1, (1 << 21) // table.size)
+        for begin in range(0, len(mine), step):
+            rows = mine[begin : begin + step]
+            apart = np.bitwise_count(table[rows][:, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
+            total = sizes[near[rows]][:, None] + sizes[near][None, :]
+            fits = (total - apart >= 2 * -(-3 * total // 7)) & (comps[near[rows]][:, None] != comps[near][None, :])
+            fits &= (near[rows] < queries)[:, None] | (near < queries)[None, :]
+            for i, j in zip(*np.nonzero(fits), strict=True):
+                yield int(near[rows[i]]), int(near[j])
+
+
 def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of lists, in order and asking members first, to pairs (a, b), a < b, that may link; each once a task."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    place, asked, told = None, 0, set()
+    ents, sizes, comps, maps, places = [], [], [], [], set()
+
+    def close() -> pa.RecordBatch:
+        found = {(min(ents[i], ents[j]), max(ents[i], ents[j])) for i, j in allowed_pairs(np.array(sizes, np.int64), np.array(comps, np.int64), maps, asked)} - told
+        if len(told) > 500_000:
+            told.clear()
+        told.update(found)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+    for batch in batches:
+        for shingle, sub, query, ent, n, comp, parities in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (shingle, sub) != place:
+                if asked:
+                    yield close()
+                place, asked = (shingle, sub), 0
+                ents, sizes, comps, maps, places = [], [], [], [], set()
+            if ent in places:
+                continue  # it asks already
+            places.add(ent)
+            ents.append(ent)
+            sizes.append(n)
+            comps.append(comp)
+            maps.append(parities)
+            asked += query
+    if asked:
+        yield close()
+
+
+def _allowed_trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that their maps allow to link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
-        a, b, sizes_a, sizes_b, maps_a, maps_b = (c.to_pylist() for c in batch.columns)
-        kept = [bool(may_link(np.array([n, m], np.int64), [p, q]).all()) for n, m, p, q in zip(sizes_a, sizes_b, maps_a, maps_b, strict=True)]
-        keep = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(keep), pa.array(b, pa.int64()).filter(keep)], schema=schema)
+        sizes_a, sizes_b, maps_a, maps_b = (c.to_pylist() for c in batch.columns[2:])
+        keep = pa.array([bool(may_link(np.array([n, m], np.int64), [p, q]).all()) for n, m, p, q in zip(sizes_a, sizes_b, maps_a, maps_b, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,13 +465,6 @@ def _main(rows: DataFrame) -> DataFrame:
     return sized.groupBy("shingle").agg(F.max(F.struct("k", "comp", "rep")).alias("m")).select("shingle", F.col("m.comp").alias("main"), F.col("m.rep").alias("rep"))
 
 
-def _reachable(pairs: DataFrame) -> DataFrame:
-    """Pairs whose overlap can suffice: what they share in their prefixes, and all that lies behind its last place."""
-    folded = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("p_a"), F.max("pos_b").alias("p_b"))
-    most = F.col("c") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
-    return folded.where(7 * most >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b", "n_a", "n_b")
-
-
 def _fits() -> object:
     """Sizes that a link allows."""
     return (4 * F.least("n_a", "n_b")) >= (3 * F.greatest("n_a", "n_b"))
@@ -429,42 +487,40 @@ def _fetched(docs: DataFrame, home: DataFrame, ents: DataFrame) -> DataFrame:
     homes = home.join(ents, "ent").where(F.col("home").isNotNull())
     marks = homes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(home, {FILTER_BITS}) & 63 as int))")).alias("bits"))
     bits = np.zeros(FILTER_BITS >> 6, np.uint64)
-    for row in marks.toLocalIterator():
+    for row in marks.collect():
         bits[row["word"]] = np.uint64(row["bits"] & (1 << 64) - 1)
     found = docs.mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "ent long, shingles binary")
     return staged(found.join(ents, "ent", "left_semi").dropDuplicates(["ent"]), "shingle-sets")
 
 
-def _pairs_apart(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of different components that share prefix shingles and can reach their overlap by them."""
-    apart = staged(_labelled(lists, components), "apart")
-    others = apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main"))
-    left = others.select("shingle", F.col("ent").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("comp").alias("c_a"), "main")
-    right = apart.select("shingle", F.col("ent").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("comp").alias("c_b"))
-    # A pair of two sets outside the main component is met from both ends; one end keeps it.
-    once = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, "shingle").where((F.col("c_a") != F.col("c_b")) & once & _fits()).select("a", "b", "n_a", "n_b", "pos_a", "pos_b")
-    return _reachable(pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *(
-            F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("n_a", "n_b"), ("n_b", "n_a"), ("pos_a", "pos_b"), ("pos_b", "pos_a"))
-        )
-    ))
-
+def _pairs_apart(lists: DataFrame, components: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle and that their maps allow to link.
 
-def _trials(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of each set with one member of the main component of a list it is in, but apart from."""
+    Lists are cut into parts of bounded size. Members outside a list's main component ask every part, the others only
+    stand in their own; pairs are formed in the task, and only those that may link leave it.
+    """
+    apart = staged(_labelled(lists, components), "apart")
+    counted = apart.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"))
+    full = apart.join(_main(apart).drop("rep"), "shingle").join(counted, "shingle").join(maps, "ent")
+    full = full.withColumn("parts", F.ceil(F.col("m") / (4 * BLOCK_SETS)))
+    columns = ["ent", "n", "comp", "map"]
+    stand = full.where("comp = main or parts > 1").select("shingle", F.pmod(F.xxhash64("ent"), "parts").alias("sub"), F.lit(0).alias("query"), *columns)
+    ask = full.where("comp != main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sub"), F.lit(1).alias("query"), *columns)
+    blocks = stand.unionByName(ask).select("shingle", "sub", "query", *columns).repartition("shingle", "sub")
+    found = blocks.sortWithinPartitions("shingle", "sub", F.desc("query")).mapInArrow(_viable_pairs, "a long, b long")
+    return staged(found.distinct(), "pairs")
+
+
+def _trials(lists: DataFrame, components: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a set and one member of the main component of a list it is in, but apart from, that may link."""
     apart = staged(_labelled(lists, components), "apart")
-    return apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main")).select(
+    tried = apart.join(_main(apart), "shingle").where(F.col("comp") != F.col("main")).select(
         F.col("ent").alias("a"), F.col("rep.ent").alias("b"), F.col("n").alias("n_a"), F.col("rep.n").alias("n_b")
     ).where(_fits()).distinct()
-
-
-def _allowed(pairs: DataFrame, maps: DataFrame) -> DataFrame:
-    """Pairs (a, b) that their maps allow."""
     left = maps.select(F.col("ent").alias("a"), F.col("map").alias("map_a"))
     right = maps.select(F.col("ent").alias("b"), F.col("map").alias("map_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
-    return staged(both.mapInArrow(_viable_pairs, "a long, b long"), "pairs")
+    both = tried.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
+    return staged(both.mapInArrow(_allowed_trials, "a long, b long"), "pairs")
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -506,7 +562,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # What is apart in some list: first each set against one of the list's main component, then every pair.
     for choose in (_trials, _pairs_apart):
-        pairs = _allowed(choose(lists, components), maps)
+        pairs = choose(lists, components, maps)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(sets.select("ent"), "ent", "left_anti")
         more = _fetched(slim, home, wanted)
         edges = edges.unionByName(staged(_search_pairs(pairs, sets.unionByName(more)), "links"))
