@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracefold.llm.ngram_join import ngram_components, kept_documents, prefix_length, required, search_block, shingle_sets
+from tracefold.llm.ngram_join import allowed_pairs, kept_documents, may_link, ngram_components, parity_map, prefix_length, required, search_block, shingle_sets
 
 SCHEMA = "doc_id long, text string, ent string, n string, component_id string"
 
@@ -109,3 +109,40 @@ def test_prefix_and_overlap_bounds():
 def test_shingles_of_short_texts():
     a, b, c, d = shingle_sets(["one two", "ONE\x0btwo", "one", None])
     assert len(a) == len(b) == len(c) == 1 and a[0] == b[0] != c[0] and len(d) == 0
+
+
+@pytest.mark.parametrize("seed", range(15))
+def test_maps_never_rule_out_a_link(seed):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64)
+        sets.append(np.unique(base))
+        for share in (0.95, 0.8, 0.5):
+            sets.append(np.unique(np.concatenate((base[: max(1, int(len(base) * share))], rng.integers(0, 1 << 62, 3).astype(np.uint64)))))
+    allowed = may_link(np.array([len(s) for s in sets]), [parity_map(s) for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j and 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b)):
+                assert allowed[i] and allowed[j]
+                assert may_link(np.array([len(a), len(b)]), [parity_map(a), parity_map(b)]).all()
+    far = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(20)]
+    assert not may_link(np.array([len(s) for s in far]), [parity_map(s) for s in far]).any()
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_pairs_in_a_list_hold_every_link(seed):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for _ in range(10):
+        base = rng.integers(0, 1 << 62, rng.integers(2, 300)).astype(np.uint64)
+        sets += [np.unique(np.concatenate((base[: max(1, int(len(base) * s))], rng.integers(0, 1 << 62, 2).astype(np.uint64)))) for s in (1, 0.95, 0.85)]
+    order = rng.permutation(len(sets))
+    sets, comps, queries = [sets[i] for i in order], rng.integers(0, 25, len(sets)), 12
+    sizes = np.array([len(s) for s in sets])
+    found = {frozenset(p) for p in allowed_pairs(sizes, comps, [parity_map(s) for s in sets], queries)}
+    linked = {
+        frozenset((i, j)) for i in range(queries) for j in range(len(sets))
+        if i != j and comps[i] != comps[j] and 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (sizes[i] + sizes[j])
+    }
+    assert linked <= found and all(min(p) < queries and len({comps[i] for i in p}) == 2 for p in found)
