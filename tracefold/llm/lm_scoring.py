@@ -1,14 +1,19 @@
 """Cross-entropy difference of a target and a background language model.
 
-Both models are class bigrams over one vocabulary, counted over whole corpora: the most frequent words are classes of
-their own, all other words of the vocabulary and the unknown word share one. A word's probability is that of its class
-after the class before it, times its share within the class. The models are matched: same vocabulary and
-classes, same smoothing, and background counts scaled to the target's size, so smoothing weighs the same in both.
+Both models are bigrams over every word of the corpus, counted over whole corpora. The models are matched: same words,
+same smoothing, and background counts scaled to the target's size, so smoothing weighs the same in both.
 A document's score is its mean loss per token under the target less that under the background; lower is more alike the
 target.
 
-Counts leave a task as runs of cells and are added up block by block. The tables' size is set by the parameters, not
-by the corpus, so the driver and every task can hold them.
+Words and pairs are 64-bit hashes, and neither has a largest number. Pairs leave a task folded and packed by bucket; a pair
+lies in the bucket of its second word, so the bucket knows that word's count, except that pairs of the frequent second
+words are dealt by pair and those words' counts are broadcast. Documents then post the pairs they hold to the buckets, which
+answer with sums of losses; frequent pairs are looked up in a broadcast table instead. What is broadcast is bounded by proof:
+no more than ``HEAD`` words can make up a share of 1 / ``HEAD`` of the corpus each.
+
+A caller that names ``vocabulary`` and ``classes`` gets class bigrams in one table of that size instead: the most frequent
+words are classes of their own, all other words share one. A word's probability is that of its class after the class before
+it, times its share within the class.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import slices
+from tracefold.llm.common import slices, staged
 
 VOCABULARY = 50_000  # words at most
 CLASSES = 1024  # the first stands for a text's start, the second for all words without a class of their own
@@ -30,6 +37,15 @@ LONGEST_WORD = 64  # bytes; longer words are unknown
 STRENGTH = 20.0  # what the class's own frequency weighs beside a context's count
 BLOCK = 8192  # cells that are added up together
 HELD = 200_000  # distinct words that a task holds
+HEAD = 1 << 18  # words, or pairs, of which each makes up at least this share of all are broadcast
+SLICE = 1_000_000  # tokens whose pairs a task folds together
+SLICE_DOCS = 100_000
+BUCKET = 500_000  # tokens to a bucket of pairs
+CODES_HELD = 400_000  # words whose hashes a worker remembers
+START, CONTEXT = np.uint64(1), np.uint64(2)  # before a text's first word; before a word that is counted as a context
+_ROWS = "slice long, bucket long, a binary, b binary, c binary, d binary"
+_PACKED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), *((x, pa.binary()) for x in "abcd")])
+_codes: dict[bytes, int] = {}
 _WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _RUNS = pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
 
@@ -186,20 +202,339 @@ def _score(model):
     return run
 
 
+# -- the model without limits ----------------------------------------------------------------------------------------
+
+
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of the word before it, tokens of each text) of texts one after another."""
+    split = [tokens(t) for t in texts]
+    if len(_codes) > CODES_HELD:
+        _codes.clear()
+    for word in set().union(*split):
+        if word not in _codes:
+            _codes[word] = xxhash.xxh3_64_intdigest(word)
+    lengths = np.array([len(s) for s in split], np.int64)
+    words = np.fromiter((c for s in split for c in map(_codes.__getitem__, s)), np.uint64, int(lengths.sum()))
+    before = np.concatenate((words[:1], words[:-1]))
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+    return words, before, lengths
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return _mixed(before * np.uint64(0x9E3779B97F4A7C15) + words)
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted table, whether it is there) of each key."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _bucket_of(keys: np.ndarray, words: np.ndarray, head: np.ndarray, buckets: int) -> np.ndarray:
+    return (_mixed(np.where(_find(head, words)[1], keys, words)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _first_of(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _PACKED]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED, strict=True)], schema=_PACKED)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+    held: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        words, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts.astype(np.int64))], schema=schema)
+
+    for batch in slices(batches, "text"):
+        held.append(coded(batch.column(0).to_pylist())[0])
+        if sum(map(len, held)) > 4 * SLICE:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _pair_counts(head, buckets: int):
+    """(text, is_target) to packed counts: each pair, and each word as what comes before another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            words, before, wanted = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            before, words = np.concatenate((before, np.full(len(words), CONTEXT))), np.concatenate((words, before))
+            keys = pair_keys(before, words)
+            order = np.argsort(keys, kind="stable")
+            begins = _first_of(keys[order])
+            if not len(begins):
+                return _packed_rows([])
+            every = np.diff(np.append(begins, len(keys)))
+            target = np.add.reduceat(np.concatenate((wanted, wanted))[order].astype(np.int64), begins)
+            first = order[begins]
+            before, words = before[first], words[first]
+            bucket = _bucket_of(keys[first], words, head.value, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = _first_of(bucket[order])
+            parts = [np.split(x[order], cuts[1:]) for x in (before, words, target, every)]
+            return _packed_rows([(0, int(n), *(x.tobytes() for x in row)) for n, *row in zip(bucket[order][cuts], *parts, strict=True)])
+
+        for batch in slices(batches, "text"):
+            words, before, lengths = coded(batch.column(0).to_pylist())
+            held.append((words, before, np.repeat(np.array(batch.column(1).to_pylist(), bool), lengths)))
+            if sum(len(h[0]) for h in held) > SLICE:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _pair_arrays(row: tuple) -> tuple[np.ndarray, ...]:
+    return *(np.frombuffer(x, np.uint64) for x in row[:2]), *(np.frombuffer(x, np.int64) for x in row[2:])
+
+
+def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets, in order, to one row each, by ascending key."""
+    number, held = None, []
+
+    def close() -> pa.RecordBatch:
+        before, words, target, every = (np.concatenate(c) for c in zip(*held, strict=True))
+        keys = pair_keys(before, words)
+        order = np.argsort(keys, kind="stable")
+        begins = _first_of(keys[order])
+        first = order[begins]
+        columns = before[first], words[first], np.add.reduceat(target[order], begins), np.add.reduceat(every[order], begins)
+        return _packed_rows([(0, number, *(c.tobytes() for c in columns))])
+
+    for batch in batches:
+        for _, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != number:
+                if held:
+                    yield close()
+                number, held = bucket, []
+            held.append(_pair_arrays(row))
+    if held:
+        yield close()
+
+
+def _head_totals(head):
+    """Counts of the frequent words in a task's buckets, and under no word the tokens of the target."""
+    schema = pa.schema([("word", pa.int64()), ("target", pa.int64()), ("every", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, tokens_ = np.zeros((2, len(head.value)), np.int64), np.zeros(2, np.int64)
+        for batch in batches:
+            for _, _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, words, *counts = _pair_arrays(row)
+                real = before != CONTEXT
+                at, known = _find(head.value, words)
+                for total, sums, n in zip(totals, range(2), counts, strict=True):
+                    np.add.at(total, at[known & real], n[known & real])
+                    tokens_[sums] += n[real].sum()
+        found = np.flatnonzero(totals[1])
+        words = pa.array([None, *head.value[found].view(np.int64).tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([words, *(pa.array(np.append(n, t[found])) for n, t in zip(tokens_, totals, strict=True))], schema=schema)
+
+    return run
+
+
+def _pair_losses(model, hot: bool):
+    """Buckets of counts to what each key adds to a text's loss: (keys, under the target, under the background).
+
+    A pair adds the negative logarithm of its smoothed count, a context that of the sum which this is divided by. ``hot``
+    keeps the frequent keys only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, head_counts, sizes, scales, kinds, strength, least = model.value
+        for batch in batches:
+            rows = []
+            for _, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, words, *counts = _pair_arrays(row)
+                keys, real = pair_keys(before, words), before != CONTEXT
+                at, known = _find(head, words)
+                _, local = np.unique(words, return_inverse=True)
+                added = []
+                for n, of_head, size, scale in zip(counts, head_counts, sizes, scales, strict=True):
+                    own = np.bincount(local, weights=n * real)[local]
+                    single = np.where(known, of_head[at], own) if len(head) else own
+                    share = (single * scale + 1.0) / (size * scale + kinds)
+                    added.append(np.where(real, -np.log(n * scale + strength * share), np.log(n * scale + strength)))
+                keep = counts[1] >= least if hot else np.ones(len(keys), bool)
+                if keep.any():
+                    rows.append((-1, bucket, keys[keep].tobytes(), *(x[keep].tobytes() for x in added), None))
+            yield _packed_rows(rows)
+
+    return run
+
+
+def _post(head, hot, buckets: int):
+    """(doc_id, text) to a row of each slice's documents (under bucket -1), with losses of their frequent pairs, and its postings.
+
+    Documents: ids, which of them are null, tokens, sums under both models. Postings: keys, documents of each key, the
+    documents' places in the slice, how often the key is in them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        ids: list[int | None] = []
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number
+            words, before, lengths = (np.concatenate(c) for c in zip(*held, strict=True))
+            name, number = (part << 32) + number, number + 1
+            doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+            before, words, doc = np.concatenate((before, np.full(len(words), CONTEXT))), np.concatenate((words, before)), np.concatenate((doc, doc))
+            keys = pair_keys(before, words)
+            order = np.argsort(keys, kind="stable")
+            keys, doc, words = keys[order], doc[order], words[order]
+            begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))) if len(keys) else np.zeros(0, np.int64)
+            often = np.diff(np.append(begins, len(keys))).astype(np.uint32)
+            keys, doc, words = keys[begins], doc[begins], words[begins]
+            table, *losses_ = hot.value
+            at, known = _find(table, keys)
+            sums = np.array([np.bincount(doc[known], weights=x[at[known]] * often[known], minlength=len(lengths)) for x in losses_])
+            no_id = np.array([i is None for i in ids])
+            rows = [(name, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), no_id.tobytes(), lengths.tobytes(), sums.tobytes())]
+            keys, doc, words, often = (x[~known] for x in (keys, doc, words, often))
+            bucket = _bucket_of(keys, words, head.value, buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = _first_of(bucket[order])
+            for begin, end in zip(cuts, np.append(cuts, len(order))[1:], strict=True):
+                mine = order[begin:end]
+                firsts = _first_of(keys[mine])
+                each = np.diff(np.append(firsts, len(mine))).astype(np.uint32)
+                rows.append((name, int(bucket[mine[0]]), keys[mine][firsts].tobytes(), each.tobytes(), doc[mine].tobytes(), often[mine].tobytes()))
+            ids.clear()
+            held.clear()
+            return _packed_rows(rows)
+
+        for batch in slices(batches, "text"):
+            ids += batch.column(0).to_pylist()
+            held.append(coded(batch.column(1).to_pylist()))
+            if sum(len(h[0]) for h in held) > SLICE or len(ids) > SLICE_DOCS:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets, in order, their losses before their postings, to sums of each posting's documents."""
+    number = table = None
+    for batch in batches:
+        rows = []
+        for name, bucket, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if name < 0:
+                number, table = bucket, (np.frombuffer(a, np.uint64), np.frombuffer(b), np.frombuffer(c))
+                continue
+            keys, each, doc, often = np.frombuffer(a, np.uint64), *(np.frombuffer(x, np.uint32) for x in (b, c, d))
+            at, known = _find(table[0], keys) if bucket == number else (None, np.zeros(1, bool))
+            if not known.all():
+                raise ValueError("a pair of a document was not counted")
+            docs, local = np.unique(doc, return_inverse=True)
+            sums = [np.bincount(local, weights=np.repeat(x[at], each) * often) for x in table[1:]]
+            rows.append((name, bucket, docs.tobytes(), *(x.tobytes() for x in sums), None))
+        yield _packed_rows(rows)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices, in order, their documents before the buckets' answers, to scored documents."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64()),
+    ])
+    open_ = None
+
+    def close() -> pa.RecordBatch:
+        ids, no_id, lengths, sums = open_
+        full = lengths > 0
+        means = [np.divide(x, lengths, out=np.full(len(lengths), np.nan), where=full) for x in sums]
+        arrays = [pa.array(x.round(9), pa.float64(), mask=~full) for x in (*means, means[0] - means[1])]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=no_id), pa.array(lengths, pa.int64()), *arrays], schema=schema)
+
+    for batch in batches:
+        for _, bucket, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if bucket < 0:
+                if open_:
+                    yield close()
+                lengths = np.frombuffer(c, np.int64)
+                open_ = np.frombuffer(a, np.int64), np.frombuffer(b, bool), lengths, np.frombuffer(d).reshape(2, -1).copy()
+            else:
+                open_[3][:, np.frombuffer(a, np.uint32)] += np.array([np.frombuffer(b), np.frombuffer(c)])
+    if open_:
+        yield close()
+
+
+def _unlimited(slim: DataFrame, flagged: DataFrame, strength: float, head: int) -> DataFrame:
+    spark = slim.sparkSession
+    counted = slim.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = staged(counted, "lm-words")
+    total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    least = max(1, -(-total // head))
+    words = counted.where(F.col("n") >= least).select("word").collect()
+    frequent = np.sort(np.array([r["word"] for r in words], np.int64).view(np.uint64))
+    known, buckets = spark.sparkContext.broadcast(frequent), total // BUCKET + 1
+
+    runs = flagged.mapInArrow(_pair_counts(known, buckets), _ROWS)
+    pairs = staged(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_pairs, _ROWS), "lm-pairs")
+    totals = pairs.mapInArrow(_head_totals(known), "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("t"), F.sum("every").alias("b"))
+    counts, sizes = np.zeros((2, len(frequent))), [0, 0]
+    for row in totals.collect():
+        if row["word"] is None:
+            sizes = [row["t"], row["b"]]
+        else:
+            counts[:, np.searchsorted(frequent, np.int64(row["word"]).view(np.uint64))] = row["t"], row["b"]
+    scale = sizes[0] / sizes[1] if sizes[0] else 0.0
+    # As classes, the text's start and the words without a class of their own count too.
+    model = spark.sparkContext.broadcast((frequent, counts, sizes, (1.0, scale), kinds + 2, strength, least))
+
+    rows = pairs.mapInArrow(_pair_losses(model, True), _ROWS).select("a", "b", "c").collect()
+    keys, *added = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind) for c, kind in (("a", np.uint64), ("b", float), ("c", float)))
+    order = np.argsort(keys)
+    hot = spark.sparkContext.broadcast((keys[order], *(x[order] for x in added)))
+
+    posted = staged(slim.mapInArrow(_post(known, hot, buckets), _ROWS), "lm-postings")
+    asked = pairs.mapInArrow(_pair_losses(model, False), _ROWS).unionByName(posted.where("bucket >= 0")).repartition(buckets, "bucket")
+    answers = asked.sortWithinPartitions("bucket", "slice").mapInArrow(_answer, _ROWS)
+    placed = posted.where("bucket < 0").unionByName(answers).repartition("slice").sortWithinPartitions("slice", "bucket")
+    return placed.mapInArrow(_finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+
 def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, vocabulary: int = VOCABULARY, classes: int = CLASSES, strength: float = STRENGTH
+    docs: DataFrame, target: DataFrame, vocabulary: int | None = None, classes: int | None = None, strength: float = STRENGTH, head: int = HEAD
 ) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score (target less background) of every row of (doc_id, text).
 
     ``target`` has the doc_id of each target document, once, and ``is_target``; all documents are the background. Losses
     are nats per token, rounded to nine places, and null for texts without a token, null texts included. Repeated
     rows and rows with a null id are scored each, and a null id is never a target. An empty table gives no rows; with
-    no target both models are even. Other columns are not read.
+    no target both models are even. Other columns are not read. Every word and pair counts unless ``vocabulary`` or
+    ``classes`` is named; ``head`` steers how the work is spread, not what comes out.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    layout = Layout(learn_vocabulary(slim, vocabulary), classes)
     flagged = slim.join(target.select("doc_id", "is_target").hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    if vocabulary is None and classes is None:
+        return _unlimited(slim, flagged, strength, head)
+    classes = classes or CLASSES
+    layout = Layout(learn_vocabulary(slim, vocabulary or VOCABULARY), classes)
     counts = count_cells(spark, flagged, layout)
     sizes = counts[:, classes * classes :].sum(1)
     scale = float(sizes[0]) / float(sizes[1]) if sizes[0] else 0.0
