@@ -5,6 +5,7 @@ import zlib
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tracefold.llm import catalog
 from tracefold.llm.packing import PIECE_SCHEMA, Packer, pack
 
 SCHEMA = "doc_id long, text string, start string, offset string"
@@ -68,3 +69,18 @@ def test_open_windows_are_bounded():
         packer.place(i, 0, 1 + i % 11, struct.pack("<I", i) * (1 + i % 11))
         assert len(packer.open) <= 4 and sum(map(len, packer.pieces.values())) <= 64
     assert PIECE_SCHEMA.count(",") == 8
+
+
+def test_added_tokens_are_matched_as_the_library_does(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y <|ENDOFTEXT|>", "  <|endoftext|>  \n b", "<|endoftext", "", None, "plain text"]
+    ids = [[*e.ids, 0] for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    df = spark.createDataFrame([(i, t, "s", "o") for i, t in enumerate(texts)], SCHEMA)
+    got = [r.asDict() for r in pack(df, PATH, public_tokenizers.PATTERN, 16, 4, added=True).collect()]
+    check(got, list(enumerate(ids)), 16)
+
+
+def test_the_query_matches_added_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "a <|endoftext|> b", "s", "o")], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [r.asDict() for r in catalog.QUERIES["op6_packing"](spark, str(tmp_path)).collect()]
+    ids = Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids
+    check(got, [(1, [*ids, 0])], 1024)

@@ -172,11 +172,22 @@ def listed(path: str, pattern: str) -> Vocabulary:
     return Vocabulary({i: as_bytes(s) for s, i in vocab.items()}, pairs, pattern)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizers JSON file has matched inside texts, ahead of pre-tokens, and their ids."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens") or []
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"added tokens of {path} that depend on what is beside them")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder:
-    """Encodes texts with one vocabulary, remembering chunks."""
+    """Encodes texts with one vocabulary, remembering chunks; ``added`` strings are cut out first and have ids of their own."""
 
-    def __init__(self, vocabulary: Vocabulary, whole_tokens: bool) -> None:
+    def __init__(self, vocabulary: Vocabulary, whole_tokens: bool, added: dict[str, int] | None = None) -> None:
         self.vocabulary, self.whole_tokens = vocabulary, whole_tokens
+        self.added = {t: i.to_bytes(4, "little") for t, i in (added or {}).items()}
+        self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -216,6 +227,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        if self.added_pattern is None:
+            return self.encode_ordinary(texts)
+        # Every other part is an added token.
+        parts = [self.added_pattern.split(t) for t in texts]
+        plain = iter(self.encode_ordinary([p for ps in parts for p in ps[::2]]))
+        return [b"".join(self.added[p] if k % 2 else next(plain) for k, p in enumerate(ps)) for ps in parts]
+
+    def encode_ordinary(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with no regard to added tokens."""
         parts = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in texts]
         if len(self.cache) > CACHED:
             self.old, self.cache = self.cache, {}
@@ -236,10 +256,13 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str, pattern: str) -> Encoder:
-    """One per worker and file; ``path`` is a rank file or a tokenizers JSON file on every machine."""
+def encoder(path: str, pattern: str, added: bool = False) -> Encoder:
+    """One per worker and file; ``path`` is a rank file or a tokenizers JSON file on every machine.
+
+    With ``added`` the JSON file's added tokens are matched in texts, as its library does; else they are ordinary text.
+    """
     json_file = path.endswith(".json")
-    return Encoder(listed(path, pattern) if json_file else ranked(path, pattern), whole_tokens=not json_file)
+    return Encoder(listed(path, pattern) if json_file else ranked(path, pattern), not json_file, added_tokens(path) if added else None)
 
 
 @functools.cache

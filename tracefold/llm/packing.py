@@ -118,12 +118,12 @@ def _first_sequence(level: int, part: int) -> int:
     return (level << 58) + (part << 34)
 
 
-def _pack(path: str, pattern: str, window: int, most: int):
+def _pack(path: str, pattern: str, window: int, most: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         packer = Packer(part, _first_sequence(0, part), window, most)
         for batch in slices(batches, "text", 4 << 20):
-            encoded = bpe.encoder(path, pattern).encode([t or "" for t in batch.column(1).to_pylist()])
+            encoded = bpe.encoder(path, pattern, added).encode([t or "" for t in batch.column(1).to_pylist()])
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 packer.place(doc_id, 0, len(ids) // 4 + 1, ids + END)
             yield packer.take()
@@ -149,15 +149,16 @@ def _merge(level: int, last: bool, window: int, most: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, most: int = OPEN_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, most: int = OPEN_WINDOWS, added: bool = False) -> DataFrame:
     """Pieces of documents in sequences of ``window`` tokens: columns ``RESULT``.
 
     Each document's ids are followed by id 0. Every id lies in one piece; a sequence is full, or its length is
     a power of two (one set of those in all). Null and empty texts are that one id; null and repeated doc_ids are
-    packed like others; no rows give no pieces. Other columns are not read.
+    packed like others; no rows give no pieces. Other columns are not read. With ``added`` the
+    file's added tokens are matched in texts, as the tokenizers library does unless told otherwise.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = staged(slim.mapInArrow(_pack(path, pattern, window, most), PIECE_SCHEMA), "packed")
+    packed = staged(slim.mapInArrow(_pack(path, pattern, window, most, added), PIECE_SCHEMA), "packed")
     done, loose = packed.where("ids is null").select(*RESULT), packed.where("ids is not null")
     parts = (loose.agg(F.max("part")).first()[0] or 0) + 1
     level = 0
