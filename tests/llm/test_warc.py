@@ -73,3 +73,39 @@ def test_broken_archive_is_an_error(spark, tmp_path):
     (tmp_path / "a").write_bytes(warc.gzip_member(b"WARC/1.1\r\nA: b\r\n\r\n" + b"x" * 100)[:-30])
     with pytest.raises(Exception, match="broken gzip member|bytes of no member"):
         warc.read_warc(spark, str(tmp_path)).collect()
+
+
+def member_with_magic_in_its_head(data):
+    """A gzip member that decodes to nothing up to a false magic, as one in its Huffman table does."""
+    extra = b"ab\x05\x00" + b"xy" + warc.MAGIC
+    plain = warc.gzip_member(data)
+    return plain[:3] + b"\x04" + plain[4:10] + len(extra).to_bytes(2, "little") + extra + plain[10:]
+
+
+@pytest.mark.parametrize("split", [50, 120, 333, 4096])
+def test_a_magic_in_a_members_head_loses_no_record(spark, tmp_path, split):
+    odd = {0, 4, 5, 9, 19}
+    records = [warc.warc_record(i, "u", hashlib.sha256(bytes([i])).hexdigest().encode() * (1 + i % 4), "", 0, None, "d") for i in range(20)]
+    data = b"".join((member_with_magic_in_its_head if i in odd else warc.gzip_member)(r) for i, r in enumerate(records))
+    assert gzip.decompress(data) == b"".join(records)
+    (tmp_path / "a").write_bytes(data)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, (split, 0)):
+        spark.conf.set(k, v)
+    try:
+        found = sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path)).collect())
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+    assert found == sorted(f"<urn:page:{i}>" for i in range(20))
+
+
+def test_what_is_left_over_is_an_error():
+    record = warc.warc_record(1, "u", b"x", "", 0, None, "d")
+    with pytest.raises(ValueError, match="behind a record"):
+        warc.parse_record(record + record)
+    with pytest.raises(ValueError, match="no record"):
+        warc.parse_record(b"else")
+    with pytest.raises(ValueError, match="no member"):
+        warc._inflate(warc.gzip_member(record) + b"else")

@@ -7,7 +7,8 @@ byte, and the separator is that byte: the file is plain concatenated gzip.
 
 Reading: the scan cuts files into byte ranges and each task looks for the gzip magic in its range; the piece that
 follows a magic belongs to the range in which the magic ends. A piece is a candidate member: its header is decoded, and
-a false magic inside another member's bytes fails that test and is put back. Where a member runs over a false
+a false magic inside another member's bytes fails that test and is put back. So is a member that a false magic in its own
+head leaves too short to tell; what is put together so is taken apart again, member by member, when it is unpacked. Where a member runs over a false
 magic into the next range, both tasks report the loose bytes, and these few fragments are joined by file.
 """
 
@@ -113,16 +114,18 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
 # -- reading ---------------------------------------------------------------------------------------------------------
 
 
-def _inflate(data: bytes) -> tuple[bytes, bool]:
-    """(content, complete) of the gzip members in ``data``; trailing bytes after a whole member are ignored."""
+def _inflate(data: bytes) -> tuple[list[bytes], bool]:
+    """(content of each, complete) of the gzip members in ``data``; only zeros may follow the last."""
     out = []
     while data[:3] == MAGIC:
         unpack = zlib.decompressobj(31)
         out.append(unpack.decompress(data))
         if not unpack.eof:
-            return b"".join(out), False
+            return out, False
         data = unpack.unused_data
-    return b"".join(out), True
+    if data.strip(b"\x00"):
+        raise ValueError(f"{len(data)} bytes of no member")
+    return out, True
 
 
 def starts_record(piece: bytes) -> bool:
@@ -139,14 +142,19 @@ def starts_record(piece: bytes) -> bool:
 
 def parse_record(content: bytes) -> tuple | None:
     """(record id, type, uri, refers to, digest, payload length, payload), or None for an empty member."""
-    if not content.startswith(b"WARC/1."):
+    if not content:
         return None
+    if not content.startswith(b"WARC/1."):
+        raise ValueError(f"a member of {len(content)} bytes that is no record")
     head, _, rest = content.partition(b"\r\n\r\n")
     fields = {}
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    block = rest[: int(fields.get("content-length", len(rest)))]
+    length = int(fields.get("content-length", len(rest)))
+    block, left = rest[:length], rest[length:]
+    if left.strip(b"\r\n"):
+        raise ValueError(f"{len(left)} bytes behind a record in its member")
     http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     size = len(payload)
     if fields.get("warc-type") == "revisit":
@@ -183,15 +191,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == 0:
             rows.append((*[None] * 7, *place, 0, data))
             return
-        content, whole = _inflate(data)
-        record = parse_record(content) if whole else None
+        contents, whole = _inflate(data)
         if not whole and end_of_range:
             rows.append((*[None] * 7, *place, 1, data))
         elif not whole:
             raise ValueError(f"broken gzip member in {place[0]}")
-        elif record:
-            rows.append((*record, *place, 2, None))
-            held += len(content)
+        else:
+            rows.extend((*record, *place, 2, None) for record in map(parse_record, contents) if record)
+            held += sum(map(len, contents))
 
     for batch in batches:
         for value, file, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -222,11 +229,10 @@ def _join_fragments(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     rows, data = [], None
 
     def close() -> None:
-        content, whole = _inflate(data)
+        contents, whole = _inflate(data)
         if not whole:
             raise ValueError(f"broken gzip member in {key[0].as_py()}")
-        if record := parse_record(content):
-            rows.append((*record, key[0].as_py(), 0, 2, None))
+        rows.extend((*record, key[0].as_py(), 0, 2, None) for record in map(parse_record, contents) if record)
 
     for part in parts:
         if part["seq"] == 1:
@@ -235,6 +241,8 @@ def _join_fragments(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             data = part["loose"]
         elif data is not None:
             data += part["loose"]
+        elif part["loose"].startswith(MAGIC):  # a member that its range could not tell
+            data = part["loose"]
         elif part["loose"].strip(b"\x00"):
             raise ValueError(f"bytes of no member in {key[0].as_py()}")
     if data is not None:
