@@ -2,9 +2,10 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tracefold.llm.ngram_join import allowed_pairs, kept_documents, may_link, ngram_components, parity_map, prefix_length, required, search_block, shingle_sets
+from tracefold.llm.ngram_join import _PLACE, _prefixes, allowed_pairs, kept_documents, may_link, ngram_components, parity_map, prefix_length, required, search_block, set_id, shingle_sets
 
 SCHEMA = "doc_id long, text string, ent string, n string, component_id string"
 
@@ -146,3 +147,16 @@ def test_pairs_in_a_list_hold_every_link(seed):
         if i != j and comps[i] != comps[j] and 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (sizes[i] + sizes[j])
     }
     assert linked <= found and all(min(p) < queries and len({comps[i] for i in p}) == 2 for p in found)
+
+
+def test_many_short_texts_in_one_task():
+    texts = [f"title number {i} of many" for i in range(70_000)]
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    batches = (pa.RecordBatch.from_arrays([pa.array(texts[i : i + 10_000])], ["text"]) for i in range(0, 70_000, 10_000))
+    found = set()
+    for batch in _prefixes(type("Hot", (), {"value": none}), 3)(batches):
+        for _, places, ents, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            place = np.frombuffer(places, _PLACE)
+            found.update(zip(place["t"].tolist(), np.frombuffer(ents, "<i8")[place["d"]].tolist()))
+    want = {(int(s[0]), set_id(s)) for s in shingle_sets(texts)}
+    assert found == want

@@ -276,9 +276,9 @@ def _prefixes(hot, buckets: int):
                 ents.append(ent)
                 sizes.append(n)
                 held += n
-            if held > 2_000_000 or len(ents) > 60_000:
-                yield flush()
-                held = 0
+                if held > 2_000_000 or len(ents) > 60_000:  # places of sets have 16 bits
+                    yield flush()
+                    held = 0
         if parts:
             yield flush()
 
