@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tracefold.llm import ngram_join
 from tracefold.llm.ngram_join import _PLACE, _prefixes, allowed_pairs, kept_documents, may_link, ngram_components, parity_map, prefix_length, required, search_block, set_id, shingle_sets
 
 SCHEMA = "doc_id long, text string, ent string, n string, component_id string"
@@ -160,3 +161,33 @@ def test_many_short_texts_in_one_task():
             found.update(zip(place["t"].tolist(), np.frombuffer(ents, "<i8")[place["d"]].tolist()))
     want = {(int(s[0]), set_id(s)) for s in shingle_sets(texts)}
     assert found == want
+
+
+def test_blocks_of_long_lists_are_bounded_and_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 8)
+    rng = random.Random(5)
+    rows = [(7, i, n := rng.choice([50, 60, 75, 100, 140]), rng.randrange(0, n // 4), i if i % 5 else 0, 0) for i in range(300)]
+    rows += [(8, i, 100, 20, i, 1) for i in range(300)]  # a passage late in all texts: no two can link
+    rows += [(9, 1, 10, 0, 1, 1), (9, 2, 11, 2, 2, 1)]
+    blocks = ngram_join._blocks(spark.createDataFrame(rows, "shingle long, ent long, n int, pos int, comp long, main long")).collect()
+    cells = defaultdict(list)
+    for r in blocks:
+        cells[r.shingle, r.sub].append(r)
+    assert {k[0] for k in cells} == {7, 9} and max(map(len, cells.values())) <= 64
+    met = Counter()
+    for (shingle, _), rs in cells.items():
+        for x in range(len(rs)):
+            for y in range(x):
+                if {rs[x].query, rs[y].query} in ({1}, {0, 1}, {0, 2}) and rs[x].comp != rs[y].comp:
+                    met[shingle, min(rs[x].ent, rs[y].ent), max(rs[x].ent, rs[y].ent)] += 1
+    for s, i, n, p, c, _ in rows[:300]:
+        for t, j, m, q, d, _ in rows[:i]:
+            if c != d and required(n, m) <= min(n - p, m - q):
+                assert met[s, j, i] == 1
+    assert max(met.values()) == 1 and met[9, 1, 2] == 1
+
+
+def test_components_of_lists_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(6)
+    assert sorted((tuple(r) for r in ngram_components(df).collect()), key=repr) == brute(rows())

@@ -356,8 +356,8 @@ def _viable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def allowed_pairs(sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], queries: int) -> Iterator[tuple[int, int]]:
-    """Places (i, j), i among the first ``queries``, of different components, that sizes and maps allow to link."""
+def allowed_pairs(sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], queries: int, across: bool = False) -> Iterator[tuple[int, int]]:
+    """Places (i, j), one among the first ``queries`` (``across``: just one), of different components, that sizes and maps allow to link."""
     words = np.array([len(m) // 8 for m in maps])
     for level in np.unique(words):
         near = np.flatnonzero((words == level) | (words == 2 * level))
@@ -373,7 +373,8 @@ def allowed_pairs(sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], queri
             apart = np.bitwise_count(table[rows][:, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
             total = sizes[near[rows]][:, None] + sizes[near][None, :]
             fits = (total - apart >= 2 * -(-3 * total // 7)) & (comps[near[rows]][:, None] != comps[near][None, :])
-            fits &= (near[rows] < queries)[:, None] | (near < queries)[None, :]
+            ask, asked = (near[rows] < queries)[:, None], (near < queries)[None, :]
+            fits &= ask != asked if across else ask | asked
             for i, j in zip(*np.nonzero(fits), strict=True):
                 yield int(near[rows[i]]), int(near[j])
 
@@ -381,11 +382,11 @@ def allowed_pairs(sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], queri
 def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of lists, in order and asking members first, to pairs (a, b), a < b, that may link; each once a task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    place, asked, told = None, 0, set()
+    place, asked, across, told = None, 0, False, set()
     ents, sizes, comps, maps, places = [], [], [], [], set()
 
     def close() -> pa.RecordBatch:
-        found = {(min(ents[i], ents[j]), max(ents[i], ents[j])) for i, j in allowed_pairs(np.array(sizes, np.int64), np.array(comps, np.int64), maps, asked)} - told
+        found = {(min(ents[i], ents[j]), max(ents[i], ents[j])) for i, j in allowed_pairs(np.array(sizes, np.int64), np.array(comps, np.int64), maps, asked, across)} - told
         if len(told) > 500_000:
             told.clear()
         told.update(found)
@@ -396,7 +397,7 @@ def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if (shingle, sub) != place:
                 if asked:
                     yield close()
-                place, asked = (shingle, sub), 0
+                place, asked, across = (shingle, sub), 0, query == 2
                 ents, sizes, comps, maps, places = [], [], [], [], set()
             if ent in places:
                 continue  # it asks already
@@ -405,7 +406,7 @@ def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sizes.append(n)
             comps.append(comp)
             maps.append(parities)
-            asked += query
+            asked += query > 0
     if asked:
         yield close()
 
@@ -493,21 +494,53 @@ def _fetched(docs: DataFrame, home: DataFrame, ents: DataFrame) -> DataFrame:
     return staged(found.join(ents, "ent", "left_semi").dropDuplicates(["ent"]), "shingle-sets")
 
 
+def _blocks(full: DataFrame) -> DataFrame:
+    """Blocks (shingle, sub, query) of bounded size in which every pair of a list meets once, from members with ``main``.
+
+    Of linked sets the smaller has their first common shingle at an early place, within its first seventh: else too
+    few shingles are left behind it. So lists without an early member need no search. Long lists are cut by size,
+    early or late, main component or not, and then into blocks; blocks meet in pairs, an early one with one of its own or the
+    next larger sizes, one of both outside the main component. Query 1: all pairs; 2 with 0: pairs across.
+    """
+    columns = [c for c in full.columns if c not in ("pos", "main")]
+    full = full.withColumns({
+        "late": (F.col("pos") * 7 > F.col("n")).cast("int"), "stands": (F.col("comp") == F.col("main")).cast("int"),
+        "band": F.floor(F.log("n") / F.log(F.lit(1.4))),  # linked sizes differ by a third at most
+    })
+    counted = full.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("late").alias("_late")).where("_late = 0").drop("_late")
+    full = full.join(counted, "shingle")
+    whole = full.where(F.col("m") <= 4 * BLOCK_SETS).withColumns({"sub": F.lit(""), "query": 1 - F.col("stands")})
+
+    kind = ["band", "late", "stands"]
+    long = full.where(F.col("m") > 4 * BLOCK_SETS)
+    kinds = long.groupBy("shingle", *kind).agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_SETS)).alias("blocks"))
+    cut = long.join(kinds, ["shingle", *kind]).withColumn("block", F.pmod(F.xxhash64("ent"), "blocks"))
+    groups = kinds.select("shingle", *kind, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    kind.append("block")
+    a = groups.select("shingle", *(F.col(c).alias(f"a_{c}") for c in kind)).where("a_late = 0")
+    b = groups.select("shingle", *(F.col(c).alias(f"b_{c}") for c in kind))
+    cells = a.join(b, "shingle").where(
+        "b_band in (a_band, a_band + 1) and (a_stands = 0 or b_stands = 0) "
+        "and (b_band > a_band or b_late = 1 or b_stands > a_stands or (b_stands = a_stands and b_block >= a_block))"
+    )
+    names = [f"{side}_{c}" for side in "ab" for c in kind]
+    cells = cells.withColumn("same", F.expr(" and ".join(f"a_{c} = b_{c}" for c in kind))).withColumn("sub", F.concat_ws(":", *names))
+    first = cells.select("shingle", *(F.col(f"a_{c}").alias(c) for c in kind), "sub", F.when(F.col("same"), 1).otherwise(2).alias("query"))
+    second = cells.where("not same").select("shingle", *(F.col(f"b_{c}").alias(c) for c in kind), "sub", F.lit(0).alias("query"))
+    met = cut.join(first.unionByName(second), ["shingle", *kind])
+    order = ["shingle", "sub", "query", *(c for c in columns if c != "shingle")]
+    return whole.select(*order).unionByName(met.select(*order))
+
+
 def _pairs_apart(lists: DataFrame, components: DataFrame, maps: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that share a prefix shingle and that their maps allow to link.
 
-    Lists are cut into parts of bounded size. Members outside a list's main component ask every part, the others only
-    stand in their own; pairs are formed in the task, and only those that may link leave it.
+    Pairs are formed in the task, block by block, and only those that may link leave it.
     """
     apart = staged(_labelled(lists, components), "apart")
-    counted = apart.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"))
-    full = apart.join(_main(apart).drop("rep"), "shingle").join(counted, "shingle").join(maps, "ent")
-    full = full.withColumn("parts", F.ceil(F.col("m") / (4 * BLOCK_SETS)))
-    columns = ["ent", "n", "comp", "map"]
-    stand = full.where("comp = main or parts > 1").select("shingle", F.pmod(F.xxhash64("ent"), "parts").alias("sub"), F.lit(0).alias("query"), *columns)
-    ask = full.where("comp != main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("sub"), F.lit(1).alias("query"), *columns)
-    blocks = stand.unionByName(ask).select("shingle", "sub", "query", *columns).repartition("shingle", "sub")
-    found = blocks.sortWithinPartitions("shingle", "sub", F.desc("query")).mapInArrow(_viable_pairs, "a long, b long")
+    full = apart.join(_main(apart).drop("rep"), "shingle").join(maps, "ent")
+    blocks = _blocks(full.select("shingle", "ent", "n", "pos", "comp", "map", "main")).select("shingle", "sub", "query", "ent", "n", "comp", "map")
+    found = blocks.repartition("shingle", "sub").sortWithinPartitions("shingle", "sub", F.desc("query")).mapInArrow(_viable_pairs, "a long, b long")
     return staged(found.distinct(), "pairs")
 
 
