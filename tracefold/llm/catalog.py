@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage, over whole given tables."""
+"""The queries of this subpackage, over whole given tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe_codec, exact_dedup, langid, lm_scoring, ngram_join, packing, sharding, topk, url_filter, warc
+from tracefold.llm import bpe_codec, exact_dedup, langid, lm_scoring, merkle, ngram_join, packing, sharding, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,3 +184,64 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as good; background: all documents."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("is_target", F.lit(True))
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
+#: DuckDB has no crc32: a fold over the bytes of the decimal id, eight shifts a byte.
+MERKLE_SQL = r"""
+WITH RECURSIVE given AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, text,
+    {id} || {source} || {lang} || {n} AS head,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(list_filter(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: c <> ''),
+      lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+      lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) AS crc
+  FROM documents
+), digests AS (
+  SELECT doc_id, g, sha256(head || {text}) AS leaf, CASE WHEN doc_id IS NOT NULL AND crc % 2 = 0 THEN sha256(head || {other}) END AS changed
+  FROM (SELECT *, replace(text, chr(10), '') AS bare FROM given)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n,
+    row_number() OVER (ORDER BY g, doc_id NULLS FIRST, leaf) AS r FROM digests
+), tree AS (
+  SELECT g, 0 AS lvl, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY g, lvl, pos // 3, n
+), tops AS (
+  SELECT '' AS g, 0 AS lvl, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, d, g AS of FROM tree WHERE n = 1
+), crown AS (
+  SELECT g, lvl, pos, n, d FROM tops
+  UNION ALL
+  SELECT g, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY g, lvl, pos // 3, n
+), beside AS (
+  SELECT a.g, a.lvl, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+    coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM tree a JOIN tree b ON a.g = b.g AND a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.g, a.lvl, a.pos
+), beside_top AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+    coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+  FROM crown a JOIN crown b ON a.lvl = b.lvl AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY a.lvl, a.pos
+), walk AS (
+  SELECT r, g, pos, 0 AS lvl, coalesce(changed, leaf) AS acc, '' AS proof FROM placed
+  UNION ALL
+  SELECT r, w.g, w.pos // 3, w.lvl + 1, sha256(before || acc || after), proof || before || after
+  FROM walk w JOIN beside b ON b.g = w.g AND b.lvl = w.lvl AND b.pos = w.pos
+), arrived AS (
+  SELECT r, g, acc, proof FROM walk QUALIFY row_number() OVER (PARTITION BY r ORDER BY lvl DESC) = 1
+), climb AS (
+  SELECT r, t.pos, 0 AS lvl, acc, proof FROM arrived a JOIN tops t ON t.of = a.g
+  UNION ALL
+  SELECT r, c.pos // 3, c.lvl + 1, sha256(before || acc || after), proof || before || after
+  FROM climb c JOIN beside_top b ON b.lvl = c.lvl AND b.pos = c.pos
+), ends AS (
+  SELECT r, acc, proof FROM climb QUALIFY row_number() OVER (PARTITION BY r ORDER BY lvl DESC) = 1
+), root AS (SELECT d AS root FROM crown WHERE n = 1)
+SELECT doc_id, leaf, t.d AS subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM placed p JOIN ends USING (r) JOIN tops t ON t.of = p.g CROSS JOIN root
+"""
+for _name, _column in {"id": "doc_id", "source": "source", "lang": "lang", "n": "n_chars", "text": "text", "other": "bare"}.items():
+    _value = f"CAST({_column} AS VARCHAR)"
+    MERKLE_SQL = MERKLE_SQL.replace("{" + _name + "}", f"coalesce(CAST(strlen({_value}) AS VARCHAR) || ':' || {_value}, '-')")
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
