@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe_codec, exact_dedup, langid, lm_scoring, merkle, ngram_join, packing, sharding, topk, url_filter, warc
+from tracefold.llm import bpe_codec, collocations, exact_dedup, langid, lm_scoring, merkle, ngram_join, packing, sharding, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -245,3 +245,37 @@ for _name, _column in {"id": "doc_id", "source": "source", "lang": "lang", "n":
 @query("op11_merkle_manifest", MERKLE_SQL)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+places AS (
+  SELECT lang, k.k AS k, unnest(list_transform(range(1, len(ws) - k.k + 2), lambda i: array_to_string(ws[i : i + k.k - 1], ' '))) AS phrase
+  FROM w, range(1, 6) k(k) WHERE len(ws) >= k.k
+), counts AS (SELECT lang, k, phrase, count(*) AS f FROM places GROUP BY lang, k, phrase),
+cand AS (SELECT * FROM counts WHERE k >= 2 AND f >= 100),
+kept AS (
+  SELECT * FROM cand c WHERE NOT EXISTS (
+    SELECT 1 FROM cand o WHERE o.lang = c.lang AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.f >= 100 * c.f)
+), cuts AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM kept
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, n,
+    CAST((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM cuts JOIN total ON total.lang = cuts.lang
+    JOIN counts l ON l.lang = cuts.lang AND l.phrase = array_to_string(ws[1 : cut], ' ')
+    JOIN counts r ON r.lang = cuts.lang AND r.phrase = array_to_string(ws[cut + 1 :], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
