@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm import bpe_codec, collocations, exact_dedup, langid, lm_scoring, merkle, ngram_join, packing, sharding, topk, url_filter, warc
+from tracefold.llm import bpe_codec, collocations, exact_dedup, langid, license_scan, lm_scoring, merkle, ngram_join, packing, sharding, topk, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -279,3 +279,50 @@ FROM best QUALIFY rank <= 2000
 """)
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _wording(regions: list) -> str:
+    """A template as a pattern over words that each stand between two blanks of their own."""
+    out = ""
+    for region in regions:
+        if isinstance(region, bytes):
+            out += f" {region.decode()} "
+        elif region[0] == "optional":
+            out += f"(?:{_wording(region[1])})?"
+        else:
+            out += f"(?: (?:{region[3] or '[^ ]+'}) ){{{region[1]},{region[2]}}}"
+    return out
+
+
+LICENSE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents
+), line AS (
+  SELECT doc_id, len(ws) AS n_words, array_to_string(list_transform(ws, lambda x: ' ' || x || ' '), '') AS line,
+    list_filter(range(len(ws)), lambda i: ws[i + 1] = 'mit' AND ws[i + 2] = 'license') AS mit,
+    list_filter(range(len(ws)), lambda i: ws[i + 1] = 'apache' AND ws[i + 2] = 'license') AS apache,
+    list_filter(range(len(ws)), lambda i: ws[i + 1] = 'general' AND ws[i + 2] = 'public' AND ws[i + 3] = 'license') AS gpl
+  FROM w
+), found AS (
+  SELECT *, list_concat(mit, apache, gpl) AS places,
+    list_filter([CASE WHEN len(apache) > 0 THEN 'apache' END, CASE WHEN len(gpl) > 0 THEN 'gpl' END, CASE WHEN len(mit) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS base,
+    [{matches}] AS matches
+  FROM line
+), spans AS (
+  SELECT *, list_max(list_concat([0, CASE WHEN len(gpl) > 0 THEN 3 WHEN len(places) > 0 THEN 2 ELSE 0 END],
+    list_transform(flatten(list_transform(matches, lambda m: m.spans)), lambda s: len(string_split(trim(s), '  '))))) AS w FROM found
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_concat(base, list_transform(list_filter(matches, lambda m: len(m.spans) > 0), lambda m: m.label))), ',') AS labels,
+  CAST(w AS DOUBLE) / (w + 4) AS score
+FROM spans
+""".replace("{matches}", ", ".join(
+    f"{{'label': '{label}', 'spans': regexp_extract_all(line, '{_wording(license_scan.parse(markup))}')}}" for label, markup in license_scan.TEMPLATES.items()
+))
+
+
+@query("op13_license_scan", LICENSE_SQL)
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labelled(table(spark, sf_dir, "documents"))
