@@ -6,7 +6,7 @@ tasks send it into one Misra-Gries summary whose capacity exceeds the partition'
 summary forgets is less than the threshold, so every n-gram that is frequent keeps its cell. A cell is a hash: others may
 share it, which only means that a few n-grams too many are looked at again.
 
-Second pass. Kept cells are bits of one filter of at most ``FILTER_BITS`` (32 MB), whatever the corpus. A task counts the
+Second pass. Kept cells are bits of one filter, which grows with them to ``FILTER_BITS`` (32 MB) at most. A task counts the
 n-grams whose cells, and the cells of all n-grams inside them, are kept - by their words, not by hashes - and Spark adds
 up the counts by language and phrase. More kept cells than the filter can tell apart let more n-grams through to that
 sum; the result is the same.
@@ -30,18 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import staged
+from tracefold.llm.common import slices, staged
 
 #: Piece ends and blanks of the word rule.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 BLANKS = b" \t"
 
 LONGEST = 5
-WINDOW = 4 << 20  # bytes of text that are words at once
-ENTRIES = 3_000_000  # (cell, count) pairs a task holds
+WINDOW = 1 << 20  # bytes of text that are words at once
+ENTRIES = 2_000_000  # (cell, count) pairs a task holds
 CELL_BITS = 28  # a partition's cells; its mass is about PART_MASS
 PART_MASS = 1 << 26
-FILTER_BITS = 28
+FILTER_BITS = 28  # at most; about SPREAD for each kept cell
+SPREAD = 32
 SLACK = 2  # capacity over mass / threshold
 _ROWS = 50_000
 
@@ -110,7 +111,7 @@ def _by_language(batches: Iterator[pa.RecordBatch], hold: int) -> Iterator[tuple
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
     total = 0
-    for batch in batches:
+    for batch in slices(batches, "text"):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             held.setdefault(lang, []).append(text)
             sizes[lang] = sizes.get(lang, 0) + len(text) + 64
@@ -132,6 +133,7 @@ def folded(cells: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return cells, counts
     order = np.argsort(cells, kind="stable")  # runs that are sorted merge in linear time
     cells, counts = cells[order], counts[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
     return cells[first], np.add.reduceat(counts, first)
 
@@ -191,9 +193,10 @@ def _summarise(batches: Iterator[pa.RecordBatch], longest: int, window: int, ent
         for tokens, repeated in windows(data, longest, window):
             grams = Grams(tokens, repeated, lang, longest)
             words[lang] = words.get(lang, 0) + int(grams.words[repeated:].sum())
-            found = [h[grams.new(k)][starts[grams.new(k)]] >> shift for k, h, starts in grams.levels()]
+            found = [(h[grams.new(k)][starts[grams.new(k)]] >> shift).astype(np.int64) for k, h, starts in grams.levels()]
             if found:
-                held.append(np.unique(np.concatenate(found).astype(np.int64), return_counts=True))
+                cells = np.concatenate(found)
+                held.append(folded(cells, np.ones(len(cells), np.int32)))
         if sum(len(c) for c, _ in held) > entries:
             held[:] = [folding()]
             if len(held[0][0]) > entries * 2 // 3:
@@ -204,16 +207,14 @@ def _summarise(batches: Iterator[pa.RecordBatch], longest: int, window: int, ent
         yield pa.RecordBatch.from_pylist([{"part": -1, "lang": lang, "mass": n, "cells": None, "counts": None}], schema=_SUMMARY)
 
 
-def _merge(batches: Iterator[pa.RecordBatch], threshold: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Partitions in order; each gives the bits of the filter that it owns."""
+def _merge(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Partitions in order; each gives the cells it had to keep."""
     part, summary = None, None
-    width = max(FILTER_BITS - bits, 3)
 
     def take() -> pa.RecordBatch:
-        owned = np.zeros(1 << (width - 3), np.uint8)
-        at = summary.possible(threshold) >> (CELL_BITS - width)
-        np.bitwise_or.at(owned, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([owned.tobytes()], pa.binary())], names=["part", "bits"])
+        cells = summary.possible(threshold)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int64()), pa.array([len(cells)], pa.int64()), pa.array([pack(np.diff(cells, prepend=0))], pa.binary())], names=["part", "kept", "cells"])
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -222,11 +223,21 @@ def _merge(batches: Iterator[pa.RecordBatch], threshold: int, bits: int) -> Iter
                     yield take()
                 part = batch.column("part")[i].as_py()
                 summary = MisraGries(SLACK * (batch.column("whole")[i].as_py() // threshold + 1))
-            summary.add(np.cumsum(unpack(batch.column("cells")[i].as_py())), unpack(batch.column("counts")[i].as_py()))
+            summary.add(np.cumsum(unpack(batch.column("cells")[i].as_py())), unpack(batch.column("counts")[i].as_py()).astype(np.int64))
     if summary is not None:
         yield take()
 
 
+def _bits(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A partition's own bits of the filter, ``2 ** width`` of them."""
+    for batch in batches:
+        for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+            owned = np.zeros(1 << (width - 3), np.uint8)
+            at = np.cumsum(unpack(cells)) >> (CELL_BITS - width)
+            np.bitwise_or.at(owned, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([owned.tobytes()], pa.binary())], names=["part", "bits"])
+
+
 # ------------------------------------------------------------------------------------------------ second pass
 
 
@@ -286,20 +297,21 @@ def frequent_ngrams(
     whole = counters.groupBy("part").agg(F.sum("mass").alias("whole"))
     merged = staged(
         counters.join(whole, "part").select("part", "whole", "cells", "counts").repartition("part").sortWithinPartitions("part")
-        .mapInArrow(partial(_merge, threshold=threshold, bits=bits), "part long, bits binary"),
-        "collocation-filter",
+        .mapInArrow(partial(_merge, threshold=threshold), "part long, kept long, cells binary"),
+        "collocation-kept",
     )
-    kept = spark.sparkContext.broadcast(_filter(merged, bits))
-    counted = texts.mapInArrow(partial(_count, longest=longest, window=window, width=bits + max(FILTER_BITS - bits, 3), kept=lambda: kept.value), "lang string, phrase string, f long")
+    kept = merged.agg(F.sum("kept")).first()[0] or 0
+    width = min(max((SPREAD * kept).bit_length() - bits, 3), max(FILTER_BITS - bits, 3))
+    table = spark.sparkContext.broadcast(_filter(merged.mapInArrow(partial(_bits, width=width), "part long, bits binary"), bits, width))
+    counted = texts.mapInArrow(partial(_count, longest=longest, window=window, width=bits + width, kept=lambda: table.value), "lang string, phrase string, f long")
     frequent = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
     return staged(frequent, "collocation-counts"), words
 
 
-def _filter(merged: DataFrame, bits: int) -> bytes:
-    """The bits of all partitions in order: ``FILTER_BITS`` in all, in at most 256 rows."""
-    each = (1 << max(FILTER_BITS - bits, 3)) // 8
-    shift = max(bits - 8, 0)
-    rows = merged.groupBy(F.shiftright("part", shift).alias("run")).agg(F.collect_list(F.struct("part", "bits")).alias("parts")).toLocalIterator()
+def _filter(owned: DataFrame, bits: int, width: int) -> bytes:
+    """The bits of all partitions in order: at most ``2 ** FILTER_BITS``, in at most 256 rows."""
+    each = (1 << width) // 8
+    rows = owned.groupBy(F.shiftright("part", max(bits - 8, 0)).alias("run")).agg(F.collect_list(F.struct("part", "bits")).alias("parts")).toLocalIterator()
     out = bytearray(each << bits)
     for row in rows:
         for part, data in row.parts:
