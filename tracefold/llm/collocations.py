@@ -21,6 +21,7 @@ matter, whatever they are called.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -40,7 +41,7 @@ LONGEST = 5
 WINDOW = 1 << 20  # bytes of text that are words at once
 ENTRIES = 2_000_000  # (cell, count) pairs a task holds
 CELL_BITS = 28  # a partition's cells; its mass is about PART_MASS
-PART_MASS = 1 << 26
+PART_MASS = 1 << 25
 FILTER_BITS = 28  # at most; about SPREAD for each kept cell
 SPREAD = 32
 SLACK = 2  # capacity over mass / threshold
@@ -163,12 +164,15 @@ class MisraGries:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Four planes of bytes: small numbers leave planes of zeros, which any codec removes."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Four planes of bytes, compressed: small numbers leave planes of zeros."""
+    planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return struct.pack("<I", len(values)) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    n = struct.unpack_from("<I", data)[0]
+    planes = np.frombuffer(pa.decompress(data[4:], n * 4, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
 def _summarise(batches: Iterator[pa.RecordBatch], longest: int, window: int, entries: int, bits: int) -> Iterator[pa.RecordBatch]:
