@@ -9,7 +9,8 @@ from tracefold import fixed_values as fv
 from tracefold.functions.dates import local_day
 from tracefold.functions.projects import normalized_project_key
 from tracefold.functions.text import blank_to_null, choose, extract, head_chars, lines_of, normalized_title, rank_of, title_tokens
-from tracefold.operators.components import component_of, star_edges
+from tracefold.operators.components import joined_components, star_edges
+from tracefold.operators.overlap import overlap_components
 from tracefold.operators.sequence import first_rows
 from tracefold.session import cut_lineage
 
@@ -33,17 +34,17 @@ def _searchable(artifacts: DataFrame) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def same_outcome_edges(artifacts: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
-    """Edges between artifacts of one day and project that are parts of one outcome.
+def same_outcome_components(artifacts: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
+    """(node, component) of artifacts that belong with others of their day and project.
 
     Two artifacts belong together when they share a task, a source event, an anchor or a normalised
     title; or when their titles share a token and their changed files overlap in two files, or in 60 % of
-    the smaller set. Each rule becomes a key whose members are joined by a star — never a pair join:
+    the smaller set. Each rule but the overlap of two is a key whose members a star joins:
 
-    * an overlap of two files means the two share a *pair* of files, so (file, file, token) is a key; an
-      artifact has at most 24 files, hence at most 276 pairs;
     * 60 % with a single shared file means one side has only that file, so members of (file, token) are
-      tied to the key's single-file artifact, where there is one.
+      tied to the key's single-file artifact, where there is one;
+    * overlaps of two files within (day, project, token) are left to ``overlap_components``, which looks only
+      at artifacts that the other rules leave apart. Sets of files may have any size.
 
     ``files`` (id, file) and ``events`` (id, event_id) are bridges.
     """
@@ -51,7 +52,7 @@ def same_outcome_edges(artifacts: DataFrame, files: DataFrame, events: DataFrame
         "id", *BUCKET, "task_key", strongest_anchor(F.col("task_key"), _searchable(artifacts)).alias("anchor"),
         normalized_title(F.col("title")).alias("norm"), title_tokens(F.col("title")).alias("tokens"),
     )
-    heads = cut_lineage(heads)  # seven rules read these slim rows; titles are normalised once
+    heads = cut_lineage(heads, "outcome-heads")  # seven rules read these slim rows; titles are normalised once
     where = heads.select("id", *BUCKET)
     keyed = lambda rule, rows, value: rows.select("id", *BUCKET, F.lit(rule).alias("rule"), value.alias("key"))
     rules = [
@@ -60,23 +61,28 @@ def same_outcome_edges(artifacts: DataFrame, files: DataFrame, events: DataFrame
         keyed("title", heads, F.col("norm")),
         keyed("event", events.select("id", "event_id").join(where, "id"), F.col("event_id")),
     ]
-    changed = files.select("id", F.lower(F.regexp_replace("file", r"\\", "/")).alias("file")).distinct()
-    # An artifact's own files: bounded by the 24 a commit record keeps.
-    sets = changed.groupBy("id").agg(F.sort_array(F.collect_set("file")).alias("files"))
-    tokened = heads.where(F.size("tokens") > 0).join(sets, "id").select("id", *BUCKET, F.explode("tokens").alias("token"), "files")
-    pair_list = F.flatten(
-        F.transform("files", lambda a, i: F.transform(F.slice("files", i + 2, F.size("files")), lambda b: F.concat_ws("\n", a, b)))
-    )
-    pairs = tokened.where(F.size("files") >= 2).select("id", *BUCKET, "token", F.explode(pair_list).alias("pair"))
-    rules.append(keyed("files", pairs, F.concat_ws("\n", "token", "pair")))
     stars = rules[0]
     for more in rules[1:]:
         stars = stars.unionByName(more)
-    edges = star_edges(stars, [*BUCKET, "rule", "key"])
-    single = tokened.select("id", *BUCKET, "token", F.explode("files").alias("file"), (F.size("files") == 1).alias("alone"))
-    key = [*BUCKET, "token", "file"]
-    centers = single.where("alone").groupBy(*key).agg(F.min("id").alias("_center"))
-    return edges.unionByName(star_edges(single.select("id", *key), key, center=centers)).distinct()
+    known = star_edges(stars, [*BUCKET, "rule", "key"])
+
+    changed = files.select("id", F.lower(F.regexp_replace("file", r"\\", "/")).alias("item")).distinct()
+    alone = changed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 1).select("id", F.lit(True).alias("alone"))
+    placed = changed.join(heads.where(F.size("tokens") > 0).select("id", *BUCKET, "tokens"), "id")
+    # Most files have one holder in their day and project; they go before tokens multiply the rows.
+    held = placed.groupBy(*BUCKET, "item").agg(F.min("id").alias("low"), F.max("id").alias("high")).where(F.col("low") != F.col("high"))
+    entries = placed.join(held.select(*BUCKET, "item"), [*BUCKET, "item"]).select(*BUCKET, F.explode("tokens").alias("token"), "id", "item").distinct()
+    entries = cut_lineage(entries.join(alone, "id", "left"), "outcome-files")
+    scope = [*BUCKET, "token"]
+    centers = entries.where("alone").groupBy(*scope, "item").agg(F.min("id").alias("_center"))
+    known = known.unionByName(star_edges(entries, [*scope, "item"], center=centers))
+    return overlap_components(entries.drop("alone"), scope, known)
+
+
+def same_outcome_edges(artifacts: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
+    """A star for each outcome of several artifacts: (src, dst), ``dst`` being the smallest one."""
+    found = same_outcome_components(artifacts, files, events)
+    return found.where(F.col("node") != F.col("component")).select(F.col("node").alias("src"), F.col("component").alias("dst"))
 
 
 def same_outcome(left: str, right: str) -> Column:
@@ -150,7 +156,7 @@ def settlement_events(ledger_events: DataFrame, events: DataFrame) -> DataFrame:
 # --- components to outcomes ----------------------------------------------------------------------
 def outcome_components(artifacts: DataFrame, files: DataFrame, events: DataFrame) -> DataFrame:
     """(id, component) of every artifact."""
-    return component_of(artifacts.select("id"), same_outcome_edges(artifacts, files, events))
+    return joined_components(artifacts.select("id"), same_outcome_components(artifacts, files, events))
 
 
 def title_rank() -> Column:

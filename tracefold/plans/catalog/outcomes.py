@@ -108,7 +108,7 @@ def _outcome_components(spark, sf):
     return o.outcome_components(*_parts(spark, sf))
 
 
-@query("same_outcome_edges", None)
+@query("same_outcome_edges", RECURSIVE(ART, HEADS, COMPONENTS, "SELECT id AS src, component AS dst FROM comp WHERE id <> component"))
 def _same_outcome_edges(spark, sf):
     return o.same_outcome_edges(*_parts(spark, sf))
 

@@ -1,9 +1,10 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and stages."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,7 @@ def local_session(cores: int | str = 8, app: str = "tracefold-local") -> SparkSe
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints.
+    """Shared directory for stages.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset (tests on
     one machine) is a temporary folder used.
@@ -78,7 +79,39 @@ def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iteration's state in reliable storage, so a lost executor costs one round."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_STAGES: list[str] = []
+
+
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a state to a Parquet table in the shared folder and read it back.
+
+    A lost executor then costs what came after the write, and later reads take only the columns they need. The folder
+    stays until ``drop_stage`` or ``clear_stages``, since results are read lazily.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STAGES.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracefold_stage = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_stage(df: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for ``df``; nothing may read it any more."""
+    path = getattr(df, "_tracefold_stage", None)
+    if path is not None:
+        _delete(df.sparkSession, path)
+        if path in _STAGES:
+            _STAGES.remove(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete every stage of this session, once its results are written."""
+    while _STAGES:
+        _delete(spark, _STAGES.pop())
