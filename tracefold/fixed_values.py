@@ -172,6 +172,31 @@ KIND_LABELS = {
 }
 FILE_TITLE_CHARS, FILE_TITLE_ELLIPSIS, FILE_TITLE_FALLBACK = 96, "…", "未命名成果"
 
+# --- fixed values: managed notes -----------------------------------------------------------------
+#: Front-matter keys the generator owns, in their order.
+MANAGED_KEYS = [
+    "{prefix}_schema", "{prefix}_generated", "cssclasses", "aliases", "{prefix}_id", "{prefix}_fingerprint", "{prefix}_stale", "date", "project",
+    "kind", "proof", "curation", "source_event_ids", "target_keys",
+]
+DAILY_KIND = "daily-artifact-index"
+TARGET_KEYS = 6
+LEGACY_ALIAS = "成果-"
+AUTO_MARK = " · 自动整理"
+REPORTED_MARK = "（Codex 报告）"
+STALE_NOTICE = "> [!warning] 历史成果\n> 此文件已不在当前成果索引中。自动内容按历史记录保留。"
+NOTE_HEADINGS = {
+    "problem": "## 解决的问题", "result": "## 形成的成果", "validation": "## 验证结果", "targets": "## 实际入口", "sources": "## 来源证据",
+    "limits": "## 已知限制", "user": "## 我的补充",
+}
+NOTE_FALLBACKS = {
+    "problem": "未从来源中提取到明确问题描述。", "validation": "来源未提供明确验证结果。", "targets": "- 暂无可直接打开的实际入口。", "sources": "- 暂无来源。",
+    "limits_independent": "未发现额外限制说明。", "limits": "该条目来自完成报告，仍需结合实际入口和来源证据判断。",
+}
+NOTE_ERRORS = {
+    "foreign": "目标文件不属于本库或结构已损坏，已拒绝覆盖", "invalid": "待写入成果文件结构无效", "other_id": "目标文件的 ID 不匹配，已拒绝覆盖",
+    "no_alias": "目标文件不是可添加别名的成果",
+}
+
 # --- fixed values: secrets and personal data -----------------------------------------------------
 REDACTIONS = [
     ("private_key",

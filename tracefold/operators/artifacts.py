@@ -238,39 +238,6 @@ def next_managed(plan: DataFrame, managed: DataFrame) -> DataFrame:
     return kept.unionByName(own)
 
 
-def _yaml(value: Column) -> Column:
-    return F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\\\\\"), '"', r'\\\\"'), F.lit('"'))
-
-
-def _bullets(lines: Column, fallback: str) -> Column:
-    listed = F.array_join(F.transform(lines, lambda l: F.concat(F.lit("- "), l)), "\n")
-    return F.when(F.size(lines) > 0, listed).otherwise(f"- {fallback}")
-
-
-def render_artifact_notes(artifacts: DataFrame, prefix: str = "tracefold") -> DataFrame:
-    """One Markdown document per artifact: front matter, generated block, user block."""
-    paragraphs = lambda c: F.array_join(non_empty(F.transform(lines_of(c), trim_ws)), "\n\n")
-    proof = choose(F.col("proof"), fv.PROOF_LABELS)
-    source = F.transform("source_refs", lambda r: F.concat_ws(" ", r["label"], F.coalesce(r["path"], r["url"])))
-    front = [
-        F.lit("---"), F.lit(f"{prefix}_schema: 1"), F.lit(f"{prefix}_generated: true"), F.concat(F.lit(f"{prefix}_id: "), _yaml(F.col("id"))),
-        F.concat(F.lit(f"{prefix}_fingerprint: "), _yaml(F.col("fingerprint"))), F.lit(f"{prefix}_stale: false"),
-        F.concat(F.lit("date: "), F.col("local_date").cast("string")), F.concat(F.lit("project: "), _yaml(F.col("project_label"))),
-        F.concat(F.lit("kind: "), "kind"), F.concat(F.lit("proof: "), "proof"),
-        F.concat(F.lit("source_event_ids: ["), F.array_join(F.transform("source_event_ids", _yaml), ", "), F.lit("]")), F.lit("---"), F.lit(""),
-    ]
-    body = [
-        F.lit(f"<!-- {prefix}-generated:start -->"), F.concat(F.lit("# "), "title"), F.lit(""),
-        F.concat(F.lit("> "), proof, F.lit(" · "), choose(F.col("kind"), fv.KIND_LABELS), F.lit(" · 自动整理")), F.lit(""), F.lit("## 解决的问题"),
-        F.lit(""), F.coalesce(blank_to_null(paragraphs(F.col("problem"))), F.lit("未从来源中提取到明确问题描述。")), F.lit(""), F.lit("## 形成的成果"),
-        F.lit(""), paragraphs(F.col("result")), F.lit(""), F.lit("## 验证结果"), F.lit(""), _bullets(F.col("validation"), "来源未提供明确验证结果。"),
-        F.lit(""), F.lit("## 来源证据"), F.lit(""), _bullets(source, "暂无来源。"), F.lit(""), F.lit("## 已知限制"), F.lit(""),
-        _bullets(F.col("limitations"), "未发现额外限制说明。"), F.lit(f"<!-- {prefix}-generated:end -->"), F.lit(""),
-        F.lit(f"<!-- {prefix}-user:start -->"), F.lit("## 我的补充"), F.lit(""), F.lit(f"<!-- {prefix}-user:end -->"), F.lit(""),
-    ]
-    return artifacts.select("id", "local_date", F.array_join(F.array(*front, *body), "\n").alias("markdown"))
-
-
 def daily_artifact_index(artifacts: DataFrame, managed_dates: DataFrame | None = None) -> DataFrame:
     """Index lines of each day: (local_date, project_label, occurred_at, id, line), empty days included.
 

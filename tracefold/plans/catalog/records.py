@@ -9,6 +9,7 @@ from tracefold.functions import collab, dates, ids
 from tracefold.functions.artifact_titles import display_title
 from tracefold.operators import artifacts as a
 from tracefold.operators import ledger as ld
+from tracefold.operators import managed_notes as mn
 from tracefold.operators import messages as ms
 from tracefold.operators import sinks as k
 from tracefold.operators import turns as u
@@ -184,10 +185,77 @@ def _merge_commit_artifacts(spark, sf):
     return heads.join(counted, "id").select("id", "files", "events", "result")
 
 
-@query("render_artifact_notes", None)
+NOTE_SQL = """
+SELECT id, '---' || chr(10) || 'tracefold_schema: 1' || chr(10) || 'tracefold_generated: true' || chr(10) || 'cssclasses: [tracefold-artifact-note]' || chr(10)
+  || 'aliases: ["成果-' || left(sha256(id), 12) || '"]' || chr(10) || 'tracefold_id: "' || id || '"' || chr(10) || 'tracefold_fingerprint: "' || sha256(id) || '"' || chr(10) || 'tracefold_stale: false' || chr(10)
+  || 'date: ' || day || chr(10) || 'project: "' || repo || '"' || chr(10) || 'kind: git-commit' || chr(10) || 'proof: independent' || chr(10) || 'curation: auto' || chr(10)
+  || 'source_event_ids: ["' || substr(id, 10) || '"]' || chr(10) || 'target_keys: []' || chr(10) || '---' || chr(10) || chr(10)
+  || '<!-- tracefold-generated:start -->' || chr(10) || '# ' || title || chr(10) || chr(10) || '> 独立验证 · Git 提交 · 自动整理' || chr(10) || chr(10)
+  || '## 解决的问题' || chr(10) || chr(10) || '未从来源中提取到明确问题描述。' || chr(10) || chr(10) || '## 形成的成果' || chr(10) || chr(10) || replace(result, chr(10), chr(10) || chr(10)) || chr(10) || chr(10)
+  || '## 验证结果' || chr(10) || chr(10) || '- Git 历史中存在完整提交 ' || hash || '。' || chr(10) || chr(10) || '## 实际入口' || chr(10) || chr(10) || '- 暂无可直接打开的实际入口。' || chr(10) || chr(10)
+  || '## 来源证据' || chr(10) || chr(10) || '- ' || repo || ' ' || left(hash, 8) || '：`/r/1`' || coalesce(chr(10) || array_to_string(list_transform(files, lambda f: '- ' || f || '：`/r/1/' || f || '`'), chr(10)), '') || chr(10) || chr(10)
+  || '## 已知限制' || chr(10) || chr(10) || '- 未发现额外限制说明。' || chr(10) || '<!-- tracefold-generated:end -->' || chr(10) || chr(10)
+  || '<!-- tracefold-user:start -->' || chr(10) || '## 我的补充' || chr(10) || chr(10) || '<!-- tracefold-user:end -->' || chr(10) AS markdown
+FROM (
+  SELECT 'artifact:git:' || hash AS id, hash, files, 'Repo ' || (o_custkey % 10) AS repo, strftime(o_orderdate, '%Y-%m-%d') AS day,
+    'fix: order ' || o_orderkey || CASE WHEN files IS NULL THEN '' ELSE chr(10) || 'Git 提交记录列出 ' || len(files) || ' 个相关文件：' || array_to_string(files[1:8], '、') || CASE WHEN len(files) > 8 THEN '等' ELSE '' END || '。' END AS result,
+    '修复 Repo ' || (o_custkey % 10) || ' 功能' || CASE WHEN files IS NULL THEN '并形成提交' ELSE '，更新 ' || len(files) || ' 个文件' END AS title
+  FROM (SELECT *, left(sha256(CAST(o_orderkey AS VARCHAR)), 40) AS hash FROM orders) LEFT JOIN sets ON l_orderkey = o_orderkey)"""
+
+
+@query("render_artifact_notes", with_ctes(LINE_SETS, NOTE_SQL))
 def _render_artifact_notes(spark, sf):
     arts = a.commit_artifacts(cm.parse_commit_log(commit_lines(spark, sf)))
-    return a.render_artifact_notes(a.fingerprints(arts, ["id", "title", "result", "proof"])).select("id", "markdown")
+    return mn.render_artifact_notes(arts.withColumn("fingerprint", F.sha2("id", 256))).select("id", "markdown")
+
+
+def _note(note_id, head: str, block, user, generated="<!-- tracefold-generated:{} -->", mine="<!-- tracefold-user:{} -->"):
+    """A managed note around a block and a user's text, as columns."""
+    lit = F.lit
+    return F.concat(
+        lit("---\ntracefold_schema: 1\ntracefold_generated: true\ntracefold_id: \""), note_id, lit('"\n' + head + "---\n\n" + generated.format("start") + "\n"), block,
+        lit("\n" + generated.format("end") + "\n\n" + mine.format("start") + "\n"), user, lit("\n" + mine.format("end") + "\n"),
+    )
+
+
+STALE_SQL = "'" + fv.STALE_NOTICE.replace("\n", "' || chr(10) || '") + "'"
+MERGE_SQL = f"""
+WITH d AS (SELECT doc_id % 8 AS c, 'notes/' || doc_id || '.md' AS path, 'doc:' || doc_id AS id, coalesce(text, '') AS mine, 'lang ' || coalesce(lang, '-') AS block FROM documents),
+parts AS (
+  SELECT *, '---' || chr(10) || 'tracefold_schema: 1' || chr(10) || 'tracefold_generated: true' || chr(10) || 'tracefold_id: "' || id || '"' || chr(10) AS opening,
+    '<!-- tracefold-generated:start -->' || chr(10) AS gs, chr(10) || '<!-- tracefold-generated:end -->' || chr(10) || chr(10) || '<!-- tracefold-user:start -->' || chr(10) || mine || chr(10) || '<!-- tracefold-user:end -->' || chr(10) AS tail,
+    chr(10) || '---' || chr(10) || chr(10) AS shut, 'date: 2026-01-02' || chr(10) || 'kind: git-commit' AS keys FROM d
+)
+SELECT path, CASE c WHEN 1 THEN 'refused' WHEN 2 THEN 'refused' WHEN 4 THEN 'stale' WHEN 5 THEN 'unchanged' WHEN 7 THEN 'foreign' ELSE 'write' END AS action,
+  CASE c WHEN 1 THEN '{fv.NOTE_ERRORS["foreign"]}' WHEN 2 THEN '{fv.NOTE_ERRORS["other_id"]}' END AS error,
+  CASE c
+    WHEN 0 THEN opening || keys || chr(10) || 'my_key: [1]' || chr(10) || 'tracefold_stale: false' || chr(10) || 'aliases: ["mine", "theirs"]' || shut || gs || block || tail
+    WHEN 1 THEN replace(opening || keys || shut || gs || 'old' || tail, 'generated:end', 'generated:fin')
+    WHEN 2 THEN replace(opening || keys || shut || gs || 'old' || tail, 'tracefold_id: "doc:', 'tracefold_id: "pod:')
+    WHEN 3 THEN opening || keys || chr(10) || 'tracefold_stale: false' || chr(10) || 'aliases: ["theirs"]' || shut || gs || block || replace(tail, mine, mine || ' kept')
+    WHEN 4 THEN opening || keys || chr(10) || 'tracefold_stale: true' || shut || gs || {STALE_SQL} || chr(10) || chr(10) || 'old' || tail
+    WHEN 5 THEN opening || 'date: 2026-01-02' || chr(10) || 'kind: git-commit' || chr(10) || 'tracefold_stale: false' || chr(10) || 'aliases: ["theirs"]' || shut || gs || block || tail
+    WHEN 6 THEN opening || 'date: 2026-01-02' || chr(10) || 'kind: git-commit' || chr(10) || 'tracefold_stale: false' || chr(10) || 'aliases: ["theirs"]' || shut || gs || block || replace(tail, mine || chr(10), chr(10))
+    ELSE mine END AS markdown
+FROM parts"""
+
+
+@query("merge_artifact_notes", MERGE_SQL)
+def _merge_artifact_notes(spark, sf):
+    """Each document is a user's text in a stored note; its slot says what became of the note since it was generated."""
+    docs = g.read(spark, sf, "documents").select(
+        (F.col("doc_id") % 8).alias("c"), F.concat(F.lit("notes/"), s(F.col("doc_id")), F.lit(".md")).alias("path"), F.concat(F.lit("doc:"), s(F.col("doc_id"))).alias("id"),
+        F.coalesce("text", F.lit("")).alias("mine"), F.concat(F.lit("lang "), F.coalesce("lang", F.lit("-"))).alias("block"),
+    )
+    head, c, note_id, mine, old = "date: 2026-01-02\nkind: git-commit\n", F.col("c"), F.col("id"), F.col("mine"), F.lit("old")
+    own = 'tracefold_stale: false\naliases: ["theirs"]\n'
+    wanted = docs.where(~c.isin(4, 7)).select("path", _note(note_id, head + own, F.col("block"), F.when(c == 5, mine).otherwise("")).alias("markdown"))
+    stored = docs.where(c != 6).select("path", F.when(c == 0, _note(note_id, head + 'my_key: [1]\ntracefold_stale: true\naliases: ["mine"]\n', old, mine))
+        .when(c == 1, F.replace(_note(note_id, head, old, mine), F.lit("generated:end"), F.lit("generated:fin")))
+        .when(c == 2, _note(F.concat(F.lit("pod:"), F.substring("id", 5, 40)), head, old, mine))
+        .when(c == 3, _note(note_id, head, old, F.concat(mine, F.lit(" kept")), "%% tracefold-generated:{} %%", "%% tracefold-user:{} %%"))
+        .when(c == 4, _note(note_id, head, old, mine)).when(c == 5, _note(note_id, head + own, F.col("block"), mine)).otherwise(mine).alias("markdown"))
+    return mn.merge_notes(wanted, stored)
 
 
 @query("display_title", """
