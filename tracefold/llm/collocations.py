@@ -39,9 +39,10 @@ BLANKS = b" \t"
 
 LONGEST = 5
 WINDOW = 1 << 20  # bytes of text that are words at once
-ENTRIES = 2_000_000  # (cell, count) pairs a task holds
+ENTRIES = 1_500_000  # (cell, count) pairs a task holds
 CELL_BITS = 28  # a partition's cells; its mass is about PART_MASS
 PART_MASS = 1 << 25
+MERGERS = 4096  # tasks that merge, at most; each takes its partitions one after another
 FILTER_BITS = 28  # at most; about SPREAD for each kept cell
 SPREAD = 32
 SLACK = 2  # capacity over mass / threshold
@@ -299,8 +300,10 @@ def frequent_ngrams(
     words = summaries.where("part < 0").groupBy("lang").agg(F.sum("mass").alias("n"))
     counters = summaries.where("part >= 0")
     whole = counters.groupBy("part").agg(F.sum("mass").alias("whole"))
+    mergers = min(1 << bits, MERGERS)
     merged = staged(
-        counters.join(whole, "part").select("part", "whole", "cells", "counts").repartition("part").sortWithinPartitions("part")
+        counters.join(whole, "part").select("part", "whole", "cells", "counts")
+        .repartitionById(mergers, (F.col("part") % mergers).cast("int")).sortWithinPartitions("part")
         .mapInArrow(partial(_merge, threshold=threshold), "part long, kept long, cells binary"),
         "collocation-kept",
     )
