@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tracefold.operators.sinks import append_new, write_pages
+from tracefold.operators.once import append_new, read_once
+from tracefold.operators.sinks import write_pages
 from tracefold.sources.captures import read_capture_log
 from tracefold.sources.notes import read_wiki_docs
 
@@ -42,4 +43,4 @@ def test_appending_twice_adds_nothing(spark, tmp_path):
     )
     path = str(tmp_path / "table")
     assert append_new(batch, path).first().asDict() == {"accepted": 15, "duplicates": 5, "rejected": 0, "acknowledged": 20}
-    assert append_new(batch, path).first()["accepted"] == 0 and spark.read.parquet(path).count() == 15
+    assert append_new(batch, path).first()["accepted"] == 0 and read_once(spark, path).count() == 15

@@ -11,6 +11,7 @@ from tracefold.functions import topics as t
 from tracefold.operators import artifacts as a
 from tracefold.operators import identity, metrics, outcomes, queue
 from tracefold.operators import turns as u
+from tracefold.operators.once import read_once
 from tracefold.operators.components import connected_components, star_edges
 from tracefold.operators.sequence import ordinal_block, previous_value, running_total
 from tracefold.sources import ledger_files as lf
@@ -360,7 +361,7 @@ def test_landed_files_in_many_batches_out_of_order(spark, tmp_path):
             .option("checkpointLocation", str(tmp_path / cursor)).trigger(availableNow=True).start()
         )
         q.awaitTermination()
-        return sorted(r.event_id for r in spark.read.parquet(out).collect())
+        return sorted(r.event_id for r in read_once(spark, out).collect())
 
     assert run("cursor") == ["e0", "e1", "e2", "e9"]
     (logs / "d.jsonl").write_text(line % ("e3", 16) + line % ("e0", 15))

@@ -27,7 +27,7 @@ def append_plan(batch: DataFrame, known: DataFrame, key: str = "event_id", seq:
     first = good.groupBy(key).agg(F.min(seq).alias("_first"))
     old = known.select(key, F.lit(True).alias("_known")).distinct()
     judged = good.join(first, key).join(old, key, "left")
-    fresh = F.col("_known").isNull() & (F.col(seq) == F.col("_first"))
+    fresh = F.col("_known").isNull() & F.col(seq).eqNullSafe(F.col("_first"))
     rows = judged.withColumn("verdict", F.when(fresh, "accepted").otherwise("duplicate")).drop("_first", "_known")
     return rows.unionByName(batch.where(~F.coalesce(ok, F.lit(False))).withColumn("verdict", F.lit("rejected")))
 
@@ -40,24 +40,6 @@ def append_counts(plan: DataFrame, owner: list[str] | None = None) -> DataFrame:
     )
 
 
-def append_new(batch: DataFrame, path: str, key: str = "event_id", seq: str = "ingest_seq") -> DataFrame:
-    """Append a batch's new rows to the capture table at ``path``, by date; returns the counts.
-
-    The plan is written, not recomputed: counts are read from a reliable checkpoint taken before the append.
-    """
-    from tracefold.session import cut_lineage, stored_table
-
-    spark = batch.sparkSession
-    stored = stored_table(spark, path)
-    if stored is None:
-        known = batch.select(key).where(F.lit(False))
-    else:  # an id belongs to one date, so only the batch's dates are read
-        known = stored.join(batch.select("date").distinct(), "date", "left_semi").select(key)
-    plan = cut_lineage(append_plan(batch, known, key, seq))
-    plan.where("verdict = 'accepted'").drop("verdict").write.partitionBy("date").mode("append").parquet(path)
-    return append_counts(plan)
-
-
 def append_resources(records: DataFrame, known: DataFrame) -> DataFrame:
     """Resource records whose event id is new."""
     first = records.groupBy("event_id").agg(F.min("ingest_seq").alias("_first"))

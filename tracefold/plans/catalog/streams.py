@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracefold.operators.metrics import calendar_days
+from tracefold.operators.once import append_once, compact_once, read_once
 from tracefold.plans.catalog import query, with_ctes
 from tracefold.plans.catalog.conversations import PRODUCER, producer_rows
 from tracefold.plans.catalog.given_sql import ACT, RES
@@ -63,8 +64,25 @@ def _stream_append(spark, sf):
     path = work_dir(spark, "table")
     stream = event_captures(spark, sf).withColumn("event_id", F.concat(F.lit("n"), F.col("n").cast("string")))
     for attempt in ("first", "again"):  # the second run replays everything and must add nothing
-        drain_with(stream, spark, f"append-{attempt}", sc.append_batch(path))
-    return spark.read.parquet(path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+        drain_with(stream, spark, f"append-{attempt}", sc.append_batch(path, attempt))
+    return read_once(spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("append_once", """
+SELECT event_id // 2 AS pair, min(event_id) AS n, CASE WHEN min(event_id) % 7 = 3 THEN NULL ELSE CAST(min_by(ts, event_id) AS DATE) END AS date FROM events GROUP BY event_id // 2""")
+def _append_once(spark, sf):
+    """Events in three batches; each id comes twice, later under another date or none, and every batch is replayed."""
+    path, n = work_dir(spark, "once"), F.col("event_id")
+    rows = g.read(spark, sf, "events").select(
+        F.concat(F.lit("p"), F.floor(n / 2).cast("string")).alias("id"), F.floor(n / 2).alias("pair"), n.alias("n"),
+        F.when(n % 7 != 3, F.to_date("ts")).alias("date"),
+    )
+    batches = [rows.where(n % 2 == 0), rows.where(n % 3 == 0), rows]
+    for number in (0, 1, 0, 2, 1):
+        append_once(batches[number], path, key="id", seq="n", partition=("date",), batch_id=f"b{number}" if number else None)
+    compact_once(spark, path, key="id")
+    append_once(rows, path, key="id", partition=("date",))
+    return read_once(spark, path).select("pair", "n", "date")
 
 
 @query("stream_bootstrap_cutoff", "SELECT event_id AS n FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00'")

@@ -13,7 +13,7 @@ from tracefold import fixed_values as fv
 from tracefold.functions.ids import stable_id
 from tracefold.functions.text import redact, trim_ws
 from tracefold.sources.captures import parse_capture_lines
-from tracefold.session import stored_table
+from tracefold.operators.once import append_once, read_once
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,21 +40,16 @@ def dedup_captures(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def append_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: rows whose id the table does not hold yet, appended by date.
+def append_batch(path: str, stream_id: str | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: rows whose id the table does not hold yet, under whatever date, appended by date.
 
-    A replayed batch finds its own rows and appends nothing, so the sink is idempotent. Only ids of the
-    dates in the batch are read from the table.
+    Read the table with ``read_once``. ``stream_id`` names the stream's checkpoint (a new checkpoint is a new name): a
+    batch that is replayed after its commit then need not be planned. Without it the batch's ids are found, and it adds
+    nothing either.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = stored_table(spark, path)
-        fresh = batch.dropDuplicates(["event_id"])
-        if known is not None:
-            days = batch.select("date").distinct()
-            fresh = fresh.join(known.select("event_id", "date").join(days, "date", "left_semi").select("event_id"), "event_id", "left_anti")
-        fresh.write.partitionBy("date").mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        append_once(batch, path, key="event_id", partition=("date",), batch_id=f"{stream_id}:{number}" if stream_id else None)
 
     return write
 
@@ -103,13 +98,11 @@ def refresh_partitions(path: str, events_path: str, build: Callable[[DataFrame],
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        keep = batch.dropDuplicates(["id"])
-        stored, touched = stored_table(spark, events_path), batch.select(*keys).distinct()
-        if stored is not None:  # an id belongs to one partition, so only those of the batch are read
-            keep = keep.join(stored.select("id", *keys).join(touched, list(keys), "left_semi").select("id"), "id", "left_anti")
-        keep.write.partitionBy(*keys).mode("append").parquet(events_path)
-        scoped = spark.read.parquet(events_path).join(touched, list(keys), "left_semi")
+        verdicts = append_once(batch, events_path, key="id", partition=keys)
+        # Replays too: the batch may have been appended by a writer that died before it rebuilt anything.
+        touched = verdicts.where("verdict <> 'rejected'").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        scoped = read_once(batch.sparkSession, events_path).join(touched, same, "left_semi")
         build(scoped).write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
     return write
