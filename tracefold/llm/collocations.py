@@ -44,7 +44,7 @@ CELL_BITS = 28  # a partition's cells; its mass is about PART_MASS
 PART_MASS = 1 << 25
 MERGERS = 4096  # tasks that merge, at most; each takes its partitions one after another
 FILTER_BITS = 28  # at most; about SPREAD for each kept cell
-SPREAD = 32
+SPREAD = 64
 SLACK = 2  # capacity over mass / threshold
 _ROWS = 50_000
 
@@ -300,6 +300,8 @@ def frequent_ngrams(
     words = summaries.where("part < 0").groupBy("lang").agg(F.sum("mass").alias("n"))
     counters = summaries.where("part >= 0")
     whole = counters.groupBy("part").agg(F.sum("mass").alias("whole"))
+    # Direct partition ids: a hash repartition by the join's own key would be taken out of the plan, and the join's
+    # rows may be split or left where they are.
     mergers = min(1 << bits, MERGERS)
     merged = staged(
         counters.join(whole, "part").select("part", "whole", "cells", "counts")
