@@ -48,8 +48,17 @@ def rows():
     return out
 
 
+@pytest.fixture(params=["10m", "-1"])
+def joins(spark, request):
+    """With joins that may broadcast, and with joins that may not: counters must reach their task either way."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("window, entries, mass", [(1 << 20, 1 << 20, 1 << 26), (50, 60, 256)])
-def test_phrases_equal_brute_force(spark, window, entries, mass):
+def test_phrases_equal_brute_force(spark, joins, window, entries, mass):
     df = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows()], SCHEMA).repartition(7)
     got = c.collocations(df, 6, 25, window=window, entries=entries, part_mass=mass)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows(), 6, 25)
