@@ -193,11 +193,11 @@ def topic_title(index_title: Column, kind: Column) -> Column:
     )
 
 
-def segment_title(index_title: Column, restored_title: Column, goal: Column, stated: Column, short: Column, kind: Column) -> Column:
-    """Struct (title, source) for the row that opens a segment."""
+def segment_title(index_title: Column, restored_title: Column, goal: Column, stated: Column, short: Column, kind: Column, own: Column) -> Column:
+    """Struct (title, source) for the row that opens a segment; ``own`` is its ``topic_title`` without an index."""
     derived = F.col("source").isin("chatgpt_web", "feishu") | kind.isNotNull()
     restored = F.when(~restored_title.rlike("(?i)^恢复任务"), head_chars(humanize_title(restored_title), 72))
-    return F.when(derived, topic_title(index_title, kind)).otherwise(
+    return F.when(derived, own).otherwise(
         F.coalesce(
             _titled(restored, "restored-session-index"),
             _titled(goal, "segment-prompt"),

@@ -9,7 +9,7 @@ from tracefold import fixed_values as fv
 from tracefold.functions.dates import in_range
 from tracefold.functions.projects import label_priority
 from tracefold.functions.text import choose, rank_of
-from tracefold.operators.sequence import first_rows, hour_block, previous_value
+from tracefold.operators.sequence import RANGE, first_rows, previous_value, range_blocks
 
 ALL = "all"
 
@@ -181,13 +181,12 @@ def activity_units(events: DataFrame) -> DataFrame:
     )
 
 
-def focus_switches(units: DataFrame, minutes: int = fv.FOCUS_GAP_MINUTES) -> DataFrame:
+def focus_switches(units: DataFrame, minutes: int = fv.FOCUS_GAP_MINUTES, blocks: int | None = None) -> DataFrame:
     """Anchors whose predecessor, the same day and at most ``minutes`` before, worked on another project."""
     anchors = units.select("owner", "local_date", "anchor.*").where(F.col("project_key") != "unassigned")
     keys, order = ["owner", "local_date"], ["occurred_at", "id"]
-    seen = previous_value(
-        anchors, keys, order, hour_block(F.col("occurred_at")), F.struct("occurred_at", "project_key"), "previous"
-    )
+    anchors = range_blocks(anchors.select(*keys, *order, "project_key"), keys, order, blocks)
+    seen = previous_value(anchors, keys, order, F.col(RANGE), F.struct("occurred_at", "project_key"), "previous")
     gap = F.unix_micros("occurred_at") - F.unix_micros("previous.occurred_at")
     return seen.where(
         gap.between(0, minutes * 60_000_000) & (F.col("project_key") != F.col("previous.project_key"))

@@ -13,7 +13,7 @@ from tracefold.functions.projects import topic_project_label
 from tracefold.functions.text import blank_to_null
 from tracefold.operators.identity import numbered_families
 from tracefold.operators.outcomes import match_settlements, reusable_settlement
-from tracefold.operators.sequence import first_rows, hour_block, previous_value, running_total
+from tracefold.operators.sequence import RANGE, first_rows, previous_value, range_blocks, running_total
 from tracefold.session import cut_lineage
 
 LANES = ["retry", "backlog", "recent"]
@@ -86,7 +86,7 @@ def system_outcomes(sorted_pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 # --- segments ------------------------------------------------------------------------------------
-def segment_sessions(pairs: DataFrame, titles: DataFrame) -> DataFrame:
+def segment_sessions(pairs: DataFrame, titles: DataFrame, blocks: int | None = None) -> DataFrame:
     """Split sessions into topics: each pair with its ``anchor``, ``opens`` and, on opening rows, ``segment_title``.
 
     The reference walks a session with a current anchor. That anchor is always the last anchor a row
@@ -99,48 +99,54 @@ def segment_sessions(pairs: DataFrame, titles: DataFrame) -> DataFrame:
     session = F.concat_ws(":", "source", F.coalesce(blank_to_null(F.col("session_id")), blank_to_null(F.col("conversation_id")), F.col("id")))
     pairs = pairs.withColumn("session_key", session)
     heads = pairs.groupBy("session_key").agg(F.min(F.struct("captured_at", "id"))["id"].alias("head_id"))
-    index = titles.select("session_id", F.col("title").alias("index_title"))
-    restored = titles.select(F.col("session_id").alias("restored_id"), F.col("title").alias("restored_title"))
+    # A key of its own for rows that have none: they match nothing, and do not meet in one task.
+    spread = lambda c: F.coalesce(c, F.concat(F.lit("\u0000"), "id"))
+    index = titles.select(F.col("session_id").alias("index_key"), F.col("title").alias("index_title"))
+    restored = titles.select(F.col("session_id").alias("restored_key"), F.col("title").alias("restored_title"))
+    families = numbered_families(pairs, titles).withColumnRenamed("session_id", "index_key")
     read = pairs.select(
         "*", t.substantive_automation(prompt, stop).alias("automation_name"), t.prompt_title(prompt).alias("stated"),
-        t.restored_session(prompt).alias("restored_id"),
+        spread(t.restored_session(prompt)).alias("restored_key"), spread(F.col("session_id")).alias("index_key"),
     )
     read = read.select(
         "*", t.new_goal(F.col("stated")).alias("goal"), t.is_short_continuation(F.col("stated")).alias("short"),
         t.explicit_anchor(F.col("automation_name")).alias("explicit"),
     )
-    joined = read.join(index, "session_id", "left").join(restored, "restored_id", "left")
-    asks_anew = (F.col("goal").isNotNull() | t.is_delegation(prompt)) & ~F.col("short")
-    named = t.segment_title(
-        F.col("index_title"), F.col("restored_title"), F.col("goal"), F.col("stated"), F.col("short"), F.col("automation_name")
-    )
-    slim = joined.select(
-        "id", "session_key", "session_id", "source", "captured_at", "date", "source_event_ids",
-        *(["pending"] if "pending" in pairs.columns else []), topic_project_label(F.col("source"), F.col("cwd")).alias("project"),
-        t.pair_chars().alias("chars"), F.array(*t.priority_flags(prompt, stop)).alias("flags"), "explicit", asks_anew.alias("asks_anew"),
+    kept = [
+        "id", "session_key", "session_id", "source", "captured_at", "date", "source_event_ids", *(["pending"] if "pending" in pairs.columns else []),
+    ]
+    slim = read.select(
+        *kept, topic_project_label(F.col("source"), F.col("cwd")).alias("project"), t.pair_chars().alias("chars"),
+        F.array(*t.priority_flags(prompt, stop)).alias("flags"), "explicit", "goal", "stated", "short", "automation_name", "restored_key", "index_key",
+        t.topic_title(F.lit(None).cast("string"), F.col("automation_name")).alias("own_title"),
+        ((F.col("goal").isNotNull() | t.is_delegation(prompt)) & ~F.col("short")).alias("asks_anew"),
         t.segment_anchor(F.col("goal"), F.lit(True)).alias("base_anchor"), t.segment_anchor(F.col("goal"), F.lit(False)).alias("goal_anchor"),
-        named.alias("title"),
     )
-    rows = slim.join(numbered_families(pairs, titles), "session_id", "left").join(heads, "session_key")
+    rows = slim.join(index, "index_key", "left").join(restored, "restored_key", "left").join(families, "index_key", "left").join(heads, "session_key")
+    rows = rows.withColumn("named", t.segment_title(
+        F.col("index_title"), F.col("restored_title"), F.col("goal"), F.col("stated"), F.col("short"), F.col("automation_name"), F.col("own_title")
+    ))
     first = F.col("id") == F.col("head_id")
     own = F.coalesce(
         "explicit", F.when(first, F.coalesce("family_anchor", "base_anchor")), F.when(F.col("asks_anew"), F.col("goal_anchor"))
     )
     # Read twice by the ordered pass and again by what follows: the texts are read once, the slim rows kept.
-    rows = cut_lineage(rows.withColumn("first", first).withColumn("own", own))
-    rows = previous_value(rows, ["session_key"], ["captured_at", "id"], hour_block(F.col("captured_at")), F.col("own"), "before")
+    rows = rows.select(*kept, "project", "chars", "flags", "explicit", "asks_anew", "base_anchor", "goal_anchor", "family_anchor", "head_id", "named")
+    keys, order = ["session_key"], ["captured_at", "id"]
+    rows = range_blocks(rows.withColumn("first", first).withColumn("own", own), keys, order, blocks)
+    rows = previous_value(rows, keys, order, F.col(RANGE), F.col("own"), "before")
     opens = F.col("first") | F.coalesce(F.col("explicit") != F.col("before"), F.lit(False)) | F.col("asks_anew")
     return rows.select(
-        *[c for c in slim.columns if c not in ("explicit", "asks_anew", "base_anchor", "goal_anchor", "title")],
-        F.coalesce("own", "before").alias("anchor"), opens.alias("opens"), F.when(opens, F.col("title")).alias("segment_title"),
+        *kept, "project", "chars", "flags",
+        F.coalesce("own", "before").alias("anchor"), opens.alias("opens"), F.when(opens, F.col("named")).alias("segment_title"), RANGE,
     )
 
 
 def number_segments(segmented: DataFrame) -> DataFrame:
     """Ordinal of each row's segment within its session."""
     return running_total(
-        segmented, ["session_key"], ["captured_at", "id"], hour_block(F.col("captured_at")), F.col("opens").cast("int"), "segment"
-    )
+        segmented, ["session_key"], ["captured_at", "id"], F.col(RANGE), F.col("opens").cast("int"), "segment"
+    ).drop(RANGE)
 
 
 # --- topics --------------------------------------------------------------------------------------

@@ -1,9 +1,13 @@
 """Ordered computations over groups of any size.
 
 A window over a whole group puts that group into one task. Here a group is cut into blocks that follow
-its order (an hour, a run of ordinals); windows run inside a block, and what a block passes on — its last
-value, its total — travels through one summary row per block. A group holding a third of all rows is then
-as parallel as the rest, and the results are those of the plain window.
+its order; windows run inside a block, and what a block passes on — its last value, its total — travels
+through one summary row per block. A group holding a third of all rows is then as parallel as the rest,
+and the results are those of the plain window.
+
+Where rows have ordinals, a run of ordinals is a block. Otherwise ``range_blocks`` cuts all groups at
+quantiles that Spark samples, so blocks hold about as many rows each, however the rows are spread over
+groups and time.
 """
 
 from __future__ import annotations
@@ -11,11 +15,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.session import cut_lineage
+
 _BLOCK, _TAIL, _CARRY, _LOCAL = "_block", "_tail", "_carry", "_local"
+#: Column that ``range_blocks`` adds.
+RANGE = "_range"
 
 
-def hour_block(instant: Column) -> Column:
-    return F.floor(F.unix_seconds(instant) / 3600)
+def range_blocks(df: DataFrame, keys: list[str], order: list[str], blocks: int | None = None) -> DataFrame:
+    """Rows with the number of their range of (keys, order) as ``RANGE``; ranges follow the order and are of like size.
+
+    Rows are written once, since sampled bounds may differ from one reading to the next. Rows with equal keys and order
+    share a block, so the order should tell rows apart.
+    """
+    by = [F.col(c) for c in (*keys, *order)]
+    ranged = df.repartitionByRange(blocks, *by) if blocks else df.repartitionByRange(*by)
+    return cut_lineage(ranged.withColumn(RANGE, F.spark_partition_id()), "range-blocks")
 
 
 def ordinal_block(position: Column, size: int = 4096) -> Column:
