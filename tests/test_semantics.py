@@ -287,16 +287,17 @@ def test_selection_equals_the_loop_even_when_heads_run_out(spark):
         topics.append((f"t{i}", f"t{i}", lane, f"p{rng.randrange(4)}", DAY if lane == "retry" else None, rng.randrange(9), DAY + dt.timedelta(minutes=i), True, n))
         rows += [(f"t{i}", f"{i}-{j}", DAY + dt.timedelta(minutes=j), True, size) for j, size in enumerate(sizes[f"t{i}"])]
     pairs = spark.createDataFrame(rows, "topic_id string, id string, captured_at timestamp, pending boolean, chars long")
-    for offset, candidates in ((0, 100), (1, 2)):
-        got = queue.select_topics(spark.createDataFrame(topics, TOPIC), pairs, 9, 14, 1500, offset, candidates)
-        assert [(r.id, r.pairs, r.chars) for r in got.orderBy("place").collect()] == reference_selection(topics, sizes, 9, 14, 1500, offset)
+    # Small heads are asked for again and again; large ones hold a lane. Little room makes lanes pass over what they hold.
+    for offset, (most, few, room) in ((0, (9, 14, 1500)), (1, (2, 14, 1500)), (2, (40, 60, 900)), (0, (9, 3, 20_000)), (1, (0, 5, 5))):
+        got = queue.select_topics(spark.createDataFrame(topics, TOPIC), pairs, most, few, room, offset)
+        assert [(r.id, r.pairs, r.chars) for r in got.orderBy("place").collect()] == reference_selection(topics, sizes, most, few, room, offset)
 
 
 def test_selection_ends_with_its_budget(spark, monkeypatch):
     """Long lanes and spent pairs: one pass, and no head grows to its lane."""
-    passes = []
-    once = queue.select_candidates
-    monkeypatch.setattr(queue, "select_candidates", lambda *a: passes.append(a[-1]) or once(*a))
+    orders, asked, order, further = [], [], queue.lane_order, queue._further
+    monkeypatch.setattr(queue, "lane_order", lambda *a: orders.append(1) or order(*a))
+    monkeypatch.setattr(queue, "_further", lambda *a: asked.append(a[2]) or further(*a))
     topics = spark.range(30_000).selectExpr(
         "concat('t', id) id", "concat('t', id) topic_id", "element_at(array('retry', 'backlog', 'recent'), cast(id % 3 + 1 as int)) lane", "concat('p', id % 5) project",
         "cast(null as timestamp) last_attempt_at", "id % 9 priority", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, cast(id as int)) first_seen", "true eligible", "10L pending_pair_count",
@@ -305,11 +306,20 @@ def test_selection_ends_with_its_budget(spark, monkeypatch):
         "concat('t', id % 30000) topic_id", "cast(id as string) id", "timestamp'2024-01-01' captured_at", "true pending", "100L chars"
     )
     got = queue.select_topics(topics, pairs, 6, 40, 120_000).collect()
-    assert sum(r.pairs for r in got) == 40 and passes == [200]
+    assert sum(r.pairs for r in got) == 40 and len(orders) == 1 and sorted(asked) == sorted(queue.LANES)
     # Topics that never fit keep their turn but are not looked for again and again.
-    passes.clear()
+    orders.clear(), asked.clear()
     assert queue.select_topics(topics, pairs.selectExpr("topic_id", "id", "captured_at", "pending", "99999L chars"), 6, 40, 120_000).count() == 0
-    assert passes == [200]
+    assert len(orders) == 1 and sorted(asked) == sorted(queue.LANES)
+
+
+def test_interleaving_takes_turns(spark):
+    rows = spark.createDataFrame([("x", "b", 1), ("x", "a", 2), ("x", "b", 3), ("y", "a", 1), ("x", "c", 9), ("x", "b", 4)], "lane string, g string, n long")
+    for blocks in (1, 3):
+        got = queue.interleaved(rows, ["lane"], "g", ["n"], blocks).orderBy("lane", "turn", "group_head").collect()
+        assert [(r.lane, r.g, r.n) for r in got] == [("x", "b", 1), ("x", "a", 2), ("x", "c", 9), ("x", "b", 3), ("x", "b", 4), ("y", "a", 1)]
+    plain = queue.round_robin(rows, "g", [F.col("n")], within=["lane"]).orderBy("lane", "turn", "group_head").collect()
+    assert [(r.g, r.n) for r in plain] == [("b", 1), ("a", 2), ("c", 9), ("b", 3), ("b", 4), ("a", 1)]
 
 
 # --- artifacts, ledgers --------------------------------------------------------------------------

@@ -247,16 +247,20 @@ def order_topics(topics: DataFrame) -> DataFrame:
 
 
 def round_robin(df: DataFrame, group: str, order: list[Column], within: list[str] | None = None, depth: int | None = None) -> DataFrame:
-    """Interleave groups: every group's first row, then every second row …; groups by their first row.
+    """Interleave groups: every group's first row, then every second row, and so on, groups by their first row.
 
-    Adds ``turn`` (place within the group) and ``group_head`` (the group's first sort key). With
-    ``depth`` only the first rows of each group are ranked, before the shuffle as well as after it.
+    ``order`` are ascending keys. Adds ``turn``, the place within the group, and ``group_head``, the sort key of the group's first row; sorting by
+    (turn, group_head) interleaves. With ``depth`` only the first rows of each group are ranked, before the shuffle as well
+    as after it; for groups of any size use ``interleaved``.
     """
     keys = [*(within or []), group]
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    rows = df.withColumn("_key", key)
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy("_key")))
     if depth is not None:
         ranked = ranked.where(F.col("turn") <= depth)
-    return ranked
+    heads = rows.groupBy(*keys).agg(F.min("_key").alias("group_head"))
+    return ranked.join(heads, keys).drop("_key")
 
 
 def fit_slice(pairs: DataFrame, max_pairs: int, max_chars: int, topic: str = "topic_id") -> DataFrame:
@@ -272,113 +276,106 @@ def fit_slice(pairs: DataFrame, max_pairs: int, max_chars: int, topic: str = "to
 
 
 # --- selection -----------------------------------------------------------------------------------
-def _lane_heads(topics: DataFrame, candidates: int) -> DataFrame:
-    """The first ``candidates`` topics of every lane in project round-robin order."""
-    order = topic_order()
-    key = F.struct(
-        F.coalesce(F.unix_micros("last_attempt_at"), F.lit(-(2**62))).alias("a"), (-F.col("priority")).alias("p"),
-        F.unix_micros("first_seen").alias("f"), F.col("id").alias("i"),
-    )
-    rows = topics.where("eligible").withColumn("sort_key", key)
-    projects = rows.groupBy("lane", "project").agg(F.min("sort_key").alias("project_key"))
-    ranked = round_robin(rows, "project", order, within=["lane"], depth=candidates).join(projects, ["lane", "project"])
-    return first_rows(ranked, ["lane"], ["turn", "project_key"], candidates, rank="lane_place")
+_SELECTED = "id string, topic_id string, lane string, place int, pairs int, chars long, partial boolean"
+_SORT = ["attempt_key", "priority_key", "seen_key", "id"]
 
 
-def _greedy(max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, share: int):
-    """Selection over a bounded candidate list of topics that can fit, with ``max_pairs`` sizes each.
+def interleaved(rows: DataFrame, within: list[str], group: str, order: list[str], blocks: int | None = None) -> DataFrame:
+    """Rows with ``turn``, their place within (``within``, group), and ``group_head``, the first row's order of the group.
 
-    A spent budget ends the selection: nothing that waits could fit. ``short`` tells that a lane's list ended while
-    there was room and the lane had more.
+    Sorted by (turn, group_head) the groups take turns, each with its next row. Ranks are counted over range blocks, so
+    neither a group nor a whole lane has to fit into one task. ``order`` must tell rows apart and hold no nulls.
     """
+    keys = [*within, group]
+    ranked = running_total(range_blocks(rows, keys, order, blocks), keys, order, F.col(RANGE), F.lit(1), "turn").drop(RANGE)
+    heads = rows.groupBy(*keys).agg(F.min(F.struct(*order)).alias("group_head"))
+    return ranked.join(heads, keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = lane_offset % len(LANES)
-        rotation = LANES[start:] + LANES[:start]
-        queues = {
-            lane: list(rows.sort_values("lane_place").to_dict("records")) for lane, rows in pdf.groupby("lane", sort=False)
-        }
-        size = {lane: int(rows["lane_size"].iloc[0]) for lane, rows in pdf.groupby("lane", sort=False)}
-        held = {lane: len(rows) for lane, rows in queues.items()}
-        pair_cap, char_cap = max(1, max_pairs // share), max(1, max_chars // share)
-        waiting = {lane: iter(queues.get(lane, [])) for lane in LANES}
-        taken, used_pairs, used_chars = [], 0, 0
-        short = False
-
-        def next_fit(lane):
-            for topic in waiting[lane]:
-                room_pairs, room_chars = min(max_pairs - used_pairs, pair_cap), min(max_chars - used_chars, char_cap)
-                count = chars = 0
-                for length in topic["sizes"][: max(0, room_pairs)]:
-                    if chars + length > room_chars:
-                        break
-                    count, chars = count + 1, chars + int(length)
-                if count:
-                    return topic, count, chars
-            return None
-
-        def spent():
-            return len(taken) >= max_topics or used_pairs >= max_pairs or used_chars >= max_chars
-
-        moved = True
-        while moved and not spent():
-            moved = False
-            for lane in rotation:
-                if spent():
-                    break
-                fit = next_fit(lane)
-                if fit is None:
-                    short = short or size.get(lane, 0) > held.get(lane, 0)
-                    continue
-                topic, count, chars = fit
-                used_pairs, used_chars, moved = used_pairs + count, used_chars + chars, True
-                taken.append((topic["id"], topic["topic_id"], lane, len(taken) + 1, count, chars, count < topic["pending_pair_count"]))
-        rows = [(*row, short) for row in taken] or [(None, None, None, 0, 0, 0, False, short)]
-        return pd.DataFrame(rows, columns=["id", "topic_id", "lane", "place", "pairs", "chars", "partial", "short"])
-
-    return run
-
-
-_SELECTED = "id string, topic_id string, lane string, place int, pairs int, chars long, partial boolean, short boolean"
 
+def lane_order(topics: DataFrame, pairs: DataFrame, max_chars: int) -> DataFrame:
+    """Eligible topics whose first pending pair is within ``max_chars``, in the order their lanes offer them.
 
-def select_candidates(
-    topics: DataFrame, pairs: DataFrame, max_topics: int, max_pairs: int, max_chars: int, lane_offset: int, candidates: int
-) -> DataFrame:
-    lanes = topics.where("eligible").select("lane").distinct().count()
-    share = max(1, min(max_topics, lanes))
-    order = ["captured_at", "id"]
-    # A topic whose first pending pair outgrows its lane's characters never fits: it keeps its turn, but is not fetched,
-    # and a lane that has only such topics left has no more to offer.
-    first = pairs.where(F.col("pending")).groupBy("topic_id").agg(F.min_by("chars", F.struct(*order)).alias("_chars"))
-    able = first.where(F.col("_chars") <= max(1, max_chars // share)).select("topic_id")
-    sizes = topics.where("eligible").join(able, "topic_id", "left_semi").groupBy("lane").agg(F.count(F.lit(1)).alias("lane_size"))
-    heads = _lane_heads(topics, candidates).join(able, "topic_id", "left_semi").join(sizes, "lane")
-    wanted = pairs.where(F.col("pending")).join(heads.select("topic_id"), "topic_id", "left_semi")
-    sizes = first_rows(wanted, ["topic_id"], order, max_pairs, rank="n").groupBy("topic_id").agg(
+    Topics that are too large keep their turn. Written once; every later reading is a filter and a few first rows.
+    """
+    first = pairs.where("pending").groupBy("topic_id").agg(F.min_by("chars", F.struct("captured_at", "id")).alias("first_chars"))
+    rows = topics.where("eligible").select(
+        "lane", "project", "topic_id", "id", "pending_pair_count", F.coalesce(F.unix_micros("last_attempt_at"), F.lit(-(2**62))).alias("attempt_key"),
+        (-F.col("priority")).alias("priority_key"), F.unix_micros("first_seen").alias("seen_key"),
+    )
+    ranked = interleaved(rows, ["lane"], "project", _SORT).join(first, "topic_id").where(F.col("first_chars") <= max_chars)
+    return cut_lineage(ranked.select("lane", "turn", "group_head", "id", "topic_id", "pending_pair_count", "first_chars"), "lane-order")
+
+
+def _further(ranked: DataFrame, pairs: DataFrame, lane: str, after, room: int, count: int, max_pairs: int) -> list:
+    """The next ``count`` topics of a lane whose first pair has room, with the sizes of their first ``max_pairs`` pairs."""
+    rows = ranked.where((F.col("lane") == lane) & (F.col("first_chars") <= room))
+    if after is not None:
+        head = F.struct(*[F.lit(after.group_head[c]).alias(c) for c in _SORT])
+        rows = rows.where((F.col("turn") > after.turn) | ((F.col("turn") == after.turn) & (F.col("group_head") > head)))
+    rows = rows.orderBy("turn", "group_head").limit(count)
+    wanted = pairs.where("pending").join(rows.select("topic_id"), "topic_id", "left_semi")
+    sizes = first_rows(wanted, ["topic_id"], ["captured_at", "id"], max_pairs, rank="n").groupBy("topic_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "chars"))), lambda x: x["chars"]).alias("sizes")
     )
-    rows = heads.join(sizes, "topic_id").select("id", "topic_id", "lane", "lane_place", "lane_size", "pending_pair_count", "sizes")
-    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(_greedy(max_topics, max_pairs, max_chars, lane_offset, share), _SELECTED)
+    return rows.join(sizes, "topic_id").orderBy("turn", "group_head").collect()
 
 
 def select_topics(
     topics: DataFrame, pairs: DataFrame, max_topics: int = fv.SELECTION_TOPICS, max_pairs: int = fv.SELECTION_PAIRS,
-    max_chars: int = fv.SELECTION_CHARS, lane_offset: int = 0, candidates: int = 200,
+    max_chars: int = fv.SELECTION_CHARS, lane_offset: int = 0,
 ) -> DataFrame:
-    """Fair bounded selection of eligible topics.
+    """Fair bounded selection of eligible topics: (id, topic_id, lane, place, pairs, chars, partial).
 
-    Lanes rotate by batch, projects take turns within a lane, each lane has its share of the budget, and a
-    topic may enter in part. Ranking is distributed; the greedy fit, which depends on what was taken
-    before, runs over the heads of three lanes. Topics that cannot fit are left out before ranking and a spent budget
-    ends the fit, so a head runs out only where what room is left suits no topic in it; it then doubles.
+    Lanes rotate by batch, projects take turns within a lane, each lane has its share of the budget, and a topic may
+    enter in part. The order of the lanes is worked out once and written. The greedy fit asks it, lane by lane, for the
+    next few topics that the room left can take; room only shrinks, so a topic passed over never has to be offered again,
+    and a lane that runs out is asked for what follows. What is held at a time is ``max_topics`` topics of three lanes with
+    at most ``max_pairs`` sizes each.
     """
     max_topics, max_pairs, max_chars = max(0, max_topics), max(1, max_pairs), max(1, max_chars)
-    while True:
-        chosen = cut_lineage(select_candidates(topics, pairs, max_topics, max_pairs, max_chars, lane_offset, candidates))
-        if not chosen.where("short").limit(1).count():
-            return chosen.where(F.col("id").isNotNull()).drop("short")
-        candidates *= 2
+    spark = topics.sparkSession
+    lanes = {r.lane for r in topics.where("eligible").select("lane").distinct().collect()}
+    share = max(1, min(max_topics, len(lanes)))
+    pair_cap, char_cap = max(1, max_pairs // share), max(1, max_chars // share)
+    ranked = lane_order(topics, pairs, char_cap)
+    waiting: dict[str, list] = {lane: [] for lane in LANES}
+    last, ended = dict.fromkeys(LANES), {lane for lane in LANES if lane not in lanes}
+    taken: list[tuple] = []
+    used_pairs = used_chars = 0
+
+    def next_fit(lane: str):
+        nonlocal used_pairs, used_chars
+        while True:
+            room_pairs, room_chars = min(max_pairs - used_pairs, pair_cap), min(max_chars - used_chars, char_cap)
+            if room_pairs < 1 or room_chars < 0:
+                return None
+            while waiting[lane]:
+                topic = waiting[lane].pop(0)
+                count = chars = 0
+                for length in topic.sizes[:room_pairs]:
+                    if chars + length > room_chars:
+                        break
+                    count, chars = count + 1, chars + length
+                if count:
+                    return topic, count, chars
+            if lane in ended:
+                return None
+            waiting[lane] = _further(ranked, pairs, lane, last[lane], room_chars, max_topics, max_pairs)
+            if len(waiting[lane]) < max_topics:
+                ended.add(lane)
+            if waiting[lane]:
+                last[lane] = waiting[lane][-1]
+
+    start = lane_offset % len(LANES)
+    moved = max_topics > 0
+    while moved and len(taken) < max_topics:
+        moved = False
+        for lane in LANES[start:] + LANES[:start]:
+            if len(taken) < max_topics and (fit := next_fit(lane)) is not None:
+                topic, count, chars = fit
+                used_pairs, used_chars, moved = used_pairs + count, used_chars + chars, True
+                taken.append((topic.id, topic.topic_id, lane, len(taken) + 1, count, chars, count < topic.pending_pair_count))
+    return spark.createDataFrame(taken, _SELECTED)
 
 
 def queue_status(

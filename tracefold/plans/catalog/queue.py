@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracefold import fixed_values as fv
 from tracefold.functions import topics as t
 from tracefold.operators import queue as q
+from tracefold.operators.sequence import RANGE, range_blocks, running_total
 from tracefold.operators.turns import build_pairs
 from tracefold.plans.catalog import query, with_ctes
 from tracefold.plans.catalog.conversations import PAIRS
@@ -117,7 +119,7 @@ STATE = "CASE WHEN eligible THEN CASE WHEN settled_before THEN 'reopened' ELSE '
 def _topics(spark, sf):
     pairs = cut_lineage(q.with_topics(_segments(spark, sf)))
     ledger, events = _ledger(spark, sf)
-    return q.build_topics(pairs, ledger, events, F.lit(NOW).cast("timestamp")), pairs
+    return cut_lineage(q.build_topics(pairs, ledger, events, F.lit(NOW).cast("timestamp"))), pairs
 
 
 @query("classify_automation", with_ctes(REC, PAIRS, f"SELECT id, {CLASS} AS automation FROM pairs"))
@@ -233,18 +235,92 @@ def _fit_slice(spark, sf):
 
 
 @query("round_robin", """
-SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events QUALIFY turn <= 20""")
+WITH r AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events),
+h AS (SELECT user_id, ts AS head_at, event_id AS head_id FROM r WHERE turn = 1)
+SELECT user_id, event_id, turn, row_number() OVER (ORDER BY turn, head_at, head_id) AS place FROM r JOIN h USING (user_id)""")
 def _round_robin(spark, sf):
-    return q.round_robin(g.read(spark, sf, "events"), "user_id", [F.col("ts"), F.col("event_id")], depth=20).select("user_id", "event_id", "turn")
+    rows = q.round_robin(g.read(spark, sf, "events"), "user_id", [F.col("ts"), F.col("event_id")])
+    ranges = range_blocks(rows.select("user_id", "event_id", "turn", "group_head").withColumn("all", F.lit(0)), ["all"], ["turn", "group_head"])
+    placed = running_total(ranges, ["all"], ["turn", "group_head"], F.col(RANGE), F.lit(1), "place")
+    return placed.select("user_id", "event_id", "turn", "place")
+
+
+#: The greedy fit step by step: each step asks the next lane of the rotation for its first topic that has room.
+SELECTION = """
+offers AS (
+  SELECT topic_id, list(chars ORDER BY captured_at, id) AS sizes FROM tp WHERE pending GROUP BY topic_id
+), turns AS (
+  SELECT t.*, row_number() OVER (PARTITION BY lane, project ORDER BY last_attempt_at NULLS FIRST, priority DESC, first_seen, id) AS turn FROM topics t WHERE eligible
+), heads AS (SELECT lane, project, last_attempt_at AS h1, priority AS h2, first_seen AS h3, id AS h4 FROM turns WHERE turn = 1),
+places AS (
+  SELECT turns.lane, id, topic_id, pending_pair_count, sizes,
+    row_number() OVER (PARTITION BY turns.lane ORDER BY turn, h1 NULLS FIRST, h2 DESC, h3, h4) AS place
+  FROM turns JOIN heads ON heads.lane = turns.lane AND heads.project = turns.project JOIN offers USING (topic_id)
+), board AS (
+  SELECT coalesce(list({{'place': place, 'id': id, 'topic_id': topic_id, 'of': pending_pair_count, 'sizes': sizes}} ORDER BY place) FILTER (lane = 'retry'), []) AS retry,
+    coalesce(list({{'place': place, 'id': id, 'topic_id': topic_id, 'of': pending_pair_count, 'sizes': sizes}} ORDER BY place) FILTER (lane = 'backlog'), []) AS backlog,
+    coalesce(list({{'place': place, 'id': id, 'topic_id': topic_id, 'of': pending_pair_count, 'sizes': sizes}} ORDER BY place) FILTER (lane = 'recent'), []) AS recent,
+    greatest(1, least({topics}, count(DISTINCT lane))) AS share FROM places
+), steps AS (
+  SELECT 0 AS step, 0 AS n, 0 AS pairs, 0::BIGINT AS chars, 0 AS idle, 0 AS p0, 0 AS p1, 0 AS p2, NULL::STRUCT(place BIGINT, id VARCHAR, topic_id VARCHAR, "of" BIGINT, sizes BIGINT[]) AS pick, 0 AS took, 0::BIGINT AS took_chars
+  UNION ALL
+  SELECT step + 1, n + CASE WHEN fit IS NULL THEN 0 ELSE 1 END, pairs + got, chars + got_chars, CASE WHEN fit IS NULL THEN idle + 1 ELSE 0 END,
+    CASE WHEN step % 3 = 0 AND fit IS NOT NULL THEN fit.place ELSE p0 END, CASE WHEN step % 3 = 1 AND fit IS NOT NULL THEN fit.place ELSE p1 END,
+    CASE WHEN step % 3 = 2 AND fit IS NOT NULL THEN fit.place ELSE p2 END, fit, got, got_chars
+  FROM (
+    SELECT *, CASE WHEN fit IS NULL THEN 0 ELSE len(list_filter(range(1, least(len(fit.sizes), room_pairs) + 1), lambda i: list_sum(fit.sizes[1:i]) <= room_chars)) END AS got,
+      CASE WHEN fit IS NULL THEN 0 ELSE coalesce(list_sum(fit.sizes[1 : len(list_filter(range(1, least(len(fit.sizes), room_pairs) + 1), lambda i: list_sum(fit.sizes[1:i]) <= room_chars))]), 0) END AS got_chars
+    FROM (
+      SELECT s.*, room_pairs, room_chars, list_filter(CASE step % 3 WHEN 0 THEN retry WHEN 1 THEN backlog ELSE recent END,
+        lambda x: x.place > CASE step % 3 WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END AND room_pairs >= 1 AND x.sizes[1] <= room_chars)[1] AS fit
+      FROM (SELECT *, least({pairs} - pairs, greatest(1, {pairs} // share)) AS room_pairs, least({chars} - chars, greatest(1, {chars} // share)) AS room_chars FROM steps, board WHERE n < {topics} AND idle < 3) s
+    )
+  )
+), selection AS (
+  SELECT pick.id AS id, pick.topic_id AS topic_id, CASE (step - 1) % 3 WHEN 0 THEN 'retry' WHEN 1 THEN 'backlog' ELSE 'recent' END AS lane, n AS place, took AS pairs, took_chars AS chars, took < pick."of" AS partial
+  FROM steps WHERE pick IS NOT NULL
+)"""
+
+
+def selection(topics: int = fv.SELECTION_TOPICS, pairs: int = fv.SELECTION_PAIRS, chars: int = fv.SELECTION_CHARS) -> str:
+    return SELECTION.format(topics=topics, pairs=pairs, chars=chars)
 
 
-@query("select_topics", None)
+RECURSIVE = lambda *parts: with_ctes(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("select_topics", RECURSIVE(*BASE, QLEDGER, TOPICS, selection(), "SELECT * FROM selection"))
 def _select_topics(spark, sf):
     topics, pairs = _topics(spark, sf)
     return q.select_topics(topics, pairs)
 
 
-@query("queue_status", None)
+@query("select_topics_narrow", RECURSIVE(*BASE, QLEDGER, TOPICS, selection(24, 30, 9000), "SELECT * FROM selection"))
+def _select_topics_narrow(spark, sf):
+    """Many topics in little room: lanes pass over what does not fit, and are asked again."""
+    topics, pairs = _topics(spark, sf)
+    return q.select_topics(topics, pairs, 24, 30, 9000)
+
+
+STATUS = f"""
+SELECT unnest(map_entries(m)).key AS counter, unnest(map_entries(m)).value AS value FROM (
+  SELECT MAP {{
+    'raw_pending_pairs': (SELECT count(*) FILTER (pending) FROM sorted_pairs), 'no_op_automation_pairs': (SELECT count(*) FILTER (pending AND automation = 'no-op') FROM sorted_pairs),
+    'substantive_automation_pairs': (SELECT count(*) FILTER (pending AND automation = 'substantive') FROM sorted_pairs), 'supporting_pairs': 0,
+    'candidate_pairs': (SELECT count(*) FILTER (pending AND automation IN ('ordinary', 'substantive')) FROM sorted_pairs),
+    'candidate_topics': (SELECT count(*) FROM topics), 'ready_topics': (SELECT count(*) FILTER (eligible) FROM topics),
+    'open_topics': (SELECT count(*) FILTER (NOT eligible AND NOT retry_cooling) FROM topics), 'retry_topics': (SELECT count(*) FILTER (lane = 'retry') FROM topics),
+    'cooling_retry_topics': (SELECT count(*) FILTER (retry_cooling) FROM topics), 'backlog_topics': (SELECT count(*) FILTER (lane = 'backlog') FROM topics),
+    'recent_topics': (SELECT count(*) FILTER (lane = 'recent') FROM topics),
+    'deferred_oversize_topics': (SELECT count(*) FILTER (eligible AND (pending_pair_count > {fv.SELECTION_PAIRS} OR pending_chars > {fv.SELECTION_CHARS})) FROM topics),
+    'needs_compaction_topics': (SELECT count(*) FILTER (eligible AND largest_pending_pair > {fv.SELECTION_CHARS}) FROM topics),
+    'selected_topics': (SELECT count(*) FROM selection), 'selected_pairs': (SELECT coalesce(sum(pairs), 0) FROM selection), 'selected_chars': (SELECT coalesce(sum(chars), 0) FROM selection),
+    'partial_topics': (SELECT count(*) FILTER (partial) FROM selection),
+    'deferred_topics': (SELECT count(*) FROM topics WHERE topic_id NOT IN (SELECT topic_id FROM selection WHERE NOT partial))
+  }} AS m)"""
+
+
+@query("queue_status", RECURSIVE(*BASE, QLEDGER, TOPICS, selection(), STATUS))
 def _queue_status(spark, sf):
     topics, pairs = _topics(spark, sf)
     return q.queue_status(_sorted(spark, sf), topics, q.select_topics(topics, pairs))
