@@ -192,6 +192,7 @@ NOTE_FALLBACKS = {
     "problem": "未从来源中提取到明确问题描述。", "validation": "来源未提供明确验证结果。", "targets": "- 暂无可直接打开的实际入口。", "sources": "- 暂无来源。",
     "limits_independent": "未发现额外限制说明。", "limits": "该条目来自完成报告，仍需结合实际入口和来源证据判断。",
 }
+REPORT_SAID, REPORT_DELIVERED = "Codex 报告：", "Codex 交付说明："
 NOTE_ERRORS = {
     "foreign": "目标文件不属于本库或结构已损坏，已拒绝覆盖", "invalid": "待写入成果文件结构无效", "other_id": "目标文件的 ID 不匹配，已拒绝覆盖",
     "no_alias": "目标文件不是可添加别名的成果",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,20 +155,68 @@ def attach_reports_to_commits(reports: DataFrame, commits: DataFrame, text: str
     ).where(F.col("n") == 1).select("report_id", "c.commit_id", "c.hash")
 
 
-def merge_reports(commits: DataFrame, reports: DataFrame, attached: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Commit artifacts with what their reports add, as bridge rows, and the reports left on their own.
+#: Columns of an artifact that have one value; what may be many stays in bridges.
+HEAD_COLUMNS = [c for c in ARTIFACT_COLUMNS if c not in ("validation", "limitations", "source_event_ids", "source_refs")]
 
-    The first output is (id, field, value): problem, validation and limitation lines gained.
-    """
-    told = reports.join(attached, reports["id"] == attached["report_id"])
-    note = lambda field, value: told.select(F.col("commit_id").alias("id"), F.lit(field).alias("field"), value.alias("value"))
-    said = lambda c: F.concat(F.lit("Codex 报告："), c)
-    lines = (
-        note("problem", said(F.col("problem"))).unionByName(note("validation", F.concat(F.lit("Codex 交付说明："), "result")))
-        .unionByName(note("validation", said(F.explode("validation")))).unionByName(note("limitation", said(F.explode("limitations"))))
+
+@dataclass
+class Artifacts:
+    """Artifacts as tables: heads, and bridges of what each of them says, comes from and refers to."""
+
+    heads: DataFrame  # HEAD_COLUMNS
+    lines: DataFrame  # (id, field, value, place): validation and limitation lines; ``place`` orders them
+    events: DataFrame  # (id, event_id)
+    refs: DataFrame  # (id, type, label, path, url, line, excerpt)
+
+
+def artifact_tables(artifacts: DataFrame) -> Artifacts:
+    """Rows with arrays, each id once, as tables."""
+    line = lambda field, column: artifacts.select(
+        "id", F.lit(field).alias("field"), F.posexplode(column).alias("pos", "value")
+    ).select("id", "field", "value", F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit("").alias("report"), "pos").alias("place"))
+    return Artifacts(
+        artifacts.select(*HEAD_COLUMNS), line("validation", "validation").unionByName(line("limitation", "limitations")),
+        artifacts.select("id", F.explode("source_event_ids").alias("event_id")).distinct(),
+        artifacts.select("id", F.explode("source_refs").alias("ref")).select("id", "ref.*").distinct(),
     )
-    alone = reports.join(attached, reports["id"] == attached["report_id"], "left_anti")
-    return lines.where(F.col("value").isNotNull()).distinct(), alone
+
+
+def commit_tables(made: DataFrame) -> Artifacts:
+    """Commit artifacts as tables, clones of a commit merged; every clone's references stay."""
+    heads, events = merge_commit_artifacts(made)
+    one = artifact_tables(heads.withColumn("source_event_ids", F.array().cast("array<string>")).withColumn("source_refs", F.array().cast(made.schema["source_refs"].dataType)))
+    refs = made.select("id", F.explode("source_refs").alias("ref")).select("id", "ref.*").distinct()
+    return Artifacts(heads.select(*HEAD_COLUMNS), one.lines, events, refs)
+
+
+def fold_reports(commits: Artifacts, reports: DataFrame, attached: DataFrame) -> tuple[Artifacts, DataFrame]:
+    """Commits with all that their reports told, and the reports that belong to no commit.
+
+    The last report that states a problem gives the commit's. Report lines follow the commit's own, in the order of the
+    reports; their events and references join the bridges, so a settlement that knows the report's event finds the commit.
+    """
+    told = reports.join(attached.select(F.col("report_id").alias("id"), "commit_id"), "id")
+    said = lambda c: F.concat(F.lit(fv.REPORT_SAID), c)
+    at = F.struct("occurred_at", "id")
+    stated = F.when(F.coalesce("problem", F.lit("")) != "", at)
+    problems = told.groupBy("commit_id").agg(F.max_by("problem", stated).alias("_stated")).withColumnRenamed("commit_id", "id")
+    heads = commits.heads.join(problems, "id", "left").withColumn("problem", F.coalesce(said(F.col("_stated")), F.col("problem")))
+    line = lambda field, values: told.select(
+        F.col("commit_id").alias("id"), F.lit(field).alias("field"), F.col("occurred_at").alias("at"), F.col("id").alias("report"), F.posexplode(values).alias("pos", "value")
+    ).select("id", "field", "value", F.struct("at", "report", "pos").alias("place"))
+    delivered = F.array(F.concat(F.lit(fv.REPORT_DELIVERED), "result"))
+    lines = commits.lines.unionByName(line("validation", F.concat(delivered, F.transform("validation", said)))).unionByName(
+        line("limitation", F.transform("limitations", said)))
+    lines = lines.where(F.col("value").isNotNull()).groupBy("id", "field", "value").agg(F.min("place").alias("place"))
+    events = commits.events.unionByName(told.select(F.col("commit_id").alias("id"), F.explode("source_event_ids").alias("event_id"))).distinct()
+    refs = commits.refs.unionByName(told.select(F.col("commit_id").alias("id"), F.explode("source_refs").alias("ref")).select("id", "ref.*")).distinct()
+    alone = reports.join(attached.select(F.col("report_id").alias("id")), "id", "left_anti")
+    return Artifacts(heads.select(*HEAD_COLUMNS), lines, events, refs), alone
+
+
+def union_tables(*tables: Artifacts) -> Artifacts:
+    """Tables with different ids as one."""
+    return Artifacts(*[reduce(DataFrame.unionByName, [getattr(t, f.name) for t in tables]) for f in dataclass_fields(Artifacts)])
 
 
 def fingerprints(artifacts: DataFrame, columns: list[str]) -> DataFrame:

@@ -41,29 +41,29 @@ def build_events(sources: Sources) -> DataFrame:
     return metrics.reconcile_project_labels(cut_lineage(unify_events(turns, notes, reuse, sources.commits)))
 
 
-def build_artifacts(events: DataFrame, sources: Sources, inventory: DataFrame) -> DataFrame:
+def build_artifacts(events: DataFrame, sources: Sources, inventory: DataFrame) -> a.Artifacts:
     """Artifacts of commits, notes and reports; a report that names one known commit is told in the commit instead."""
-    commits, _ = a.merge_commit_artifacts(a.commit_artifacts(events))
-    notes = a.wiki_artifacts(events, sources.docs)
+    commits = a.commit_tables(cut_lineage(a.commit_artifacts(events), "commits"))
     stops = u.eligible_stops(sources.records, u.eligible_turns(sources.records, sources.titles))
-    reports = a.report_artifacts(events, stops, inventory, u.turn_problem(events))
-    hashes = commits.select(F.col("id").alias("commit_id"), F.regexp_extract("id", "([0-9a-f]{40})$", 1).alias("hash")).where(F.col("hash") != "")
-    attached = a.attach_reports_to_commits(reports, hashes)
-    _, alone = a.merge_reports(commits, reports, attached)
-    merged = alone.unionByName(notes).unionByName(
-        a.commit_artifacts(events).dropDuplicates(["id"]).join(commits.select("id", F.col("result").alias("_result")), "id")
-        .withColumn("result", F.col("_result")).drop("_result")
-    )
-    return merged.select(*a.ARTIFACT_COLUMNS)
+    reports = cut_lineage(a.report_artifacts(events, stops, inventory, u.turn_problem(events)), "reports")
+    hashes = commits.heads.select(F.col("id").alias("commit_id"), F.regexp_extract("id", "([0-9a-f]{40})$", 1).alias("hash")).where(F.col("hash") != "")
+    attached = cut_lineage(a.attach_reports_to_commits(reports, hashes), "attached")
+    told, alone = a.fold_reports(commits, reports, attached)
+    # A note written and updated is two events and one artifact: the first event heads it, the others stay in the bridge.
+    notes = cut_lineage(a.wiki_artifacts(events, sources.docs), "note-artifacts")
+    first = notes.groupBy("id").agg(F.min(F.struct("occurred_at", F.col("source_event_ids")[0].alias("event"))).alias("_first"))
+    heads = notes.join(first, "id").where((F.col("occurred_at") == F.col("_first.occurred_at")) & (F.col("source_event_ids")[0] == F.col("_first.event"))).drop("_first")
+    kept = a.artifact_tables(heads.dropDuplicates(["id"]))
+    every = a.artifact_tables(notes)
+    return a.union_tables(told, a.artifact_tables(alone), a.Artifacts(kept.heads, kept.lines, every.events, every.refs))
 
 
-def build_outcomes(artifacts: DataFrame, events: DataFrame, ledger: DataFrame, ledger_events: DataFrame) -> DataFrame:
+def build_outcomes(artifacts: a.Artifacts, events: DataFrame, ledger: DataFrame, ledger_events: DataFrame, reuse: DataFrame | None = None) -> DataFrame:
     """Outcomes of artifacts and of settlements no artifact claims."""
-    artifacts = cut_lineage(artifacts)
-    files = artifacts.select("id", F.explode(a.refs_of("file")).alias("ref")).select("id", F.col("ref.label").alias("file"))
-    sources = artifacts.select("id", F.explode("source_event_ids").alias("event_id"))
-    made = outcomes.aggregate_outcomes(artifacts, files, sources, ledger, ledger_events, events)
-    free = outcomes.unclaimed_settlements(ledger, ledger_events, sources)
+    heads, claimed = cut_lineage(artifacts.heads, "artifact-heads"), cut_lineage(artifacts.events, "artifact-events")
+    files = artifacts.refs.where("type = 'file'").select("id", F.col("label").alias("file"))
+    made = outcomes.aggregate_outcomes(heads, files, claimed, ledger, ledger_events, events, reuse=reuse)
+    free = cut_lineage(outcomes.unclaimed_settlements(ledger, ledger_events, claimed), "unclaimed")
     own = free.select(F.col("id").alias("settlement_id"))
     told = outcomes.settlement_outcomes(free, outcomes.settlement_events(ledger_events.join(own, "settlement_id", "left_semi"), events), events)
     return made.unionByName(told, allowMissingColumns=True)
