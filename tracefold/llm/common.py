@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from tracefold.session import shuffles_released
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor sees, as ``spark.checkpoint.dir`` names it.
@@ -34,15 +36,19 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write once, read back: cuts lineage, survives lost executors, and later reads are pruned."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a stage in whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    with shuffles_released(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracefold_folder = path
+    return out
+
+
+def drop(*stages: DataFrame) -> None:
+    """Delete stages, in whatever file system holds them, that nothing reads any more."""
+    for df in stages:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._tracefold_folder)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import slices, staged
+from tracefold.llm.common import drop, slices, staged
 from tracefold.operators.components import connected_components
 
 SHINGLE = 5
@@ -541,7 +541,9 @@ def _pairs_apart(lists: DataFrame, components: DataFrame, maps: DataFrame) -> Da
     full = apart.join(_main(apart).drop("rep"), "shingle").join(maps, "ent")
     blocks = _blocks(full.select("shingle", "ent", "n", "pos", "comp", "map", "main")).select("shingle", "sub", "query", "ent", "n", "comp", "map")
     found = blocks.repartition("shingle", "sub").sortWithinPartitions("shingle", "sub", F.desc("query")).mapInArrow(_viable_pairs, "a long, b long")
-    return staged(found.distinct(), "pairs")
+    pairs = staged(found.distinct(), "pairs")
+    drop(apart)
+    return pairs
 
 
 def _trials(lists: DataFrame, components: DataFrame, maps: DataFrame) -> DataFrame:
@@ -553,7 +555,9 @@ def _trials(lists: DataFrame, components: DataFrame, maps: DataFrame) -> DataFra
     left = maps.select(F.col("ent").alias("a"), F.col("map").alias("map_a"))
     right = maps.select(F.col("ent").alias("b"), F.col("map").alias("map_b"))
     both = tried.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b")
-    return staged(both.mapInArrow(_allowed_trials, "a long, b long"), "pairs")
+    pairs = staged(both.mapInArrow(_allowed_trials, "a long, b long"), "pairs")
+    drop(apart)
+    return pairs
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -561,7 +565,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     described = staged(slim.mapInArrow(_describe, "doc_id long, n int, ent long, map binary, shingle long, hits long"), "shingled")
-    rows = described.where("hits is null").select("doc_id", "n", "ent")
+    rows = staged(described.where("hits is null").select("doc_id", "n", "ent"), "set-rows")
     often = described.where("hits is not null").groupBy("shingle").agg(F.sum("hits").alias("hits"))
     top = often.orderBy(F.desc("hits"), "shingle").limit(HOT_SHINGLES).collect()
     common = np.array([r["shingle"] for r in top], np.int64).view(np.uint64)
@@ -579,6 +583,7 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = lists.groupBy("ent").agg(*(F.min(F.xxhash64(F.lit(r), "shingle")).alias(f"k{r}") for r in (0, 1)))
     known = described.where("n > 0").groupBy("ent").agg(F.min("doc_id").alias("home"), F.min("n").alias("n"), F.min("map").alias("map"))
     listed = staged(keys.join(known, "ent"), "listed-sets")
+    drop(described)
     maps, home = listed.select("ent", "map"), listed.select("ent", "home")
 
     # Blocks of sets that agree on the least of their shared prefix shingles, by two hashes.
@@ -589,18 +594,26 @@ def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     placed = members.repartition("block", "sub").sortWithinPartitions("block", "sub")
     viable = staged(placed.mapInArrow(_viable, "block long, sub long, ent long"), "viable")
-    sets = _fetched(slim, home, viable.select("ent").distinct())
-    edges = staged(_links(viable.select("block", "sub", F.lit(0).alias("query"), "ent"), sets), "links")
-    components = connected_components(edges)
+    fetched = [_fetched(slim, home, viable.select("ent").distinct())]
+    sets = fetched[0]
+    links = staged(_links(viable.select("block", "sub", F.lit(0).alias("query"), "ent"), sets), "links")
+    drop(viable)
+    components = connected_components(links)
+    drop(links)
 
     # What is apart in some list: first each set against one of the list's main component, then every pair.
     for choose in (_trials, _pairs_apart):
         pairs = choose(lists, components, maps)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(sets.select("ent"), "ent", "left_anti")
-        more = _fetched(slim, home, wanted)
-        edges = edges.unionByName(staged(_search_pairs(pairs, sets.unionByName(more)), "links"))
-        components = connected_components(edges)
-        sets = sets.unionByName(more)
+        fetched.append(_fetched(slim, home, wanted))
+        sets = sets.unionByName(fetched[-1])
+        links = staged(_search_pairs(pairs, sets), "links")
+        drop(pairs)
+        if not links.isEmpty():
+            known = components.where("node != component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+            components = connected_components(known.unionByName(links))
+        drop(links)
+    drop(lists, listed, *fetched)
     return rows, components
 
 
