@@ -7,47 +7,37 @@ target.
 
 Words and pairs are 64-bit hashes, and neither has a largest number. Pairs leave a task folded and packed by bucket; a pair
 lies in the bucket of its second word, so the bucket knows that word's count, except that pairs of the frequent second
-words are dealt by pair and those words' counts are broadcast. Documents then post the pairs they hold to the buckets, which
-answer with sums of losses; frequent pairs are looked up in a broadcast table instead. What is broadcast is bounded by proof:
-no more than ``HEAD`` words can make up a share of 1 / ``HEAD`` of the corpus each.
-
-A caller that names ``vocabulary`` and ``classes`` gets class bigrams in one table of that size instead: the most frequent
-words are classes of their own, all other words share one. A word's probability is that of its class after the class before
-it, times its share within the class.
+words are dealt by pair and those words' counts are broadcast. A word is the context of the next one wherever it stands, but
+at a text's end; so a pair's loss also carries what its second word adds as a context, and only the last word of each text is
+counted and posted once more. Documents post the pairs they hold to the buckets, which answer with sums of losses; frequent
+pairs are looked up in a broadcast table instead. What is broadcast is bounded by proof: no more than ``HEAD`` words can make
+up a share of 1 / ``HEAD`` of the corpus each.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import slices, staged
+from tracefold.llm.common import drop, slices, staged
 
-VOCABULARY = 50_000  # words at most
-CLASSES = 1024  # the first stands for a text's start, the second for all words without a class of their own
-LONGEST_WORD = 64  # bytes; longer words are unknown
-STRENGTH = 20.0  # what the class's own frequency weighs beside a context's count
-BLOCK = 8192  # cells that are added up together
-HELD = 200_000  # distinct words that a task holds
+STRENGTH = 20.0  # what a word's own frequency weighs beside a context's count
 HEAD = 1 << 18  # words, or pairs, of which each makes up at least this share of all are broadcast
 SLICE = 1_000_000  # tokens whose pairs a task folds together
 SLICE_DOCS = 100_000
 BUCKET = 500_000  # tokens to a bucket of pairs
 CODES_HELD = 400_000  # words whose hashes a worker remembers
-START, CONTEXT = np.uint64(1), np.uint64(2)  # before a text's first word; before a word that is counted as a context
+START, END = np.uint64(1), np.uint64(2)  # before a text's first word; before a word that is counted as a text's last
 _ROWS = "slice long, bucket long, a binary, b binary, c binary, d binary"
 _PACKED = pa.schema([("slice", pa.int64()), ("bucket", pa.int64()), *((x, pa.binary()) for x in "abcd")])
 _codes: dict[bytes, int] = {}
-_WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_RUNS = pa.schema([("block", pa.int64()), ("cells", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,154 +45,16 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[bytes] = Counter()
-
-    def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], schema=_WORDS)
-
-    for batch in slices(batches, "text"):
-        for text in batch.column(0).to_pylist():
-            counts.update(w for w in tokens(text) if len(w) <= LONGEST_WORD)
-        if len(counts) > HELD:
-            yield flush()
-            counts.clear()
-    yield flush()
-
-
-def learn_vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """Words by falling count over all documents, ties by bytes; all words of a count step are in or out."""
-    counted = docs.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # A histogram of count steps, eight to each doubling, tells which steps fit.
-    counted = counted.withColumn("step", F.floor(F.log2("n") * 8).cast("int")).persist()
-    try:
-        fits, least = 0, None
-        for row in counted.groupBy("step").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
-            fits += row["words"]
-            if fits > size:
-                break
-            least = row["step"]
-        if least is None:
-            return []
-        kept = counted.where(F.col("step") >= least).select("word", "n").collect()
-    finally:
-        counted.unpersist()
-    return [bytes(r["word"]) for r in sorted(kept, key=lambda r: (-r["n"], bytes(r["word"])))]
-
-
-class Layout:
-    """Where counts of class pairs and of words lie in one row of cells."""
-
-    def __init__(self, words: list[bytes], classes: int) -> None:
-        self.classes, self.unknown = classes, len(words)
-        self.ids = {w: i for i, w in enumerate(words)}
-        #: Class of each word id, the unknown word's last.
-        self.class_of = np.where(np.arange(len(words) + 1) < min(classes - 2, len(words)), np.arange(len(words) + 1) + 2, 1)
-        self.cells = classes * classes + len(words) + 1
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word ids, class pairs, tokens of each text) of texts one after another."""
-        split = [tokens(t) for t in texts]
-        lengths = np.array([len(s) for s in split], np.int64)
-        ids = np.fromiter((i for s in split for i in map(self.ids.get, s, repeat(self.unknown))), np.int64, int(lengths.sum()))
-        kind = self.class_of[ids]
-        before = np.concatenate(([0], kind[:-1])) if len(kind) else kind
-        before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-        return ids, before * self.classes + kind, lengths
-
-
-def _count_cells(layout):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan: Layout = layout.value
-        counts = np.zeros((2, plan.cells), np.int64)
-        for batch in slices(batches, "text"):
-            ids, pairs, lengths = plan.encode(batch.column(0).to_pylist())
-            wanted = np.repeat(np.array(batch.column(1).to_pylist(), bool), lengths)
-            cells = np.concatenate((pairs, ids + plan.classes**2))
-            np.add.at(counts[1], cells, 1)
-            np.add.at(counts[0], cells[np.concatenate((wanted, wanted))], 1)
-        found = np.flatnonzero(counts[1])
-        cuts = np.flatnonzero(np.diff(found // BLOCK)) + 1
-        rows = [
-            (int(run_[0] // BLOCK), run_.astype("<i8").tobytes(), counts[0][run_].astype("<i8").tobytes(), counts[1][run_].astype("<i8").tobytes())
-            for run_ in np.split(found, cuts) if len(run_)
-        ]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUNS, strict=True)], schema=_RUNS)
-
-    return run
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs in order of their block to one run per block; a task holds one block at a time."""
-    block, held = None, np.zeros((2, BLOCK), np.int64)
-
-    def flush() -> pa.RecordBatch:
-        found = np.flatnonzero(held[1])
-        columns = [[block], [(found + block * BLOCK).astype("<i8").tobytes()], [held[0][found].astype("<i8").tobytes()], [held[1][found].astype("<i8").tobytes()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUNS, strict=True)], schema=_RUNS)
-
-    for batch in batches:
-        for number, cells, target, background in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if number != block:
-                if block is not None:
-                    yield flush()
-                block, held = number, np.zeros((2, BLOCK), np.int64)
-            at = np.frombuffer(cells, "<i8") - number * BLOCK
-            held[0][at] += np.frombuffer(target, "<i8")
-            held[1][at] += np.frombuffer(background, "<i8")
-    if block is not None:
-        yield flush()
-
-
-def count_cells(spark: SparkSession, flagged: DataFrame, layout: Layout) -> np.ndarray:
-    """Target and background counts of every cell, from (text, is_target)."""
-    plan = spark.sparkContext.broadcast(layout)
-    schema = "block long, cells binary, target binary, background binary"
-    runs = flagged.mapInArrow(_count_cells(plan), schema).repartition("block").sortWithinPartitions("block").mapInArrow(_add_up, schema)
-    counts = np.zeros((2, layout.cells), np.int64)
-    for row in runs.collect():
-        at = np.frombuffer(row["cells"], "<i8")
-        counts[0][at], counts[1][at] = np.frombuffer(row["target"], "<i8"), np.frombuffer(row["background"], "<i8")
-    return counts
-
-
-def losses(counts: np.ndarray, layout: Layout, scale: float, strength: float) -> tuple[np.ndarray, np.ndarray]:
-    """(loss of each class pair, loss of each word within its class) in nats."""
-    c = layout.classes
-    pairs, words = counts[: c * c].reshape(c, c) * scale, counts[c * c :] * scale
-    kinds = pairs.sum(0)
-    share = (kinds + 1.0) / (kinds.sum() + c)
-    follow = (pairs + strength * share) / (pairs.sum(1, keepdims=True) + strength)
-    total = np.bincount(layout.class_of, weights=words + 1.0, minlength=c)
-    return -np.log(follow).ravel(), -np.log((words + 1.0) / total[layout.class_of])
-
-
-def _score(model):
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64()),
-    ])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout, tables = model.value
-        for batch in slices(batches, "text"):
-            ids, pairs, lengths = layout.encode(batch.column(1).to_pylist())
-            full = lengths > 0
-            begins = (np.cumsum(lengths) - lengths)[full]
-            columns = []
-            for follow, within in tables:
-                mean = np.full(len(lengths), np.nan)
-                if len(begins):
-                    mean[full] = np.add.reduceat(follow[pairs] + within[ids], begins) / lengths[full]
-                columns.append(mean)
-            columns.append(columns[0] - columns[1])
-            arrays = [pa.array(x.round(9), pa.float64(), mask=~full) for x in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), *arrays], schema=schema)
-
-    return run
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes: small ones leave planes of zeros."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return struct.pack("<I", len(values)) + pa.compress(planes, "zstd", asbytes=True)
 
 
-# -- the model without limits ----------------------------------------------------------------------------------------
+def loosened(data: bytes, kind) -> np.ndarray:
+    n, size = struct.unpack_from("<I", data)[0], np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[4:], n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
 def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,8 +120,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _last_places(lengths: np.ndarray) -> np.ndarray:
+    return (np.cumsum(lengths) - 1)[lengths > 0]
+
+
 def _pair_counts(head, buckets: int):
-    """(text, is_target) to packed counts: each pair, and each word as what comes before another."""
+    """(text, is_target) to packed counts: each pair, and each word as a text's last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -277,25 +133,27 @@ def _pair_counts(head, buckets: int):
         def flush() -> pa.RecordBatch:
             words, before, wanted = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            before, words = np.concatenate((before, np.full(len(words), CONTEXT))), np.concatenate((words, before))
             keys = pair_keys(before, words)
             order = np.argsort(keys, kind="stable")
             begins = _first_of(keys[order])
             if not len(begins):
                 return _packed_rows([])
             every = np.diff(np.append(begins, len(keys)))
-            target = np.add.reduceat(np.concatenate((wanted, wanted))[order].astype(np.int64), begins)
+            target = np.add.reduceat(wanted[order].astype(np.int64), begins)
             first = order[begins]
             before, words = before[first], words[first]
             bucket = _bucket_of(keys[first], words, head.value, buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((words, bucket))  # equal words side by side
             cuts = _first_of(bucket[order])
             parts = [np.split(x[order], cuts[1:]) for x in (before, words, target, every)]
-            return _packed_rows([(0, int(n), *(x.tobytes() for x in row)) for n, *row in zip(bucket[order][cuts], *parts, strict=True)])
+            return _packed_rows([(0, int(n), *(squeezed(x) for x in row)) for n, *row in zip(bucket[order][cuts], *parts, strict=True)])
 
         for batch in slices(batches, "text"):
             words, before, lengths = coded(batch.column(0).to_pylist())
-            held.append((words, before, np.repeat(np.array(batch.column(1).to_pylist(), bool), lengths)))
+            wanted, last = np.array(batch.column(1).to_pylist(), bool), _last_places(lengths)
+            held.append((
+                np.concatenate((words, words[last])), np.concatenate((before, np.full(len(last), END))), np.concatenate((np.repeat(wanted, lengths), wanted[lengths > 0])),
+            ))
             if sum(len(h[0]) for h in held) > SLICE:
                 yield flush()
         if held:
@@ -305,21 +163,20 @@ def _pair_counts(head, buckets: int):
 
 
 def _pair_arrays(row: tuple) -> tuple[np.ndarray, ...]:
-    return *(np.frombuffer(x, np.uint64) for x in row[:2]), *(np.frombuffer(x, np.int64) for x in row[2:])
+    return *(loosened(x, np.uint64) for x in row[:2]), *(loosened(x, np.int64) for x in row[2:])
 
 
 def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets, in order, to one row each, by ascending key."""
+    """Buckets, in order, to one row each, by ascending word."""
     number, held = None, []
 
     def close() -> pa.RecordBatch:
         before, words, target, every = (np.concatenate(c) for c in zip(*held, strict=True))
-        keys = pair_keys(before, words)
-        order = np.argsort(keys, kind="stable")
-        begins = _first_of(keys[order])
+        order = np.lexsort((pair_keys(before, words), words))
+        begins = _first_of(pair_keys(before, words)[order])
         first = order[begins]
         columns = before[first], words[first], np.add.reduceat(target[order], begins), np.add.reduceat(every[order], begins)
-        return _packed_rows([(0, number, *(c.tobytes() for c in columns))])
+        return _packed_rows([(-1, number, *(squeezed(c) for c in columns))])
 
     for batch in batches:
         for _, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -333,49 +190,58 @@ def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _head_totals(head):
-    """Counts of the frequent words in a task's buckets, and under no word the tokens of the target."""
-    schema = pa.schema([("word", pa.int64()), ("target", pa.int64()), ("every", pa.int64())])
+    """Counts of the frequent words in a task's buckets, as any word and as a text's last; under no word those of all."""
+    names = ("target", "every", "target_ends", "every_ends")
+    schema = pa.schema([("word", pa.int64()), *((n, pa.int64()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, tokens_ = np.zeros((2, len(head.value)), np.int64), np.zeros(2, np.int64)
+        totals, sums = np.zeros((4, len(head.value)), np.int64), np.zeros(4, np.int64)
         for batch in batches:
             for _, _, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 before, words, *counts = _pair_arrays(row)
-                real = before != CONTEXT
+                real = before != END
                 at, known = _find(head.value, words)
-                for total, sums, n in zip(totals, range(2), counts, strict=True):
-                    np.add.at(total, at[known & real], n[known & real])
-                    tokens_[sums] += n[real].sum()
-        found = np.flatnonzero(totals[1])
+                for i, (n, kind) in enumerate((n, kind) for kind in (real, ~real) for n in counts):
+                    np.add.at(totals[i], at[known & kind], n[known & kind])
+                    sums[i] += n[kind].sum()
+        found = np.flatnonzero(totals.any(axis=0))
         words = pa.array([None, *head.value[found].view(np.int64).tolist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([words, *(pa.array(np.append(n, t[found])) for n, t in zip(tokens_, totals, strict=True))], schema=schema)
+        yield pa.RecordBatch.from_arrays([words, *(pa.array(np.append(n, t[found])) for n, t in zip(sums, totals, strict=True))], schema=schema)
 
     return run
 
 
-def _pair_losses(model, hot: bool):
-    """Buckets of counts to what each key adds to a text's loss: (keys, under the target, under the background).
+def _values(model: tuple, row: tuple) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(keys, what each adds to a text's loss under both models, how often it is met) of a bucket's counts.
 
-    A pair adds the negative logarithm of its smoothed count, a context that of the sum which this is divided by. ``hot``
-    keeps the frequent keys only.
+    A pair adds the negative logarithm of its smoothed count, and that of what the loss of the next word is divided by;
+    a last word takes the latter back.
     """
+    head, head_counts, head_ends, sizes, scales, kinds, strength, _ = model
+    before, words, *counts = _pair_arrays(row)
+    keys, real = pair_keys(before, words), before != END
+    at, known = _find(head, words)
+    _, local = np.unique(words, return_inverse=True)
+    added = []
+    for n, of_head, last_of_head, size, scale in zip(counts, head_counts, head_ends, sizes, scales, strict=True):
+        single, ends = np.bincount(local, weights=n * real)[local], np.bincount(local, weights=n * ~real)[local]
+        if len(head):
+            single, ends = np.where(known, of_head[at], single), np.where(known, last_of_head[at], ends)
+        share = (single * scale + 1.0) / (size * scale + kinds)
+        context = np.log((single - ends) * scale + strength)
+        added.append(np.where(real, context - np.log(n * scale + strength * share), -context))
+    return keys, added, counts[1]
+
+
+def _frequent(model):
+    """Buckets of counts to what their frequent keys add: (keys, under the target, under the background)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, head_counts, sizes, scales, kinds, strength, least = model.value
         for batch in batches:
             rows = []
             for _, bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                before, words, *counts = _pair_arrays(row)
-                keys, real = pair_keys(before, words), before != CONTEXT
-                at, known = _find(head, words)
-                _, local = np.unique(words, return_inverse=True)
-                added = []
-                for n, of_head, size, scale in zip(counts, head_counts, sizes, scales, strict=True):
-                    own = np.bincount(local, weights=n * real)[local]
-                    single = np.where(known, of_head[at], own) if len(head) else own
-                    share = (single * scale + 1.0) / (size * scale + kinds)
-                    added.append(np.where(real, -np.log(n * scale + strength * share), np.log(n * scale + strength)))
-                keep = counts[1] >= least if hot else np.ones(len(keys), bool)
+                keys, added, every = _values(model.value, row)
+                keep = every >= model.value[-1]
                 if keep.any():
                     rows.append((-1, bucket, keys[keep].tobytes(), *(x[keep].tobytes() for x in added), None))
             yield _packed_rows(rows)
@@ -383,11 +249,12 @@ def _pair_losses(model, hot: bool):
     return run
 
 
-def _post(head, hot, buckets: int):
+def _post(head, hot, first: tuple[float, float], buckets: int):
     """(doc_id, text) to a row of each slice's documents (under bucket -1), with losses of their frequent pairs, and its postings.
 
-    Documents: ids, which of them are null, tokens, sums under both models. Postings: keys, documents of each key, the
-    documents' places in the slice, how often the key is in them.
+    Documents: ids, which of them are null, tokens, sums under both models, in which ``first`` stands for the context of a
+    text's first word. Postings: keys, documents of each key, the documents' places in the slice, how often the key is in
+    them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,17 +266,17 @@ def _post(head, hot, buckets: int):
             nonlocal number
             words, before, lengths = (np.concatenate(c) for c in zip(*held, strict=True))
             name, number = (part << 32) + number, number + 1
-            doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
-            before, words, doc = np.concatenate((before, np.full(len(words), CONTEXT))), np.concatenate((words, before)), np.concatenate((doc, doc))
+            doc, last = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths), _last_places(lengths)
+            before, words, doc = np.concatenate((before, np.full(len(last), END))), np.concatenate((words, words[last])), np.concatenate((doc, doc[last]))
             keys = pair_keys(before, words)
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys, kind="stable")  # documents of a key stay in order
             keys, doc, words = keys[order], doc[order], words[order]
             begins = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])))) if len(keys) else np.zeros(0, np.int64)
             often = np.diff(np.append(begins, len(keys))).astype(np.uint32)
             keys, doc, words = keys[begins], doc[begins], words[begins]
             table, *losses_ = hot.value
             at, known = _find(table, keys)
-            sums = np.array([np.bincount(doc[known], weights=x[at[known]] * often[known], minlength=len(lengths)) for x in losses_])
+            sums = np.array([np.bincount(doc[known], weights=x[at[known]] * often[known], minlength=len(lengths)) + (lengths > 0) * f for x, f in zip(losses_, first, strict=True)])
             no_id = np.array([i is None for i in ids])
             rows = [(name, -1, np.array([i or 0 for i in ids], np.int64).tobytes(), no_id.tobytes(), lengths.tobytes(), sums.tobytes())]
             keys, doc, words, often = (x[~known] for x in (keys, doc, words, often))
@@ -420,7 +287,7 @@ def _post(head, hot, buckets: int):
                 mine = order[begin:end]
                 firsts = _first_of(keys[mine])
                 each = np.diff(np.append(firsts, len(mine))).astype(np.uint32)
-                rows.append((name, int(bucket[mine[0]]), keys[mine][firsts].tobytes(), each.tobytes(), doc[mine].tobytes(), often[mine].tobytes()))
+                rows.append((name, int(bucket[mine[0]]), *(squeezed(x) for x in (keys[mine][firsts], each, doc[mine], often[mine]))))
             ids.clear()
             held.clear()
             return _packed_rows(rows)
@@ -436,23 +303,29 @@ def _post(head, hot, buckets: int):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets, in order, their losses before their postings, to sums of each posting's documents."""
-    number = table = None
-    for batch in batches:
-        rows = []
-        for name, bucket, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            if name < 0:
-                number, table = bucket, (np.frombuffer(a, np.uint64), np.frombuffer(b), np.frombuffer(c))
-                continue
-            keys, each, doc, often = np.frombuffer(a, np.uint64), *(np.frombuffer(x, np.uint32) for x in (b, c, d))
-            at, known = _find(table[0], keys) if bucket == number else (None, np.zeros(1, bool))
-            if not known.all():
-                raise ValueError("a pair of a document was not counted")
-            docs, local = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(local, weights=np.repeat(x[at], each) * often) for x in table[1:]]
-            rows.append((name, bucket, docs.tobytes(), *(x.tobytes() for x in sums), None))
-        yield _packed_rows(rows)
+def _answer(model):
+    """Buckets, in order, their counts before their postings, to sums of each posting's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = table = None
+        for batch in batches:
+            rows = []
+            for name, bucket, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if name < 0:
+                    keys, added, _ = _values(model.value, row)
+                    order = np.argsort(keys)
+                    number, table = bucket, (keys[order], *(x[order] for x in added))
+                    continue
+                keys, each, doc, often = loosened(row[0], np.uint64), *(loosened(x, np.uint32) for x in row[1:])
+                at, known = _find(table[0], keys) if bucket == number else (None, np.zeros(1, bool))
+                if not known.all():
+                    raise ValueError("a pair of a document was not counted")
+                docs, local = np.unique(doc, return_inverse=True)
+                sums = [np.bincount(local, weights=np.repeat(x[at], each) * often) for x in table[1:]]
+                rows.append((name, bucket, squeezed(docs), *(x.tobytes() for x in sums), None))
+            yield _packed_rows(rows)
+
+    return run
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,67 +350,57 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lengths = np.frombuffer(c, np.int64)
                 open_ = np.frombuffer(a, np.int64), np.frombuffer(b, bool), lengths, np.frombuffer(d).reshape(2, -1).copy()
             else:
-                open_[3][:, np.frombuffer(a, np.uint32)] += np.array([np.frombuffer(b), np.frombuffer(c)])
+                open_[3][:, loosened(a, np.uint32)] += np.array([np.frombuffer(b), np.frombuffer(c)])
     if open_:
         yield close()
 
 
-def _unlimited(slim: DataFrame, flagged: DataFrame, strength: float, head: int) -> DataFrame:
-    spark = slim.sparkSession
-    counted = slim.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = staged(counted, "lm-words")
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, strength: float = STRENGTH, head: int = HEAD) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score (target less background) of every row of (doc_id, text).
+
+    ``target`` has the doc_id of each target document, once, and ``is_target``; all documents are the background. Losses
+    are nats per token, rounded to nine places, and null for texts without a token, null texts included. Repeated
+    rows and rows with a null id are scored each, and a null id is never a target. An empty table gives no rows; with
+    no target both models are even. Other columns are not read, whatever their names. Every word and pair counts; ``head``
+    steers how the work is spread, not what comes out.
+    """
+    spark = docs.sparkSession
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    flagged = slim.join(target.select("doc_id", "is_target").hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    counted = staged(slim.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total, kinds = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(1, -(-total // head))
     words = counted.where(F.col("n") >= least).select("word").collect()
+    drop(counted)
     frequent = np.sort(np.array([r["word"] for r in words], np.int64).view(np.uint64))
     known, buckets = spark.sparkContext.broadcast(frequent), total // BUCKET + 1
 
     runs = flagged.mapInArrow(_pair_counts(known, buckets), _ROWS)
     pairs = staged(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_add_pairs, _ROWS), "lm-pairs")
-    totals = pairs.mapInArrow(_head_totals(known), "word long, target long, every long").groupBy("word").agg(F.sum("target").alias("t"), F.sum("every").alias("b"))
-    counts, sizes = np.zeros((2, len(frequent))), [0, 0]
+    sums = {n: F.sum(n).alias(n) for n in ("target", "every", "target_ends", "every_ends")}
+    totals = pairs.mapInArrow(_head_totals(known), "word long, target long, every long, target_ends long, every_ends long").groupBy("word").agg(*sums.values())
+    counts, sizes = np.zeros((4, len(frequent))), [0] * 4
     for row in totals.collect():
         if row["word"] is None:
-            sizes = [row["t"], row["b"]]
+            sizes = [row[n] or 0 for n in sums]
         else:
-            counts[:, np.searchsorted(frequent, np.int64(row["word"]).view(np.uint64))] = row["t"], row["b"]
-    scale = sizes[0] / sizes[1] if sizes[0] else 0.0
-    # As classes, the text's start and the words without a class of their own count too.
-    model = spark.sparkContext.broadcast((frequent, counts, sizes, (1.0, scale), kinds + 2, strength, least))
+            counts[:, np.searchsorted(frequent, np.int64(row["word"]).view(np.uint64))] = [row[n] for n in sums]
+    scales = (1.0, sizes[0] / sizes[1] if sizes[0] else 0.0)
+    # The text's start, and words that neither corpus has, count too.
+    model = spark.sparkContext.broadcast((frequent, counts[:2], counts[2:], sizes[:2], scales, kinds + 2, strength, least))
+    first = tuple(float(np.log(n * scale + strength)) for n, scale in zip(sizes[2:], scales, strict=True))
 
-    rows = pairs.mapInArrow(_pair_losses(model, True), _ROWS).select("a", "b", "c").collect()
+    rows = pairs.mapInArrow(_frequent(model), _ROWS).select("a", "b", "c").collect()
     keys, *added = (np.frombuffer(b"".join(bytes(r[c]) for r in rows), kind) for c, kind in (("a", np.uint64), ("b", float), ("c", float)))
     order = np.argsort(keys)
     hot = spark.sparkContext.broadcast((keys[order], *(x[order] for x in added)))
 
-    posted = staged(slim.mapInArrow(_post(known, hot, buckets), _ROWS), "lm-postings")
-    asked = pairs.mapInArrow(_pair_losses(model, False), _ROWS).unionByName(posted.where("bucket >= 0")).repartition(buckets, "bucket")
-    answers = asked.sortWithinPartitions("bucket", "slice").mapInArrow(_answer, _ROWS)
-    placed = posted.where("bucket < 0").unionByName(answers).repartition("slice").sortWithinPartitions("slice", "bucket")
-    return placed.mapInArrow(_finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(
-    docs: DataFrame, target: DataFrame, vocabulary: int | None = None, classes: int | None = None, strength: float = STRENGTH, head: int = HEAD
-) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score (target less background) of every row of (doc_id, text).
-
-    ``target`` has the doc_id of each target document, once, and ``is_target``; all documents are the background. Losses
-    are nats per token, rounded to nine places, and null for texts without a token, null texts included. Repeated
-    rows and rows with a null id are scored each, and a null id is never a target. An empty table gives no rows; with
-    no target both models are even. Other columns are not read. Every word and pair counts unless ``vocabulary`` or
-    ``classes`` is named; ``head`` steers how the work is spread, not what comes out.
-    """
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flagged = slim.join(target.select("doc_id", "is_target").hint("merge"), "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    if vocabulary is None and classes is None:
-        return _unlimited(slim, flagged, strength, head)
-    classes = classes or CLASSES
-    layout = Layout(learn_vocabulary(slim, vocabulary or VOCABULARY), classes)
-    counts = count_cells(spark, flagged, layout)
-    sizes = counts[:, classes * classes :].sum(1)
-    scale = float(sizes[0]) / float(sizes[1]) if sizes[0] else 0.0
-    tables = [losses(counts[0], layout, 1.0, strength), losses(counts[1], layout, scale, strength)]
-    model = spark.sparkContext.broadcast((layout, tables))
-    return slim.mapInArrow(_score(model), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    posted = staged(slim.mapInArrow(_post(known, hot, first, buckets), _ROWS), "lm-postings")
+    asked = pairs.unionByName(posted.where("bucket >= 0")).repartition(buckets, "bucket")
+    answers = asked.sortWithinPartitions("bucket", "slice").mapInArrow(_answer(model), _ROWS)
+    answered = staged(posted.where("bucket < 0").unionByName(answers), "lm-answers")
+    drop(pairs, posted)
+    placed = answered.repartition("slice").sortWithinPartitions("slice", "bucket")
+    scored = staged(placed.mapInArrow(_finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double"), "lm-scores")
+    drop(answered)
+    return scored
