@@ -14,6 +14,7 @@ from tracefold.plans.catalog.given_sql import ACT, RES
 from tracefold.session import ensure_checkpoint_dir
 from tracefold.sources import given_tables as g
 from tracefold.streaming import captures as sc
+from tracefold.streaming.silence import session_states, source_states
 
 
 def work_dir(spark, name: str) -> str:
@@ -161,3 +162,38 @@ def _module_failures(spark, sf):
     state = base.select(key.alias("module"), (key % 4).alias("failure_count"), F.lit(None).cast("timestamp").alias("retry_at"), F.lit("unknown").alias("access_status"))
     results = base.where(key % 3 != 0).select(key.alias("module"), (key % 3 == 2).alias("ok"), F.lit("permission").alias("category"), F.lit(0).alias("retry_after_ms"))
     return sc.module_failures(state, results, F.lit("2024-01-01").cast("timestamp"))
+
+
+# --- silence -------------------------------------------------------------------------------------
+def landed_out_of_order(spark, sf, key):
+    """Events landed in blocks of six days, every fifth one block late, and one far event that lets the watermark pass all."""
+    path = work_dir(spark, "landed")
+    rows = g.read(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("captured_at"), key)
+    day = F.datediff("captured_at", F.lit("2024-01-01"))
+    rows = rows.withColumn("block", F.floor(day / 6) + (F.col("event_id") % 5 == 0).cast("int"))
+    last = rows.agg(F.max("captured_at").alias("at"), F.max("block").alias("block")).first()
+    end = rows.limit(1).withColumn("captured_at", F.lit(last.at) + F.make_interval(years=F.lit(1))).withColumn("event_id", F.lit(-1).cast(rows.schema["event_id"].dataType))
+    end = end.withColumn(rows.columns[2], F.lit("~end"))
+    for block in range(last.block + 1):
+        rows.where(F.col("block") == block).repartition(4).write.mode("append").parquet(path)
+    end.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+def silence_sql(key: str, label: str, wait: str, quiet: str, active: str) -> str:
+    return f"""
+WITH e AS (SELECT {key} AS {label}, ts, lag(ts) OVER w AS prev, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY {key} ORDER BY ts, event_id))
+SELECT {label}, '{quiet}' AS state, ts + INTERVAL {wait} AS at, ts AS last_seen FROM e WHERE next IS NULL OR next >= ts + INTERVAL {wait}
+UNION ALL SELECT {label}, '{active}', ts, ts FROM e WHERE ts >= prev + INTERVAL {wait}"""
+
+
+@query("stream_session_states", silence_sql("'u' || user_id", "session_id", "2 HOUR", "ready", "reopened"))
+def _stream_session_states(spark, sf):
+    stream = landed_out_of_order(spark, sf, F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"))
+    return drain(session_states(stream, delay="13 days"), spark, "session-states").where("session_id <> '~end'")
+
+
+@query("stream_source_states", silence_sql("event_type || (user_id % 40)", "source", "36 HOUR", "stale", "fresh"))
+def _stream_source_states(spark, sf):
+    stream = landed_out_of_order(spark, sf, F.concat("event_type", (F.col("user_id") % 40).cast("string")).alias("source"))
+    return drain(source_states(stream, delay="13 days"), spark, "source-states").where("source <> '~end'")
