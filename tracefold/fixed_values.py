@@ -170,7 +170,7 @@ PROOF_LABELS = {"independent": "独立验证", "target-present": "目标存在",
 KIND_LABELS = {
     "git-commit": "Git 提交", "knowledge-note": "知识笔记", "file-deliverable": "关联文件", "completion-report": "完成报告",
 }
-FILE_TITLE_CHARS, FILE_TITLE_ELLIPSIS, FILE_TITLE_FALLBACK = 96, "…", "未命名成果"
+FILE_TITLE_CHARS, FILE_TITLE_SUFFIX, FILE_TITLE_FALLBACK = 96, "（完整标题见正文）", "未命名成果"
 
 # --- fixed values: managed notes -----------------------------------------------------------------
 #: Front-matter keys the generator owns, in their order.

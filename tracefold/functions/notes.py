@@ -179,14 +179,14 @@ def safe_url(value: Column) -> Column:
 
 
 def readable_file_title(title: Column) -> Column:
-    """Title usable as a file name, at most 96 characters."""
+    """Title usable as a file name: at most 96 characters, the last of which say so where it was longer."""
     value = F.regexp_replace(title, "<!--|-->", " ")
     value = F.regexp_replace(value, r'[<>:"/\\|?*\u0000-\u001f\[\]#^`]', " ")
     value = collapse_ws(F.regexp_replace(value, "[*_~]+", " "))
     value = trim_ws(F.regexp_replace(value, rf"^[.\s-]+|[.\s-]+$", ""))
     value = F.coalesce(blank_to_null(value), F.lit(fv.FILE_TITLE_FALLBACK))
     return F.when(F.length(value) <= fv.FILE_TITLE_CHARS, value).otherwise(
-        F.concat(F.substring(value, 1, fv.FILE_TITLE_CHARS - 1), F.lit(fv.FILE_TITLE_ELLIPSIS))
+        F.concat(F.substring(value, 1, fv.FILE_TITLE_CHARS - len(fv.FILE_TITLE_SUFFIX)), F.lit(fv.FILE_TITLE_SUFFIX))
     )
 
 

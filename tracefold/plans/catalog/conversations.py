@@ -361,9 +361,10 @@ def _concise_title(spark, sf):
     return g.read(spark, sf, "documents").select("doc_id", concise_title(F.col("text"), "Untitled").alias("title"))
 
 
-@query("meaningful_prompt_text", None)
+@query("meaningful_prompt_text", f"""
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(nullif(regexp_replace(replace(text, chr(10), ' '), '^{SPACE}+|{SPACE}+$', '', 'g'), ''), 'ask') END AS request FROM documents""")
 def _meaningful_prompt_text(spark, sf):
-    marked = F.concat(F.lit("# Browser comments:\n## Comment 1\nComment:\n"), F.substring_index("text", "\n", 1), F.lit("\n\n## My request for Codex:\nask"))
+    marked = F.concat(F.lit("# Browser comments:\n## Comment 1\nComment:\n"), F.translate("text", "\n", " "), F.lit("\n\n## My request for Codex:\nask"))
     return g.read(spark, sf, "documents").select("doc_id", meaningful_prompt(marked).alias("request"))
 
 

@@ -124,7 +124,11 @@ def _result_summary(spark, sf):
     return docs(spark, sf).select("doc_id", x.result_summary(report).alias("summary"))
 
 
-@query("readable_file_title", None)
+@query("readable_file_title", f"""
+WITH a AS (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<!--|-->', ' ', 'g'), '[<>:"/\\\\|?*\\x00-\\x1f\\[\\]#^`]', ' ', 'g'), '[*_~]+', ' ', 'g'), '{SPACE}+', ' ', 'g')) AS v FROM documents
+), b AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(v, '^[. -]+|[. -]+$', '', 'g')), ''), '未命名成果') AS v FROM a)
+SELECT doc_id, CASE WHEN length(v) <= 96 THEN v ELSE substr(v, 1, 87) || '（完整标题见正文）' END AS name FROM b""")
 def _readable_file_title(spark, sf):
     return docs(spark, sf).select("doc_id", n.readable_file_title(F.col("text")).alias("name"))
 

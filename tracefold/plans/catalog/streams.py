@@ -98,7 +98,11 @@ def _stream_pairs(spark, sf):
     return drain(sc.stream_pairs(event_captures(spark, sf)).select("prompt_id", "stop_id"), spark, "pairs")
 
 
-@query("stream_quiet_sessions", None)
+@query("stream_quiet_sessions", """
+WITH e AS (SELECT 'u' || user_id AS session_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
+runs AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS run FROM e)
+SELECT session_id, min(ts) AS first_seen, max(ts) AS last_seen, max(ts) + INTERVAL 2 HOUR AS quiet_until, count(*) AS events FROM runs GROUP BY session_id, run
+HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def _stream_quiet_sessions(spark, sf):
     return drain(sc.close_quiet_sessions(event_captures(spark, sf)), spark, "quiet")
 
