@@ -538,11 +538,13 @@ def _pairs_apart(lists: DataFrame, components: DataFrame, maps: DataFrame) -> Da
     Pairs are formed in the task, block by block, and only those that may link leave it.
     """
     apart = staged(_labelled(lists, components), "apart")
-    full = apart.join(_main(apart).drop("rep"), "shingle").join(maps, "ent")
-    blocks = _blocks(full.select("shingle", "ent", "n", "pos", "comp", "map", "main")).select("shingle", "sub", "query", "ent", "n", "comp", "map")
+    full = staged(apart.join(_main(apart).drop("rep"), "shingle").select("shingle", "ent", "n", "pos", "comp", "main"), "apart-full")
+    # Maps are a multiple of all else: they join once, when each row's blocks are known.
+    placed = staged(_blocks(full), "apart-blocks")
+    blocks = placed.join(maps, "ent").select("shingle", "sub", "query", "ent", "n", "comp", "map")
     found = blocks.repartition("shingle", "sub").sortWithinPartitions("shingle", "sub", F.desc("query")).mapInArrow(_viable_pairs, "a long, b long")
     pairs = staged(found.distinct(), "pairs")
-    drop(apart)
+    drop(apart, full, placed)
     return pairs
 
 
