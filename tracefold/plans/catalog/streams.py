@@ -14,6 +14,7 @@ from tracefold.plans.catalog.given_sql import ACT, RES
 from tracefold.session import ensure_checkpoint_dir
 from tracefold.sources import given_tables as g
 from tracefold.streaming import captures as sc
+from tracefold.streaming.pairing import paired_turns, stream_turns
 from tracefold.streaming.silence import session_states, source_states
 
 
@@ -98,6 +99,16 @@ def _stream_pairs(spark, sf):
     return drain(sc.stream_pairs(event_captures(spark, sf)).select("prompt_id", "stop_id"), spark, "pairs")
 
 
+@query("stream_turns", """
+WITH e AS (SELECT event_type AS source, 'u' || user_id AS session_id, 't' || ((event_id // 2) % 40) AS turn_id, 'v' || (event_id // 2) AS id, CAST(ts AS TIMESTAMP) AS ts, event_id % 2 = 0 AS asks FROM events)
+SELECT source, session_id, turn_id, arg_min(id, (ts, id)) FILTER (asks) AS prompt_id, arg_max(id, (ts, id)) FILTER (NOT asks) AS stop_id FROM e GROUP BY ALL
+HAVING count(*) FILTER (NOT asks) > 0""")
+def _stream_turns(spark, sf):
+    """Every turn that has an answer; questions still waiting are told by a timer, which a drained stream does not reach."""
+    rows = drain(stream_turns(event_captures(spark, sf)), spark, "turns")
+    return paired_turns(rows).where(F.col("stop_id").isNotNull()).select("source", "session_id", "turn_id", "prompt_id", "stop_id")
+
+
 @query("stream_quiet_sessions", """
 WITH e AS (SELECT 'u' || user_id AS session_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
 runs AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS run FROM e)
