@@ -57,11 +57,11 @@ def leaf_digest(values: list[Column]) -> Column:
 # ------------------------------------------------------------------------------------------------ trees in a task
 
 
-def grow_block(leaves: list[bytes], whole: bool) -> Node:
-    """The root of an aligned block: a block that is part of a longer row of nodes always climbs ``BLOCK_LEVELS``."""
+def grow_block(leaves: list[bytes], whole: bool, levels: int = BLOCK_LEVELS) -> Node:
+    """The root of an aligned block: a block that is part of a longer row of nodes always climbs ``levels``."""
     level: list[Node] = [(d, ()) for d in leaves]
     height = 0
-    while (len(level) > 1) if whole else (height < BLOCK_LEVELS):
+    while (len(level) > 1) if whole else (height < levels):
         level = [(digest(b"".join([d for d, _ in run])), run) for run in _runs_of(level)]
         height += 1
     return level[0]
@@ -161,9 +161,10 @@ def _climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for block in _blocks(batches):
-        n = block["n"][0].as_py()
-        root = grow_block(_hexes(block["d"]), n <= BLOCK)[0]
-        rows.append((block["g"][0].as_py(), block["block"][0].as_py(), -(-n // BLOCK), bytes.fromhex(root.decode())))
+        n, levels = block["n"][0].as_py(), block["levels"][0].as_py()
+        size = ARITY**levels
+        root = grow_block(_hexes(block["d"]), n <= size, levels)[0]
+        rows.append((block["g"][0].as_py(), block["block"][0].as_py(), -(-n // size), bytes.fromhex(root.decode())))
         if len(rows) >= _FLUSH:
             yield take()
     if rows:
@@ -189,9 +190,10 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, nodes = block.slice(0, 1).to_pylist()[0], block.slice(1)
         above = [s.encode() for s in head["path"]]
         leaves, changed = _hexes(nodes["d"]), _hexes(nodes["changed"])
-        root = grow_block(leaves, nodes["n"][0].as_py() <= BLOCK)
+        size = ARITY ** head["levels"]
+        root = grow_block(leaves, nodes["n"][0].as_py() <= size, head["levels"])
         height = height_of(root)
-        first = head["block"] * BLOCK
+        first = head["block"] * size
         held["id"] += nodes["id"].chunks
         for place, path in enumerate(sibling_paths(root, above)):
             if changed[place] is None:
@@ -230,7 +232,8 @@ def _placed(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "pos")
+    """Rows by block; each tells the height of blocks, as a task's worker may have been started under another one."""
+    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "pos").withColumn("levels", F.lit(BLOCK_LEVELS))
 
 
 def _block_of(pos: str = "pos") -> Column:
