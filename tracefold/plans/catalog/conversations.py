@@ -10,6 +10,7 @@ from tracefold.functions.text import (
     classify_status, concise_summary, concise_title, is_automation, is_direct_completion, meaningful_prompt,
 )
 from tracefold.operators import turns as u
+from tracefold.operators.common import spread
 from tracefold.plans.catalog import query, with_ctes
 from tracefold.plans.catalog.given_sql import REC, RES, TITLES
 from tracefold.sources import captures as c
@@ -365,7 +366,7 @@ def _concise_title(spark, sf):
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(nullif(regexp_replace(replace(text, chr(10), ' '), '^{SPACE}+|{SPACE}+$', '', 'g'), ''), 'ask') END AS request FROM documents""")
 def _meaningful_prompt_text(spark, sf):
     marked = F.concat(F.lit("# Browser comments:\n## Comment 1\nComment:\n"), F.translate("text", "\n", " "), F.lit("\n\n## My request for Codex:\nask"))
-    return g.read(spark, sf, "documents").select("doc_id", meaningful_prompt(marked).alias("request"))
+    return spread(g.read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", meaningful_prompt(marked).alias("request"))
 
 
 __all__ = ["fv", "PAIRS", "TURNS", "STATUS", "SPACE", "cut", "squash"]
