@@ -142,7 +142,8 @@ def topic_results_at(v: Column, path: str) -> Column:
 
 def parse_run_history(files: DataFrame, text: str = "value", path: str = "path") -> tuple[DataFrame, DataFrame]:
     """Structured run files, one JSON object per row, to typed runs and errors."""
-    rows = files.withColumn("v", F.try_parse_json(text))
+    # Parsed once: a filter that is pushed below the projection would parse the text again for every field it asks for.
+    rows = evaluate_once(files, [path], F.try_parse_json(text).alias("v"))
     v = F.col("v")
     ok = F.coalesce(
         is_object(v) & text_at(v, "$.run_id").isNotNull() & text_at(v, "$.started_at").isNotNull() & _status(v).isNotNull(), F.lit(False)
