@@ -1,6 +1,7 @@
 """Rows ahead of work on texts are dealt evenly, and JSON is parsed once a row."""
 
 from tracefold.operators.common import spread
+from tracefold.sources.captures import parse_producer_lines
 from tracefold.sources.ledger_files import parse_run_history
 
 
@@ -23,3 +24,9 @@ def test_run_files_are_parsed_once(spark):
     runs, _ = parse_run_history(spark.createDataFrame([("h/1", "{}")], "path string, value string"))
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(value") + plan.count("parse_json(value") <= 1
+
+
+def test_producer_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([("{}", "f", 1)], "value string, source_path string, source_line int")
+    kept = parse_producer_lines(lines).where("type = 'session_meta' and turn_id is not null")
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("parseJson(value") == 1

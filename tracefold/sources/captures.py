@@ -134,7 +134,7 @@ def supported_versions(df: DataFrame, minors: list[int] | None = None, column: s
 
 def parse_producer_lines(lines: DataFrame) -> DataFrame:
     """Producer log lines to flat columns."""
-    rows = lines.withColumn("v", F.try_parse_json("value"))
+    rows = evaluate_once(lines, ["source_path", "source_line"], F.try_parse_json("value").alias("v"))
     v = F.col("v")
     clean = lambda path: F.when(trim_ws(json_string(v, path)) != "", trim_ws(json_string(v, path)).substr(1, 1000))
     sub = F.try_variant_get(v, "$.payload.source.subagent", "string")
