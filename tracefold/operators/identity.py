@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracefold import fixed_values as fv
 from tracefold.functions.text import strip_copy_suffix
 from tracefold.functions.topics import work_identifier
+from tracefold.session import cut_lineage
 
 
 def encode_component(value: Column) -> Column:
@@ -104,16 +105,19 @@ def explicit_identities(events: DataFrame) -> DataFrame:
     rows = _task_rows(events).select(
         "id", "task_key", "project_key", "title", "kind", "occurred_at", work_identifier(said).alias("named"),
         F.transform("source_refs", lambda r: r["type"]).alias("types"),
-    ).where(F.col("named").isNotNull())
+    )
+    rows = cut_lineage(rows, "identities").where(F.col("named").isNotNull())  # texts are searched once, before rows are chosen
     rows = rows.withColumn("identity", F.concat_ws(":", "project_key", "named"))
     at = F.struct("occurred_at", "id")
+    # Whether there are two is told by the ends, so that map tasks fold an identity to one row however many tasks it has.
+    ends = [F.min("task_key").alias("task_low"), F.max("task_key").alias("task_high"), F.min(F.array_min("types")).alias("type_low"), F.max(F.array_max("types")).alias("type_high")]
+    several = F.coalesce(F.col("type_low") != F.col("type_high"), F.lit(False)) | (F.col("type_low").isNotNull() & F.coalesce("unnamed", F.lit(False)))
     groups = rows.groupBy("identity").agg(
-        F.count_distinct("task_key").alias("tasks"),
-        F.size(F.array_distinct(F.flatten(F.collect_set("types")))).alias("sources"),  # few combinations of few kinds
+        *ends, F.bool_or(F.exists("types", lambda t: t.isNull())).alias("unnamed"),
         F.min(F.when(F.col("kind") == "task_started", at))["id"].alias("first_start"),
         F.min_by("title", F.struct(~F.array_contains("types", "codex"), "occurred_at", "id")).alias("new_title"),
         F.min(at).alias("first_seen"),
-    ).where((F.col("tasks") >= 2) & (F.col("sources") >= 2))
+    ).where((F.col("task_low") != F.col("task_high")) & several).select("identity", "first_start", "new_title", "first_seen")
     members = rows.select("identity", "task_key").distinct().join(groups, "identity")
     # A task that names several ids follows the one seen last.
     pick = F.max_by(F.struct("identity", "new_title", "first_start"), F.struct("first_seen", "identity"))
