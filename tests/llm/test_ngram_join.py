@@ -191,3 +191,28 @@ def test_components_of_lists_in_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
     df = spark.createDataFrame(rows(), SCHEMA).repartition(6)
     assert sorted((tuple(r) for r in ngram_components(df).collect()), key=repr) == brute(rows())
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_short_lists_together_give_the_pairs_of_each(seed):
+    rng = np.random.default_rng(seed)
+    lists, want, links = [], set(), set()
+    for number in range(30):
+        base = rng.integers(0, 1 << 62, rng.integers(2, 300)).astype(np.uint64)
+        sets = [np.unique(np.concatenate((base[: max(1, int(len(base) * s))], rng.integers(0, 1 << 62, 2).astype(np.uint64)))) for s in rng.choice([1, 0.95, 0.85, 0.4], rng.integers(2, 12))]
+        ents, comps, queries, across = [1000 * number + i for i in range(len(sets))], rng.integers(0, 6, len(sets)).tolist(), int(rng.integers(1, len(sets) + 1)), bool(rng.integers(2))
+        sizes, maps = np.array([len(s) for s in sets]), [parity_map(s) for s in sets]
+        lists.append((ents, sizes.tolist(), comps, maps, queries, across))
+        for i, j in allowed_pairs(sizes, np.array(comps), maps, queries, across):
+            if min(sizes[i], sizes[j]) >= required(sizes[i], sizes[j]):
+                want.add(frozenset((ents[i], ents[j])))
+        links |= {
+            frozenset((ents[i], ents[j])) for i in range(len(sets)) for j in range(i)
+            if comps[i] != comps[j] and ((i < queries) != (j < queries) if across else j < queries) and 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (sizes[i] + sizes[j])
+        }
+    found = [frozenset(p) for p in ngram_join.allowed_in_lists(lists)]
+    assert set(found) == want and links <= want and len(found) == len(want)
+
+
+def test_maps_take_two_bits_a_shingle_at_most():
+    assert [len(parity_map(np.arange(n, dtype=np.uint64))) for n in (1, 64, 65, 1000)] == [8, 8, 16, 128]

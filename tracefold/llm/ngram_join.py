@@ -13,7 +13,7 @@ prefix shingles, which joins groups of copies without looking at all their pairs
 apart, shares a prefix shingle and can reach its overlap is searched too. So components are exact, while the links
 within a component are not all listed.
 
-Sets themselves move only when they may link. Each has a map of its shingles' parities, a thirtieth of its size: two
+Sets themselves move only when they may link. Each has a map of its shingles' parities, a fortieth of its size: two
 sets differ in at least as many shingles as their maps do in bits, which rules out most pairs that share a passage.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SHINGLE = 5
 WORDS_HELD = 400_000  # words whose hashes a worker remembers
 POSTINGS = 1_000_000  # prefix shingles that one reducer takes at a time
 BLOCK_SETS = 512  # sets that are searched against each other at once
+SHORT_LIST = 64  # lists of so many sets are looked at many at once
+LISTS_HELD = 8 << 20  # bytes of maps and pairs of such lists
 HOT_SHINGLES = 262_144  # shingles whose place in the order is known to be late
 FILTER_BITS = 1 << 24
 _PLACE = np.dtype([("t", "<u8"), ("d", "<u2"), ("p", "<u4")])
@@ -93,8 +96,8 @@ def set_id(shingles: np.ndarray) -> int:
 
 
 def parity_map(shingles: np.ndarray) -> bytes:
-    """Bit i tells whether an odd number of shingles end in i; twice as many bits as shingles, as a power of two."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """Bit i tells whether an odd number of shingles end in i; at least as many bits as shingles, as a power of two."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
     places = (shingles & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -128,6 +131,28 @@ def may_link(sizes: np.ndarray, maps: list[bytes]) -> np.ndarray:
     return found
 
 
+def near_pairs(sizes: np.ndarray, maps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs (a[k], b[k]) of places sizes and maps allow to link."""
+    words = np.array([len(m) // 8 for m in maps], np.int64)
+    total, low, high = sizes[a] + sizes[b], np.minimum(words[a], words[b]), np.maximum(words[a], words[b])
+    need = required(sizes[a], sizes[b])
+    ok = (np.minimum(sizes[a], sizes[b]) >= need) & (high <= 2 * low)
+    for level in np.unique(low[ok]):
+        at = np.flatnonzero(ok & (low == level))
+        used, local = np.unique(np.concatenate((a[at], b[at])), return_inverse=True)
+        table = np.empty((len(used), level), np.uint64)
+        for w in (level, 2 * level):
+            if (mine := words[used] == w).any():
+                table[mine] = folded(np.frombuffer(b"".join(maps[i] for i in used[mine]), np.uint64).reshape(-1, w), level)
+        left, right = local[: len(at)], local[len(at) :]
+        step = max(1, (1 << 18) // int(level))
+        for begin in range(0, len(at), step):
+            part = slice(begin, begin + step)
+            apart = np.bitwise_count(table[left[part]] ^ table[right[part]]).sum(1, dtype=np.int64)
+            ok[at[part]] = total[at[part]] - apart >= 2 * need[at[part]]
+    return ok
+
+
 # -- search in a block -------------------------------------------------------------------------------------------------
 
 
@@ -379,24 +404,60 @@ def allowed_pairs(sizes: np.ndarray, comps: np.ndarray, maps: list[bytes], queri
                 yield int(near[rows[i]]), int(near[j])
 
 
+def allowed_in_lists(lists: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs of ``allowed_pairs``, as ents, of many short lists (ents, sizes, comps, maps, queries, across) at once."""
+    lengths = np.array([len(x[0]) for x in lists])
+    ents, sizes, comps = (np.concatenate([np.array(x[k], np.int64) for x in lists]) for k in range(3))
+    a, b = (np.concatenate(c) for c in zip(*((i + begin, j + begin) for begin, (i, j) in zip(np.cumsum(lengths) - lengths, map(_corners, lengths.tolist()), strict=True)), strict=True))
+    asks = np.concatenate([np.arange(len(x[0])) < x[4] for x in lists])
+    across = np.repeat([x[5] for x in lists], lengths)
+    meet = (comps[a] != comps[b]) & np.where(across[a], asks[a] != asks[b], asks[a] | asks[b])
+    a, b = a[meet], b[meet]
+    fits = near_pairs(sizes, [m for x in lists for m in x[3]], a, b)
+    yield from zip(ents[a[fits]].tolist(), ents[b[fits]].tolist(), strict=True)
+
+
+@lru_cache(SHORT_LIST + 1)
+def _corners(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of lists, in order and asking members first, to pairs (a, b), a < b, that may link; each once a task."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     place, asked, across, told = None, 0, False, set()
     ents, sizes, comps, maps, places = [], [], [], [], set()
+    short, held = [], 0  # lists that wait to be looked at together, and their bytes of maps and pairs
 
-    def close() -> pa.RecordBatch:
-        found = {(min(ents[i], ents[j]), max(ents[i], ents[j])) for i, j in allowed_pairs(np.array(sizes, np.int64), np.array(comps, np.int64), maps, asked, across)} - told
+    def tell(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch:
+        found = {(min(p), max(p)) for p in pairs} - told
         if len(told) > 500_000:
             told.clear()
         told.update(found)
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], schema=schema)
 
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if len(ents) > SHORT_LIST:
+            yield tell((ents[i], ents[j]) for i, j in allowed_pairs(np.array(sizes, np.int64), np.array(comps, np.int64), maps, asked, across))
+        elif len(ents) > 1:
+            short.append((ents, sizes, comps, maps, asked, across))
+            held += sum(map(len, maps)) + 16 * len(ents) ** 2
+            if held > LISTS_HELD:
+                yield together()
+
+    def together() -> pa.RecordBatch:
+        nonlocal held
+        batch = tell(allowed_in_lists(short))
+        short.clear()
+        held = 0
+        return batch
+
     for batch in batches:
         for shingle, sub, query, ent, n, comp, parities in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (shingle, sub) != place:
                 if asked:
-                    yield close()
+                    yield from close()
                 place, asked, across = (shingle, sub), 0, query == 2
                 ents, sizes, comps, maps, places = [], [], [], [], set()
             if ent in places:
@@ -408,7 +469,9 @@ def _viable_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             maps.append(parities)
             asked += query > 0
     if asked:
-        yield close()
+        yield from close()
+    if short:
+        yield together()
 
 
 def _allowed_trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +479,8 @@ def _allowed_trials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         sizes_a, sizes_b, maps_a, maps_b = (c.to_pylist() for c in batch.columns[2:])
-        keep = pa.array([bool(may_link(np.array([n, m], np.int64), [p, q]).all()) for n, m, p, q in zip(sizes_a, sizes_b, maps_a, maps_b, strict=True)], pa.bool_())
+        places = np.arange(len(maps_a))
+        keep = pa.array(near_pairs(np.array(sizes_a + sizes_b, np.int64), maps_a + maps_b, places, len(places) + places))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], schema=schema)
 
 
