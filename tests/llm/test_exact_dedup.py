@@ -53,3 +53,8 @@ def test_trie_holds_what_a_dict_holds(items, bound):
     late = {k: tuple(v) for k, v in trie.spill(None)}
     assert {**early, **late} == want and not early.keys() & late.keys()
     assert all(k[: len(bound)] < bound for k in early)
+
+
+def test_texts_are_given_up_by_the_owners_before_they_are_joined(spark):
+    plan = kept_documents(spark.createDataFrame(rows(), SCHEMA))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # owners are read from a stage, not computed beside the join

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import slices
+from tracefold.llm.common import slices, staged
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 OWNER_SCHEMA = "sha string, keep_id long, group_size long"
@@ -204,7 +204,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat the staying id and text, one."""
     named = F.sha2(F.encode(F.translate(F.coalesce(F.col(text_col), F.lit("")), WHITE.decode(), ""), "UTF-8"), 256)
-    best = owners(docs, id_col, text_col).select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_n"))
+    # Written first: texts sent to the owners are given up before texts move again to be joined.
+    best = staged(owners(docs, id_col, text_col), "owners").select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_n"))
     rows = docs.withColumn("_hash", named).join(best, (F.col("_hash") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_keep")))
     alone = rows.where("_n = 1").select(*docs.columns)
     again = rows.where("_n > 1").dropDuplicates(["_hash"]).select(*docs.columns)
