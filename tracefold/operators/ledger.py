@@ -80,7 +80,9 @@ def merge_settlements(
     result is written as ``failed:topic``. Open settlements that share events are superseded.
     """
     won = ledger.where(F.col("status") == "succeeded").select("id", F.lit(True).alias("_won"))
-    marks = receipt_events.groupBy("id").agg(
+    # Only results beside a success carry a mark; other topics' events are not summed.
+    marked = receipts.where(~F.col("status").isin("succeeded", "failed")).join(won, "id", "left_semi").select("id")
+    marks = receipt_events.join(marked, "id", "left_semi").groupBy("id").agg(
         F.substring(F.sha2(F.sum(F.xxhash64("event_id").cast("decimal(38,0)")).cast("string"), 256), 1, 16).alias("_mark")
     )
     rows = receipts.join(won, "id", "left").join(marks, "id", "left")
