@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold import fixed_values as fv
+from tracefold.operators.common import dealt
 from tracefold.operators.sequence import first_rows
 
 
-def same_event_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def same_event_sets(left: DataFrame, right: DataFrame, key: str, tasks: int | None = None) -> DataFrame:
     """Per key, whether two bridges (key, event_id) hold the same set of events: (key, same).
 
-    Counting shared and distinct events needs no set per key, so a key may own any number of events.
+    Counting shared and distinct events needs no set per key, so a key may own any number of events. ``tasks`` deals
+    rows to so many tasks, where their number is known to grow.
     """
-    l = left.select(key, "event_id").distinct().withColumn("_l", F.lit(1))
-    r = right.select(key, "event_id").distinct().withColumn("_r", F.lit(1))
+    l = dealt(left.select(key, "event_id"), tasks, key, "event_id").distinct().withColumn("_l", F.lit(1))
+    r = dealt(right.select(key, "event_id"), tasks, key, "event_id").distinct().withColumn("_r", F.lit(1))
     both = l.join(r, [key, "event_id"], "full_outer")
     return both.groupBy(key).agg((F.count_if(F.col("_l").isNull() | F.col("_r").isNull()) == 0).alias("same"))
 
@@ -100,15 +102,17 @@ def merge_settlements(
     return merged, kept_events.select("settlement_id", "event_id").unionByName(events)
 
 
-def advance_processed(processed: DataFrame, receipts: DataFrame, receipt_events: DataFrame) -> DataFrame:
+def advance_processed(processed: DataFrame, receipts: DataFrame, receipt_events: DataFrame, tasks: int | None = None) -> DataFrame:
     """Processed event ids after a commit: settled receipts add theirs, open ones take theirs back.
 
-    Topics of one run do not share events; where they do, an open topic wins, so its evidence stays pending.
+    Topics of one run do not share events; where they do, an open topic wins, so its evidence stays pending. ``tasks``
+    deals events to so many tasks, where their number is known to grow.
     """
     done = receipts.where(F.col("status").isin("succeeded", "not-applicable")).select("id")
     added = receipt_events.join(done, "id", "left_semi").select("event_id")
-    back = receipt_events.join(receipts.where(F.col("status").isin("pending", "failed")).select("id"), "id", "left_semi").select("event_id").distinct()
-    return processed.select("event_id").unionByName(added).distinct().join(back, "event_id", "left_anti")
+    back = receipt_events.join(receipts.where(F.col("status").isin("pending", "failed")).select("id"), "id", "left_semi").select("event_id")
+    held = dealt(processed.select("event_id").unionByName(added), tasks, "event_id").distinct()
+    return held.join(dealt(back, tasks, "event_id").distinct(), "event_id", "left_anti")
 
 
 def run_rollup(results: DataFrame, run: str = "run_id", first_failures: int | None = None) -> DataFrame:
