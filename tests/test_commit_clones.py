@@ -80,3 +80,8 @@ def test_the_query_moves_clones_once_and_writes_no_stage(spark):
     assert out.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count() and len(session._STAGES) == before
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 3 and "Join Inner" not in plan  # lines and orders by their key, clones by their commit
+
+
+def test_the_query_counts_united_references_and_targets(spark):
+    out = load()[0]["merge_commit_artifacts"](spark, "/root/testdata/sf0.001").collect()
+    assert all(r.refs == r.files + 2 and r.targets == 2 and r.events == 1 for r in out)
